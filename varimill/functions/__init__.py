@@ -1,8 +1,9 @@
 from varimill.functions.columns import (
     arrival_key,
-    day_end_ms,
+    day_name,
     event_time,
-    expanding_history,
+    expanding_history_sql,
+    finite_sql,
     har_forecast,
     is_finite,
     millis,
@@ -16,9 +17,10 @@ from varimill.functions.columns import (
 
 __all__ = [
     "arrival_key",
-    "day_end_ms",
+    "day_name",
     "event_time",
-    "expanding_history",
+    "expanding_history_sql",
+    "finite_sql",
     "har_forecast",
     "is_finite",
     "millis",

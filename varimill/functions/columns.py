@@ -28,23 +28,25 @@ def utc_midnight_ms(day: date | str) -> int:
     return int(datetime(d.year, d.month, d.day, tzinfo=timezone.utc).timestamp()) * 1000
 
 
-def event_time(ts: Column | str = "ts") -> Column:
-    return F.timestamp_millis(_col(ts))
+def event_time(ts: str = "ts") -> Column:
+    return F.expr(f"timestamp_millis({ts})")
 
 
-def day_end_ms(ts: Column | str = "ts") -> Column:
-    """The UTC midnight that ends the day holding ``ts``."""
-    return _col(ts) - F.pmod(_col(ts), F.lit(DAY_MS)) + DAY_MS
+def day_name(ts: str = "ts") -> Column:
+    """UTC day of ``ts`` as ``yyyy-MM-dd``, whatever the session zone."""
+    return F.expr(f"cast(date_from_unix_date(cast(floor({ts} / {DAY_MS}L) AS int)) AS string)")
 
 
-def is_finite(*cols: Column | str) -> Column:
-    """True when every value is a number other than NaN and the infinities."""
-    ok = F.lit(True)
-    for c in map(_col, cols):
-        # x - x is 0 for a finite x and NaN otherwise; NaN equals NaN in Spark,
-        # so compare with zero rather than with itself.
-        ok = ok & c.isNotNull() & ((c - c) == F.lit(0.0))
-    return ok
+def finite_sql(*names: str) -> str:
+    """SQL condition: every value is a number other than NaN and the infinities.
+
+    x - x is 0 for a finite x and NaN otherwise.
+    """
+    return " AND ".join(f"coalesce({c} - {c} = 0D, false)" for c in names)
+
+
+def is_finite(*names: str) -> Column:
+    return F.expr(finite_sql(*names))
 
 
 def strip(text: Column | str) -> Column:
@@ -61,7 +63,8 @@ def parse_number(text: Column | str) -> Column:
     s = strip(text)
     x = _col(text).try_cast("double")
     named = s.rlike("(?i)^[+-]?(nan|inf|infinity)$") & ~s.rlike("^[+-]?(NaN|Infinity)$")
-    return F.when(~(~is_finite(x) & named), x)
+    # x - x is 0 unless x is NaN or infinite.
+    return F.when(((x - x) == 0) | ~named, x)
 
 
 def parse_ts(text: Column | str) -> Column:
@@ -89,7 +92,7 @@ def parse_ts(text: Column | str) -> Column:
     )
 
 
-def arrival_key(ts: Column | str, seq: Column | str | None, width: timedelta) -> Column:
+def arrival_key(ts: str, seq: str | None, width: timedelta) -> Column:
     """One long that orders the ticks of one bar by ``(ts, seq)``.
 
     All ticks of a bar share the bar, so the offset inside it stands for the
@@ -98,74 +101,60 @@ def arrival_key(ts: Column | str, seq: Column | str | None, width: timedelta) ->
     of silently reordering ties.
     """
     span = millis(width)
-    offset = F.pmod(_col(ts), F.lit(span))
+    offset = f"pmod({ts}, {span}L)"
     if seq is None:
-        return offset
-    seq_limit = 1 << (62 - (span - 1).bit_length())
-    s = F.coalesce(_col(seq), F.lit(0).cast("long"))
-    return F.when(s.between(0, seq_limit - 1), offset * F.lit(seq_limit) + s).otherwise(
-        F.raise_error(F.lit(f"seq outside [0, {seq_limit}) for bars of {span} ms")).cast("long")
+        return F.expr(offset)
+    limit = 1 << (62 - (span - 1).bit_length())
+    number = f"coalesce({seq}, 0L)"
+    message = f"seq outside [0, {limit}) for bars of {span} ms"
+    return F.expr(
+        f"CASE WHEN {number} BETWEEN 0L AND {limit - 1}L THEN {offset} * {limit}L + {number}"
+        f" ELSE cast(raise_error('{message}') AS bigint) END"
     )
 
 
-def _mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+def _mean_sql(xs: str) -> str:
+    return f"aggregate({xs}, 0D, (a, x) -> a + x) / size({xs})"
 
 
-def expanding_history(buffer: Column, weekly: int) -> Column:
+def expanding_history_sql(buffer: str, weekly: int) -> str:
     """``[d_i, mean of the last <= weekly, mean of all so far]`` for each i.
 
     The means see only the buffer itself, so the early rows average what there
     is.
     """
+    start = f"greatest(i - {weekly - 2}, 1)"
+    recent = _mean_sql(f"slice({buffer}, {start}, i + 2 - {start})")
+    so_far = _mean_sql(f"slice({buffer}, 1, i + 1)")
+    return f"transform({buffer}, (d, i) -> array(d, {recent}, {so_far}))"
 
-    def row(_: Column, i: Column) -> Column:
-        start = F.greatest(i - (weekly - 2), F.lit(1))
-        return F.array(
-            F.element_at(buffer, i + 1),
-            _mean(F.slice(buffer, start, i + 2 - start)),
-            _mean(F.slice(buffer, F.lit(1), i + 1)),
-        )
-
-    return F.transform(buffer, row)
 
-
-def payload_json(
-    symbol: Column, features: Sequence[Column], history: Column, decimals: int
-) -> Column:
+def payload_json(features: Sequence[str], history: str, decimals: int) -> Column:
     """Scoring request text: fixed decimals, ``history`` only where not null."""
     num = f"%.{decimals}f"
+    numbers = ",".join(f'"{c}":{num}' for c in features)
     # to_json escapes the symbol; its closing brace is cut off again.
-    head = F.regexp_replace(F.to_json(F.struct(symbol.alias("symbol"))), r"\}$", "")
-    body = F.format_string(
-        f',"rv_daily":{num},"rv_weekly":{num},"rv_monthly":{num}', *features
-    )
-    rows = F.transform(
-        history, lambda r: F.format_string(f"[{num},{num},{num}]", r[0], r[1], r[2])
-    )
-    tail = F.when(
-        history.isNotNull(), F.concat(F.lit(',"history":['), F.array_join(rows, ","), F.lit("]"))
-    ).otherwise(F.lit(""))
-    return F.concat(head, body, tail, F.lit("}"))
+    head = "trim(TRAILING '}' FROM to_json(named_struct('symbol', symbol)))"
+    body = f"format_string(',{numbers}', {', '.join(features)})"
+    row = f"format_string('[{num},{num},{num}]', r[0], r[1], r[2])"
+    rows = f"array_join(transform({history}, r -> {row}), ',')"
+    tail = f"if({history} IS NULL, '', concat(',\"history\":[', {rows}, ']'))"
+    return F.expr(f"concat({head}, {body}, {tail}, '}}')")
 
 
 def har_forecast(
-    features: Sequence[Column], weights: Sequence[float], decimals: int | None
+    features: Sequence[str], weights: Sequence[float], decimals: int | None
 ) -> Column:
     """Linear forecast ``b0 + b1*daily + b2*weekly + b3*monthly``.
 
     ``decimals`` rounds the inputs first, as the text payload does; None keeps
     them as they are.
     """
-    b0, *slopes = weights
-    xs = features if decimals is None else [F.round(x, decimals) for x in features]
-    out = F.lit(float(b0))
-    for b, x in zip(slopes, xs, strict=True):
-        out = out + F.lit(float(b)) * x
-    return out
+    b0, *slopes = (f"cast('{float(b)!r}' AS double)" for b in weights)
+    xs = features if decimals is None else [f"round({x}, {decimals})" for x in features]
+    return F.expr(" + ".join([b0, *(f"{b} * {x}" for b, x in zip(slopes, xs, strict=True))]))
 
 
-def throughput(ticks: Column | str, elapsed_ms: Column | str) -> Column:
+def throughput(ticks: str, elapsed_ms: str) -> Column:
     """Ticks per second, 0 when no time has passed."""
-    ms = _col(elapsed_ms)
-    return F.when(ms > 0, _col(ticks) / (ms / F.lit(1000.0))).otherwise(F.lit(0.0))
+    return F.expr(f"if({elapsed_ms} > 0, {ticks} / ({elapsed_ms} / 1000D), 0D)")

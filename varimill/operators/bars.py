@@ -43,19 +43,19 @@ def log_return_bars(
         ticks = with_event_time(ticks)
     seq = "seq" if "seq" in ticks.columns else None
     return (
-        ticks.withColumn("order_key", arrival_key("ts", seq, width))
+        ticks.select(key, "event_time", "bid", arrival_key("ts", seq, width).alias("order_key"))
         .groupBy(key, F.window("event_time", _span(width)).alias("bar"))
         .agg(
-            F.min_by("bid", "order_key").alias("first_bid"),
-            F.max_by("bid", "order_key").alias("last_bid"),
-            F.count(F.lit(1)).alias("n_ticks"),
+            F.expr("min_by(bid, order_key) AS first_bid"),
+            F.expr("max_by(bid, order_key) AS last_bid"),
+            F.expr("count(*) AS n_ticks"),
         )
-        .where(F.col("n_ticks") >= min_ticks)
-        .select(
+        .where(f"n_ticks >= {min_ticks}")
+        .selectExpr(
             key,
             "bar",
-            F.unix_millis("bar.end").alias("ts"),
-            F.log(F.col("last_bid") / F.col("first_bid")).alias("log_return"),
+            "unix_millis(bar.end) AS ts",
+            "ln(last_bid / first_bid) AS log_return",
             "n_ticks",
         )
     )
@@ -71,6 +71,6 @@ def daily_rv(
     """
     return (
         bars.groupBy(key, F.window(F.window_time("bar"), _span(period)).alias("day"))
-        .agg(F.sum(F.col("log_return") * F.col("log_return")).alias("rv_daily"))
-        .select(key, F.unix_millis("day.end").alias("ts"), "rv_daily")
+        .agg(F.expr("sum(log_return * log_return) AS rv_daily"))
+        .selectExpr(key, "unix_millis(day.end) AS ts", "rv_daily")
     )

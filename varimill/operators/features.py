@@ -9,32 +9,31 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from varimill.config import PipelineConfig
-from varimill.functions import expanding_history, is_finite, payload_json, utc_midnight_ms
+from varimill.functions import (
+    expanding_history_sql,
+    finite_sql,
+    payload_json,
+    utc_midnight_ms,
+)
 
 _DEFAULT = PipelineConfig()
 FEATURES = ("rv_daily", "rv_weekly", "rv_monthly")
+_BY_SYMBOL = "PARTITION BY symbol ORDER BY ts"
+_WHOLE_SYMBOL = "(PARTITION BY symbol)"
 
 
-def _by_symbol():
-    return Window.partitionBy("symbol").orderBy("ts")
+def _last(rows: int) -> str:
+    return f"({_BY_SYMBOL} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
 
-def _whole_symbol():
-    return _by_symbol().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def _last(rows: int):
-    return _by_symbol().rowsBetween(1 - rows, 0)
-
-
-def _with_means(df: DataFrame, weekly: int, monthly: int) -> DataFrame:
-    return df.withColumn("rv_weekly", F.avg("rv_daily").over(_last(weekly))).withColumn(
-        "rv_monthly", F.avg("rv_daily").over(_last(monthly))
-    )
+def _means_sql(value: str, weekly: int, monthly: int, names: tuple[str, str]) -> list[str]:
+    return [
+        f"avg({value}) OVER {_last(weekly)} AS {names[0]}",
+        f"avg({value}) OVER {_last(monthly)} AS {names[1]}",
+    ]
 
 
 def history_rows(
@@ -44,15 +43,13 @@ def history_rows(
 
     Frames count rows, not calendar days: a day without a value has no row.
     """
-    return _with_means(daily, weekly, monthly).withColumn(
-        "day_no", F.row_number().over(_by_symbol())
-    )
+    means = _means_sql("rv_daily", weekly, monthly, FEATURES[1:])
+    row_no = f"row_number() OVER ({_BY_SYMBOL}) AS day_no"
+    return daily.selectExpr("symbol", "ts", "rv_daily", *means, row_no)
 
 
-def _past_gate(test_start: date | str | None) -> Column:
-    if test_start is None:
-        return F.lit(True)
-    return F.col("ts") > utc_midnight_ms(test_start)
+def _past_gate(test_start: date | str | None) -> str:
+    return "true" if test_start is None else f"ts > {utc_midnight_ms(test_start)}L"
 
 
 def gate(df: DataFrame, test_start: date | str | None = None) -> DataFrame:
@@ -73,7 +70,7 @@ def rv_features(
     """
     return (
         history_rows(daily, weekly, monthly)
-        .where((F.col("day_no") >= monthly) & is_finite("rv_daily"))
+        .where(f"day_no >= {monthly} AND {finite_sql('rv_daily')}")
         .select("symbol", "ts", *FEATURES)
     )
 
@@ -101,44 +98,44 @@ def model_requests(
     Values are rounded as the payload rounds them. A request that would be
     rejected has no sequence.
     """
-    rows = history_rows(daily, weekly, monthly)
-    emitted = (F.col("day_no") >= monthly) & _past_gate(test_start) & is_finite("rv_daily")
-    rows = (
-        rows.withColumn("emitted", emitted)
-        .withColumn("accepted", F.col("emitted") & is_finite(*FEATURES))
-        .withColumn("first_no", _first_day_no("emitted"))
-        .withColumn("cut_no", _first_day_no("accepted") - (monthly - 1))
-        .withColumn("buffer", F.collect_list("rv_daily").over(_last(monthly)))
+    emitted = f"day_no >= {monthly} AND {_past_gate(test_start)} AND {finite_sql('rv_daily')}"
+    rows = history_rows(daily, weekly, monthly).selectExpr(
+        "*",
+        f"{emitted} AS emitted",
+        f"{emitted} AND {finite_sql(*FEATURES[1:])} AS accepted",
+        f"collect_list(rv_daily) OVER {_last(monthly)} AS buffer",
     )
-
-    cut = F.when(F.col("day_no") >= F.col("cut_no"), F.col("rv_daily"))
-    rows = (
-        rows.withColumn("cut", cut)
-        .withColumn("cut_weekly", F.avg("cut").over(_last(weekly)))
-        .withColumn("cut_monthly", F.avg("cut").over(_last(monthly)))
+    rows = rows.selectExpr(
+        "*",
+        f"min(if(emitted, day_no, NULL)) OVER {_WHOLE_SYMBOL} AS first_no",
+        f"min(if(accepted, day_no, NULL)) OVER {_WHOLE_SYMBOL} AS accepted_no",
     )
+
+    cut = f"if(day_no > accepted_no - {monthly}, rv_daily, NULL)"
     parts = ("cut", "cut_weekly", "cut_monthly")
-    triple = F.when(is_finite(*parts), F.array(*(F.round(c, decimals) for c in parts)))
-    rows = rows.withColumn("triple", triple).withColumn(
-        "triple_no", F.count("triple").over(_by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.selectExpr("*", f"{cut} AS cut", *_means_sql(cut, weekly, monthly, parts[1:]))
+    triple = ", ".join(f"round({c}, {decimals})" for c in parts)
+    rows = rows.selectExpr("*", f"if({finite_sql(*parts)}, array({triple}), NULL) AS triple")
+    rows = rows.selectExpr(
+        "*", f"count(triple) OVER ({_BY_SYMBOL} ROWS UNBOUNDED PRECEDING) AS triple_no"
     )
-    held = Window.partitionBy("symbol").orderBy("triple_no").rangeBetween(1 - monthly, 0)
-    rows = rows.withColumn(
-        "sequence", F.when(F.col("accepted"), F.collect_list("triple").over(held))
+    held = (
+        "(PARTITION BY symbol ORDER BY triple_no"
+        f" RANGE BETWEEN {monthly - 1} PRECEDING AND CURRENT ROW)"
     )
-
-    warm_up = F.when(F.col("is_first"), expanding_history(F.col("buffer"), weekly))
-    payload = payload_json(F.col("symbol"), [F.col(c) for c in FEATURES], warm_up, decimals)
-    return (
-        rows.where("emitted")
-        .withColumn("is_first", F.col("day_no") == F.col("first_no"))
-        .withColumn("payload", payload)
-        .select("symbol", "ts", *FEATURES, "is_first", "payload", "sequence")
+    rows = rows.selectExpr("*", f"collect_list(triple) OVER {held} AS held")
+
+    warm_up = f"if(day_no = first_no, {expanding_history_sql('buffer', weekly)}, NULL)"
+    rows = rows.where("emitted").selectExpr(
+        "symbol",
+        "ts",
+        *FEATURES,
+        "day_no = first_no AS is_first",
+        f"{warm_up} AS warm_up",
+        "if(accepted, held, NULL) AS sequence",
     )
-
-
-def _first_day_no(flag: str) -> Column:
-    return F.min(F.when(F.col(flag), F.col("day_no"))).over(_whole_symbol())
+    payload = payload_json(FEATURES, "warm_up", decimals).alias("payload")
+    return rows.select("symbol", "ts", *FEATURES, "is_first", payload, "sequence")
 
 
 def request_payloads(daily: DataFrame, test_start: date | str | None = None, **kw) -> DataFrame:
@@ -154,5 +151,5 @@ def first_requests(daily: DataFrame, test_start: date | str | None = None, **kw)
 
 def model_sequences(daily: DataFrame, test_start: date | str | None = None, **kw) -> DataFrame:
     """Accepted requests with the model input of each."""
-    accepted = model_requests(daily, test_start, **kw).where(F.col("sequence").isNotNull())
+    accepted = model_requests(daily, test_start, **kw).where("sequence IS NOT NULL")
     return accepted.select("symbol", "ts", *FEATURES, "sequence")

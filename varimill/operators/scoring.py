@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varimill.config import PipelineConfig
-from varimill.functions import har_forecast, is_finite
+from varimill.functions import finite_sql, har_forecast
 
 _DEFAULT = PipelineConfig()
 FEATURES = ("rv_daily", "rv_weekly", "rv_monthly")
@@ -44,8 +44,8 @@ Scorer = Callable[[pa.RecordBatch], Outcome]
 
 def validate_requests(df: DataFrame) -> DataFrame:
     """Add ``status``: invalid where a feature is missing, NaN or infinite."""
-    ok = is_finite(*FEATURES) & F.col("symbol").isNotNull()
-    return df.withColumn("status", F.when(ok, F.lit(OK)).otherwise(F.lit(INVALID)))
+    ok = f"symbol IS NOT NULL AND {finite_sql(*FEATURES)}"
+    return df.withColumn("status", F.expr(f"if({ok}, '{OK}', '{INVALID}')"))
 
 
 def har(
@@ -54,18 +54,18 @@ def har(
     decimals: int | None = _DEFAULT.payload_decimals,
 ) -> DataFrame:
     """Add the linear forecast ``har_pred`` on features rounded as sent."""
-    return df.withColumn("har_pred", har_forecast([F.col(c) for c in FEATURES], b, decimals))
+    return df.withColumn("har_pred", har_forecast(FEATURES, b, decimals))
 
 
 def bypass(requests: DataFrame) -> DataFrame:
     """Predictions with models switched off: features, null models, zero HAR."""
-    return requests.select(
+    return requests.selectExpr(
         "symbol",
         "ts",
         *FEATURES,
-        F.lit(None).cast("double").alias("mamba_pred"),
-        F.lit(None).cast("double").alias("lstm_pred"),
-        F.lit(0.0).alias("har_pred"),
+        "cast(NULL AS double) AS mamba_pred",
+        "cast(NULL AS double) AS lstm_pred",
+        "0D AS har_pred",
     )
 
 
@@ -225,10 +225,8 @@ def score(
     Without a scorer the model columns are null and no Python runs.
     """
     checked = har(validate_requests(requests), b, decimals)
-    checked = (
-        checked.withColumn("attempts", F.lit(0))
-        .withColumn("mamba_pred", F.lit(None).cast("double"))
-        .withColumn("lstm_pred", F.lit(None).cast("double"))
+    checked = checked.selectExpr(
+        "*", "0 AS attempts", "cast(NULL AS double) AS mamba_pred", "cast(NULL AS double) AS lstm_pred"
     )
     if scorer is None:
         return checked
@@ -261,10 +259,10 @@ def split_scored(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     a lazy one would call the scorer once per side, with outcomes that need not
     agree.
     """
-    predictions = scored.where(F.col("status") == OK).select(
+    predictions = scored.where(f"status = '{OK}'").select(
         "symbol", "ts", *FEATURES, "mamba_pred", "lstm_pred", "har_pred"
     )
-    dead = scored.where(F.col("status") != OK).select(
-        "symbol", "ts", "payload", "sequence", F.col("status").alias("reason")
+    dead = scored.where(f"status <> '{OK}'").selectExpr(
+        "symbol", "ts", "payload", "sequence", "status AS reason"
     )
     return predictions, dead

@@ -2,50 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def _above(c: str, bound: str) -> Column:
-    # Spark orders NaN above every number, so NaN has to be ruled out by name.
-    x = F.col(c)
-    return ~F.isnan(x) & ((x > 0) if bound == "zero_excluded" else (x >= 0))
-
-
-def tick_predicates() -> dict[str, Column]:
-    """The validity conditions by name; a tick is valid when all hold."""
-    return {
-        "ts": F.col("ts") > 0,
-        "bid": _above("bid", "zero_excluded"),
-        "ask": _above("ask", "zero_excluded"),
-        "crossed": ~F.isnan("bid") & ~F.isnan("ask") & (F.col("ask") >= F.col("bid")),
-        "volume": _above("volume", "zero_included"),
-    }
+# The validity conditions by name; a tick is valid when all hold. Spark orders
+# NaN above every number, so NaN has to be ruled out by name.
+VALID = {
+    "ts": "ts > 0",
+    "bid": "NOT isnan(bid) AND bid > 0",
+    "ask": "NOT isnan(ask) AND ask > 0",
+    "crossed": "NOT isnan(bid) AND NOT isnan(ask) AND ask >= bid",
+    "volume": "NOT isnan(volume) AND volume >= 0",
+}
 
 
 def valid_ticks(df: DataFrame) -> DataFrame:
     """Keep ticks with positive time, bid and ask, ask >= bid, volume >= 0.
 
-    Written as one conjunction per condition, so the comparisons reach the
-    Parquet scan as pushed filters.
+    Given a positive bid, ask >= bid implies a positive ask, so the ask is read
+    once: where it is computed, a filter would compute it per mention. Time, bid
+    and volume stay plain comparisons, which reach the Parquet scan.
     """
-    for ok in tick_predicates().values():
-        df = df.where(ok)
-    return df
+    quote = "nanvl(ask, -1D) >= bid"
+    return df.where(" AND ".join((VALID["ts"], VALID["bid"], VALID["volume"], quote)))
 
 
 def invalid_reasons(df: DataFrame) -> DataFrame:
     """Ticks that fail, one row each, with the names of the failed conditions."""
-    failed = F.filter(
-        F.array(
-            *(
-                F.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
-                for name, ok in tick_predicates().items()
-            )
-        ),
-        lambda r: r.isNotNull(),
+    names = ", ".join(f"if(coalesce({ok}, false), NULL, '{n}')" for n, ok in VALID.items())
+    return df.withColumn("reasons", F.expr(f"array_compact(array({names}))")).where(
+        "size(reasons) > 0"
     )
-    return df.withColumn("reasons", failed).where(F.size("reasons") > 0)
 
 
 def with_tick_counter(df: DataFrame, observation: Observation | str = "ticks") -> DataFrame:

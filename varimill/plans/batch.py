@@ -75,23 +75,17 @@ def bucketed_daily_rv(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> Da
     width = millis(config.bar_width)
     if millis(config.period) % width or millis(config.period) != 86_400_000:
         raise ValueError("bars must divide the day")
-    bar_no = F.floor(F.col("ts") / F.lit(width))
+    order_key = arrival_key("ts", "seq", config.bar_width).alias("order_key")
     bars = (
         valid_ticks(ticks)
-        .withColumn("bar_no", bar_no)
-        .withColumn("order_key", arrival_key("ts", "seq", config.bar_width))
+        .select("symbol", "day", F.expr(f"floor(ts / {width}L) AS bar_no"), "bid", order_key)
         .groupBy("symbol", "day", "bar_no")
         .agg(
-            F.min_by("bid", "order_key").alias("first_bid"),
-            F.max_by("bid", "order_key").alias("last_bid"),
-            F.count(F.lit(1)).alias("n_ticks"),
+            F.expr("ln(max_by(bid, order_key) / min_by(bid, order_key)) AS log_return"),
+            F.expr("count(*) AS n_ticks"),
         )
-        .where(F.col("n_ticks") >= config.min_ticks)
-        .withColumn("log_return", F.log(F.col("last_bid") / F.col("first_bid")))
-    )
-    end = (F.unix_date(F.col("day").cast("date")) + 1).cast("long") * 86_400_000
-    return (
-        bars.groupBy("symbol", "day")
-        .agg(F.sum(F.col("log_return") * F.col("log_return")).alias("rv_daily"))
-        .select("symbol", end.alias("ts"), "rv_daily")
+        .where(f"n_ticks >= {config.min_ticks}")
     )
+    days = bars.groupBy("symbol", "day").agg(F.expr("sum(log_return * log_return) AS rv_daily"))
+    end = "(unix_date(cast(day AS date)) + 1) * 86400000L AS ts"
+    return days.selectExpr("symbol", end, "rv_daily")

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varimill.config import PipelineConfig
-from varimill.functions import event_time
+from varimill.functions import day_name, event_time
 from varimill.operators import (
     LstmModel,
     Outcome,
@@ -75,7 +75,7 @@ LAST_N = 20
 HOUR = PipelineConfig().bar_width * 12
 
 
-def ticks(spark: SparkSession, sf_dir: str, symbol: Column | str = "event_type") -> DataFrame:
+def ticks(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return ticks_from_events(read_table(spark, sf_dir, "events"), symbol)
 
@@ -85,17 +85,14 @@ def _tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_from_events(stream_table(spark, sf_dir, "events"))
 
 
-def _daily(spark: SparkSession, sf_dir: str, symbol: Column | str = "event_type") -> DataFrame:
+def _daily(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
     return batch.daily_variance(ticks(spark, sf_dir, symbol))
 
 
 def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    doubles = {n for n, t in df.dtypes if t == "double"}
-    return df.select(*(F.round(c, digits).alias(c) if c in doubles else c for c in df.columns))
-
-
-def _day(ts: str = "ts") -> Column:
-    return F.date_format(event_time(ts), "yyyy-MM-dd")
+    return df.selectExpr(
+        *(f"round({n}, {digits}) AS {n}" if t == "double" else n for n, t in df.dtypes)
+    )
 
 
 # Sources
@@ -138,12 +135,12 @@ def q_csv_daily_files(spark, sf_dir):
 
 
 def q_ingest_window(spark, sf_dir):
-    named = ticks(spark, sf_dir).withColumn("day", _day())
+    named = ticks(spark, sf_dir).withColumn("day", day_name())
     return _rounded(select_days(named, FROM_DATE, LAST_N, col="day"))
 
 
 def q_ingest_counts(spark, sf_dir):
-    named = ticks(spark, sf_dir).withColumn("day", _day())
+    named = ticks(spark, sf_dir).withColumn("day", day_name())
     counts = ingest_counts(named, by="day")
     return counts.select(F.coalesce("day", F.lit("total")).alias("day"), "ticks")
 
@@ -196,7 +193,7 @@ def q_daily_rv(spark, sf_dir):
 
 
 def q_daily_rv_one_symbol(spark, sf_dir):
-    return _rounded(_daily(spark, sf_dir, F.lit("ALL")))
+    return _rounded(_daily(spark, sf_dir, "'ALL'"))
 
 
 def q_daily_rv_60m(spark, sf_dir):
@@ -289,7 +286,7 @@ def q_har_predictions(spark, sf_dir):
 
 
 def q_har_predictions_one_symbol(spark, sf_dir):
-    return _rounded(batch.forecasts(ticks(spark, sf_dir, F.lit("ALL"))), 6)
+    return _rounded(batch.forecasts(ticks(spark, sf_dir, "'ALL'")), 6)
 
 
 def q_bypass_predictions(spark, sf_dir):
@@ -362,7 +359,7 @@ def _runs_by_day(spark, sf_dir):
     """Each day of ticks as one run: how many, over which span of time."""
     spans = (
         ticks(spark, sf_dir)
-        .groupBy(_day().alias("run_timestamp"))
+        .groupBy(day_name().alias("run_timestamp"))
         .agg(
             F.count(F.lit(1)).alias("total_ticks"),
             (F.max("ts") - F.min("ts")).alias("elapsed_ms"),

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varimill.functions import event_time
+from varimill.functions import day_name, event_time
 from varimill.functions.columns import DATETIME_FORMAT
 from varimill.schemas import TICK, TICK_AVRO
 from varimill.sources.kafka import TICK_TOPIC
 
 
 def _with_day(ticks: DataFrame) -> DataFrame:
-    return ticks.withColumn("day", F.date_format(event_time("ts"), "yyyy-MM-dd"))
+    return ticks.withColumn("day", day_name("ts"))
 
 
 def write_ticks(ticks: DataFrame, path: str, mode: str = "append") -> None:

@@ -122,10 +122,8 @@ def request_stream(
             timeMode="None",
         )
     )
-    payload = payload_json(
-        F.col("symbol"), [F.col(c) for c in FEATURES], F.col("history"), decimals
-    )
-    rounded = F.transform("sequence", lambda r: F.transform(r, lambda x: F.round(x, decimals)))
+    payload = payload_json(FEATURES, "history", decimals).alias("payload")
+    rounded = F.expr(f"transform(sequence, r -> transform(r, x -> round(x, {decimals})))")
     return emitted.select(
-        "symbol", "ts", *FEATURES, "is_first", payload.alias("payload"), rounded.alias("sequence")
+        "symbol", "ts", *FEATURES, "is_first", payload, rounded.alias("sequence")
     )

@@ -79,8 +79,11 @@ def timed(work) -> float:
 
 
 def copies_of_events(spark: SparkSession, copies: int, path: str) -> None:
-    """Ticks of 60 symbols over 90 days: the events, copied with shifted times."""
-    events = read_table(spark, SF_DIR, "events").repartition(2 * CPUS)
+    """Ticks of 60 symbols over 90 days: the events, copied with shifted times.
+
+    Files follow event time, as daily files and topics do.
+    """
+    events = read_table(spark, SF_DIR, "events").repartitionByRange(2 * CPUS, "ts")
     copy = F.col("copy")
     shift_ms = F.floor(copy / SYMBOL_GROUPS) % MONTHS * (30 * 86_400_000) + copy * 7
     ticks = ticks_from_events(events).withColumn(

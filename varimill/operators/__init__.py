@@ -20,6 +20,7 @@ from varimill.operators.scoring import (
     Outcome,
     bypass,
     har,
+    parse_responses,
     score,
     split_scored,
     validate_requests,
@@ -49,6 +50,7 @@ __all__ = [
     "log_return_bars",
     "model_requests",
     "model_sequences",
+    "parse_responses",
     "predictions_by_symbol",
     "predictions_with_model",
     "replay",

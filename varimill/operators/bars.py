@@ -67,10 +67,16 @@ def daily_rv(
     """Sum of squared bar returns per key and day; ``ts`` is the day's end.
 
     A bar belongs to the day of its last instant, so the 23:55 bar stays in its
-    day although its ``ts`` is the next midnight.
+    day although its ``ts`` is the next midnight. Stored bars have no ``bar``
+    window; theirs ends at ``ts``.
     """
-    return (
-        bars.groupBy(key, F.window(F.window_time("bar"), _span(period)).alias("day"))
-        .agg(F.expr("sum(log_return * log_return) AS rv_daily"))
-        .selectExpr(key, "unix_millis(day.end) AS ts", "rv_daily")
-    )
+    squares = F.expr("sum(log_return * log_return) AS rv_daily")
+    if "bar" in bars.columns:
+        window = F.window(F.window_time("bar"), _span(period)).alias("day")
+        return bars.groupBy(key, window).agg(squares).selectExpr(
+            key, "unix_millis(day.end) AS ts", "rv_daily"
+        )
+    span = f"{millis(period)}L"
+    day_end = F.expr(f"ts - 1 - pmod(ts - 1, {span}) + {span} AS day_end")
+    days = bars.select(key, day_end, "log_return").groupBy(key, "day_end").agg(squares)
+    return days.selectExpr(key, "day_end AS ts", "rv_daily")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from varimill.config import PipelineConfig
 from varimill.functions import finite_sql, har_forecast
+from varimill.schemas import RESPONSE_JSON
 
 _DEFAULT = PipelineConfig()
 FEATURES = ("rv_daily", "rv_weekly", "rv_monthly")
@@ -48,6 +49,21 @@ def validate_requests(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.expr(f"if({ok}, '{OK}', '{INVALID}')"))
 
 
+def parse_responses(df: DataFrame, col: str = "response") -> DataFrame:
+    """Read a scoring service's JSON answers from ``col``.
+
+    Model outputs may be null; an answer without ``har`` is an error.
+    """
+    answer = df.withColumn("_answer", F.from_json(col, RESPONSE_JSON))
+    return answer.selectExpr(
+        *df.columns,
+        "_answer.mamba AS mamba_pred",
+        "_answer.lstm AS lstm_pred",
+        "_answer.har AS har_pred",
+        f"if(_answer.har IS NULL, '{ERROR}', '{OK}') AS status",
+    )
+
+
 def har(
     df: DataFrame,
     b: Sequence[float] = _DEFAULT.har,

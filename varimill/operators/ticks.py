@@ -66,5 +66,5 @@ def select_days(
         df = df.where(F.col(col) >= from_date)
     if last_n > 0:
         newest = df.select(col).distinct().orderBy(F.desc(col)).limit(last_n)
-        df = df.where(F.col(col) >= newest.agg(F.min(col)).scalar())
+        df = df.where(F.col(col) >= newest.orderBy(col).limit(1).scalar())
     return df

@@ -1,5 +1,4 @@
 from varimill.plans.batch import (
-    bucketed_daily_rv,
     daily_variance,
     forecasts,
     requests,
@@ -9,7 +8,6 @@ from varimill.plans.streams import stream_daily_rv, stream_to_requests, stream_t
 from varimill.plans.sweep import sweep
 
 __all__ = [
-    "bucketed_daily_rv",
     "daily_variance",
     "forecasts",
     "requests",

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from varimill.config import PipelineConfig
-from varimill.functions import arrival_key, millis
 from varimill.operators import (
     bypass,
     daily_rv,
@@ -64,28 +62,3 @@ def forecasts(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
         return bypass(requests(ticks, config))
     predictions, _ = split_scored(scored_requests(ticks, None, config))
     return predictions
-
-
-def bucketed_daily_rv(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
-    """Daily variance of ticks that lie bucketed by ``symbol, day``.
-
-    Both aggregates group by a superset of the bucket columns, so neither
-    shuffles. A bar must not cross midnight: the width has to divide the day.
-    """
-    width = millis(config.bar_width)
-    if millis(config.period) % width or millis(config.period) != 86_400_000:
-        raise ValueError("bars must divide the day")
-    order_key = arrival_key("ts", "seq", config.bar_width).alias("order_key")
-    bars = (
-        valid_ticks(ticks)
-        .select("symbol", "day", F.expr(f"floor(ts / {width}L) AS bar_no"), "bid", order_key)
-        .groupBy("symbol", "day", "bar_no")
-        .agg(
-            F.expr("ln(max_by(bid, order_key) / min_by(bid, order_key)) AS log_return"),
-            F.expr("count(*) AS n_ticks"),
-        )
-        .where(f"n_ticks >= {config.min_ticks}")
-    )
-    days = bars.groupBy("symbol", "day").agg(F.expr("sum(log_return * log_return) AS rv_daily"))
-    end = "(unix_date(cast(day AS date)) + 1) * 86400000L AS ts"
-    return days.selectExpr("symbol", end, "rv_daily")

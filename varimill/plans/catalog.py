@@ -32,6 +32,7 @@ from varimill.operators import (
     log_return_bars,
     model_requests,
     model_sequences,
+    parse_responses,
     predictions_by_symbol,
     predictions_with_model,
     replay,
@@ -53,9 +54,9 @@ from varimill.sinks import (
     read_dead_letters,
     read_metrics,
     read_predictions,
+    write_bars_bucketed,
     write_scored,
     write_ticks,
-    write_ticks_bucketed,
     write_ticks_csv,
 )
 from varimill.sources import (
@@ -201,12 +202,13 @@ def q_daily_rv_60m(spark, sf_dir):
 
 
 def q_bucketed_daily_rv(spark, sf_dir):
-    """Daily variance from a table bucketed by symbol and day."""
-    table = f"ticks_{uuid.uuid4().hex}"
-    path = run_dir(spark, "bucketed")
+    """Daily variance from stored bars, bucketed by symbol."""
+    table = f"bars_{uuid.uuid4().hex}"
+    path = run_dir(spark, "bars")
     buckets = spark.sparkContext.defaultParallelism
-    write_ticks_bucketed(ticks(spark, sf_dir), table, buckets, path=path)
-    return _rounded(batch.bucketed_daily_rv(spark.table(table)))
+    bars = log_return_bars(valid_ticks(ticks(spark, sf_dir)))
+    write_bars_bucketed(bars, table, buckets, path=path)
+    return _rounded(daily_rv(spark.table(table)))
 
 
 # Features and requests
@@ -324,6 +326,19 @@ def q_stored_predictions(spark, sf_dir):
     return _rounded(predictions.unionByName(letters), 6)
 
 
+def q_responses_parsed(spark, sf_dir):
+    """Response texts made from the forecasts, some without the required number."""
+    texts = _forecasts(spark, sf_dir).selectExpr(
+        "symbol",
+        "ts",
+        """to_json(named_struct(
+             'symbol', symbol, 'lstm', if(ts / 86400000 % 2 = 0, 0.5D, NULL),
+             'har', if(ts / 86400000 % 5 = 0, NULL, round(har_pred, 6)), 'device', 'cpu'),
+           map('ignoreNullFields', 'false')) AS response""",
+    )
+    return parse_responses(texts).drop("response")
+
+
 def _lstm_scored(spark, sf_dir):
     scorer = SequenceScorer(lstm=LstmModel.from_seed(7))
     return score(model_requests(_daily(spark, sf_dir)), scorer)

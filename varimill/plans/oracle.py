@@ -199,6 +199,12 @@ FROM emitted WHERE {_WEEKDAY} <= 2""",
         "stored_predictions": f"""{plain}
 SELECT symbol, ts, CASE WHEN {_STATUS} = 'ok' THEN 'prediction' ELSE {_STATUS} END AS side,
        CASE WHEN {_STATUS} = 'ok' THEN round(CAST({_HAR} AS DOUBLE), 6) END AS har_pred
+FROM emitted""",
+        "responses_parsed": f"""{plain}
+SELECT symbol, ts, CAST(NULL AS DOUBLE) AS mamba_pred,
+       CASE WHEN ts // 86400000 % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS lstm_pred,
+       CASE WHEN ts // 86400000 % 5 <> 0 THEN round(CAST({_HAR} AS DOUBLE), 6) END AS har_pred,
+       CASE WHEN ts // 86400000 % 5 <> 0 THEN 'ok' ELSE 'error' END AS status
 FROM emitted""",
         "predictions_by_symbol": f'{plain} SELECT symbol, count(*) AS "count" FROM emitted'
         ' GROUP BY symbol ORDER BY "count" DESC, symbol',

@@ -50,6 +50,20 @@ REQUEST = _struct(
     ("sequence", MATRIX),
 )
 
+# A request with its outcome, as stored.
+SCORED = T.StructType(
+    REQUEST.fields
+    + _struct(
+        ("status", _S),
+        ("har_pred", _D),
+        ("attempts", T.IntegerType()),
+        ("mamba_pred", _D),
+        ("lstm_pred", _D),
+        ("created_at", T.TimestampType()),
+        ("outcome", _S),
+    ).fields
+)
+
 DEAD_LETTER = _struct(
     ("symbol", _S), ("ts", _L), ("payload", _S), ("sequence", MATRIX), ("reason", _S)
 )

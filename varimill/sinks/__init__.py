@@ -1,3 +1,4 @@
+from varimill.sinks.bars import write_bars_bucketed
 from varimill.sinks.metrics import append_metrics, read_metrics
 from varimill.sinks.outcomes import (
     PREDICTIONS_DDL,
@@ -9,9 +10,9 @@ from varimill.sinks.outcomes import (
     write_scored,
 )
 from varimill.sinks.ticks import (
+    land_ticks,
     tick_records,
     write_ticks,
-    write_ticks_bucketed,
     write_ticks_csv,
     write_ticks_kafka,
 )
@@ -19,16 +20,17 @@ from varimill.sinks.ticks import (
 __all__ = [
     "PREDICTIONS_DDL",
     "append_metrics",
+    "land_ticks",
     "prediction_rows",
     "read_dead_letters",
     "read_metrics",
     "read_predictions",
     "tick_records",
+    "write_bars_bucketed",
     "write_dead_letters_kafka",
     "write_predictions_jdbc",
     "write_scored",
     "write_ticks",
-    "write_ticks_bucketed",
     "write_ticks_csv",
     "write_ticks_kafka",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varimill.operators.scoring import OK, split_scored
-from varimill.schemas import PREDICTION_ROW, PREDICTION, SYMBOL_MAX_CHARS
+from varimill.schemas import PREDICTION, PREDICTION_ROW, SCORED, SYMBOL_MAX_CHARS
 from varimill.sources.kafka import DEAD_LETTER_TOPIC
 
 # The relational form of the predictions table.
@@ -44,7 +44,7 @@ def write_scored(
 
 
 def _read_outcome(spark: SparkSession, root: str, outcome: str) -> DataFrame:
-    return spark.read.parquet(root).where(F.col("outcome") == outcome)
+    return spark.read.schema(SCORED).parquet(root).where(F.col("outcome") == outcome)
 
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varimill.functions import day_name, event_time
 from varimill.functions.columns import DATETIME_FORMAT
 from varimill.schemas import TICK, TICK_AVRO
+from varimill.sources.csv import line_place
 from varimill.sources.kafka import TICK_TOPIC
 
 
@@ -15,31 +18,44 @@ def _with_day(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("day", day_name("ts"))
 
 
-def write_ticks(ticks: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet, one directory per day, for pruning by day.
+def _by_day(rows: DataFrame, rebalance: bool) -> DataFrame:
+    """Gather the rows of a day, if asked, without piling a hot day on one task.
 
-    Rows are not shuffled: a day may hold any share of the rows, so each task
-    writes its own file per day it meets.
+    Rebalancing by AQE splits large days and merges small ones by size.
     """
-    _with_day(ticks.select(*TICK.names)).write.mode(mode).partitionBy("day").parquet(path)
+    return rows.hint("rebalance", "day") if rebalance else rows
 
 
-def write_ticks_bucketed(
-    ticks: DataFrame, table: str, buckets: int, mode: str = "append", path: str | None = None
+def write_ticks(
+    ticks: DataFrame, path: str, mode: str = "append", rebalance: bool = False
 ) -> None:
-    """A table bucketed by symbol and day.
+    """Parquet, one directory per day, for pruning by day.
+
+    Each task writes one file per day it meets: right for input in rough time
+    order, as daily files are. For input in no order, ``rebalance`` gathers the
+    days first, at the price of a shuffle.
+    """
+    rows = _by_day(_with_day(ticks.select(*TICK.names)), rebalance)
+    rows.write.mode(mode).partitionBy("day").parquet(path)
 
-    Bars and daily variance read from it without a shuffle when they group by
-    ``symbol, day`` (``plans.bucketed_daily_rv``). The day is part of the key so
-    that a hot symbol spreads over as many buckets as it has days.
+
+def land_ticks(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer from a stream of daily files to a tick table, ``seq`` complete.
+
+    A batch has its own directory per day and replaces only that when repeated.
     """
-    rows = _with_day(ticks.select(*TICK.names))
-    writer = rows.repartition(buckets, "symbol", "day").write.mode(mode).format("parquet")
-    writer = writer.bucketBy(buckets, "symbol", "day")
-    (writer.option("path", path) if path else writer).saveAsTable(table)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("seq", F.col("seq") + line_place())
+        rows = _with_day(numbered.select(*TICK.names))
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
 
-def write_ticks_csv(ticks: DataFrame, path: str, mode: str = "error") -> None:
+
+def write_ticks_csv(
+    ticks: DataFrame, path: str, mode: str = "error", rebalance: bool = False
+) -> None:
     """Daily tick files with a header line, one directory per day."""
     fields = _with_day(ticks).select(
         F.date_format(event_time("ts"), DATETIME_FORMAT).alias("DateTime"),
@@ -50,7 +66,7 @@ def write_ticks_csv(ticks: DataFrame, path: str, mode: str = "error") -> None:
         F.col("symbol").alias("Symbol"),
         "day",
     )
-    writer = fields.write.mode(mode).option("header", True).option("quote", "")
+    writer = _by_day(fields, rebalance).write.mode(mode).option("header", True).option("quote", "")
     writer.partitionBy("day").csv(path)
 
 

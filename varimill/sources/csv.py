@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varimill.functions import parse_number, parse_ts, strip
@@ -58,6 +58,9 @@ def read_csv_fields(
     ``last_n`` select days by name; both become one lower bound on the name, so
     the scan lists only the files it needs. A directory without a matching day
     gives no rows.
+
+    On a stream, ``seq`` is only the start of the file split: Spark numbers no
+    rows there. ``sinks.land_ticks`` completes it when it stores the batches.
     """
     if streaming:
         if last_n:
@@ -75,17 +78,23 @@ def read_csv_fields(
         df = df.where(label >= bound)
     elif names is not None:
         df = df.where(F.lit(False))
-    # Line order inside a file: where the split starts plus the row's place in
-    # its task. A split is at least as many bytes as it has rows, so this grows
-    # along the file.
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    start = F.col("_metadata.file_block_start")
     return df.select(
         *CSV_FIELDS,
         label.alias("file_name"),
-        (F.col("_metadata.file_block_start") + place).alias("seq"),
+        (start if streaming else start + line_place()).alias("seq"),
     )
 
 
+def line_place() -> Column:
+    """The row's place in its task, so that split start plus place follows a file.
+
+    A split is at least as many bytes as it has rows, and only the last split of
+    a file shares a task with others; hence the sum grows along the file.
+    """
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def ticks_from_fields(fields: DataFrame) -> DataFrame:
     """Typed ticks from six text fields; a row that does not parse is dropped.
 
@@ -96,7 +105,9 @@ def ticks_from_fields(fields: DataFrame) -> DataFrame:
     typed |= {c: parse_number(c) for c in ("bid", "ask", "volume", "spread")}
     kept = [c for c in fields.columns if c not in CSV_FIELDS]
     ticks = fields.select(*(c.alias(name) for name, c in typed.items()), *kept)
-    return ticks.dropna(subset=list(typed)).where(F.col("symbol") != "")
+    # Not dropna, which would take NaN for a missing value.
+    parsed = " AND ".join(f"{c} IS NOT NULL" for c in typed)
+    return ticks.where(f"{parsed} AND symbol <> ''")
 
 
 def read_ticks_csv(

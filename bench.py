@@ -106,7 +106,7 @@ def full_size(spark: SparkSession, copies: int) -> dict:
     copies_of_events(spark, copies, f"{base}/ticks")
     scorer = SequenceScorer(lstm=LstmModel.from_seed(7))
     best, seen, predictions = math.inf, 0, 0
-    for i in range(2):
+    for i in range(3):
         counter = Observation("ticks")
         ticks = with_tick_counter(spark.read.parquet(f"{base}/ticks"), counter)
         out = f"{base}/out-{i}"

@@ -13,6 +13,7 @@ from varimill.operators import (
     daily_rv,
     invalid_reasons,
     log_return_bars,
+    tick_counts,
     valid_ticks,
     with_tick_counter,
 )
@@ -54,6 +55,7 @@ def test_counter_counts_invalid_ticks_too(ticks_of):
     seen = Observation("ticks")
     kept = valid_ticks(with_tick_counter(ticks_of([e for e, _ in EDGES]), seen)).count()
     assert (seen.get["ticks"], kept) == (len(EDGES), 3)
+    assert tuple(tick_counts(ticks_of([e for e, _ in EDGES])).first()) == (len(EDGES), 3)
 
 
 def bars_of(df, **kw):

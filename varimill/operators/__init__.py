@@ -29,6 +29,7 @@ from varimill.operators.ticks import (
     ingest_counts,
     invalid_reasons,
     select_days,
+    tick_counts,
     valid_ticks,
     with_tick_counter,
 )
@@ -59,6 +60,7 @@ __all__ = [
     "score",
     "select_days",
     "split_scored",
+    "tick_counts",
     "valid_ticks",
     "validate_requests",
     "with_event_time",

@@ -39,12 +39,22 @@ def log_return_bars(
     the partial aggregate shrinks ticks to bars before the shuffle, so a hot
     key moves no more rows than it has bars per input split.
     """
-    if "event_time" not in ticks.columns:
-        ticks = with_event_time(ticks)
     seq = "seq" if "seq" in ticks.columns else None
+    order_key = arrival_key("ts", seq, width).alias("order_key")
+    span = f"{millis(width)}L"
+    if ticks.isStreaming:
+        if "event_time" not in ticks.columns:
+            ticks = with_event_time(ticks)
+        rows = ticks.select(key, "event_time", "bid", order_key)
+        bar, end = F.window("event_time", _span(width)).alias("bar"), "unix_millis(bar.end)"
+        kept = ["bar"]
+    else:
+        # The same windows; without a watermark to serve, a long is the leaner key.
+        bar_end = F.expr(f"ts - pmod(ts, {span}) + {span}").alias("bar_end")
+        rows = ticks.select(key, bar_end, "bid", order_key)
+        bar, end, kept = "bar_end", "bar_end", []
     return (
-        ticks.select(key, "event_time", "bid", arrival_key("ts", seq, width).alias("order_key"))
-        .groupBy(key, F.window("event_time", _span(width)).alias("bar"))
+        rows.groupBy(key, bar)
         .agg(
             F.expr("min_by(bid, order_key) AS first_bid"),
             F.expr("max_by(bid, order_key) AS last_bid"),
@@ -52,11 +62,7 @@ def log_return_bars(
         )
         .where(f"n_ticks >= {min_ticks}")
         .selectExpr(
-            key,
-            "bar",
-            "unix_millis(bar.end) AS ts",
-            "ln(last_bid / first_bid) AS log_return",
-            "n_ticks",
+            key, *kept, f"{end} AS ts", "ln(last_bid / first_bid) AS log_return", "n_ticks"
         )
     )
 
@@ -67,11 +73,10 @@ def daily_rv(
     """Sum of squared bar returns per key and day; ``ts`` is the day's end.
 
     A bar belongs to the day of its last instant, so the 23:55 bar stays in its
-    day although its ``ts`` is the next midnight. Stored bars have no ``bar``
-    window; theirs ends at ``ts``.
+    day although its ``ts`` is the next midnight.
     """
     squares = F.expr("sum(log_return * log_return) AS rv_daily")
-    if "bar" in bars.columns:
+    if bars.isStreaming:
         window = F.window(F.window_time("bar"), _span(period)).alias("day")
         return bars.groupBy(key, window).agg(squares).selectExpr(
             key, "unix_millis(day.end) AS ts", "rv_daily"

@@ -40,11 +40,19 @@ def with_tick_counter(df: DataFrame, observation: Observation | str = "ticks") -
     """Count rows as they pass; place before ``valid_ticks`` to count all ticks.
 
     Give an ``Observation`` for a batch frame, or a name for a stream, whose
-    count then appears in the query progress under that name.
+    count then appears in the query progress under that name. This is a monitor:
+    a stage that runs again after a lost executor counts again (``tick_counts``
+    does not).
     """
     return df.observe(observation, F.count(F.lit(1)).alias("ticks"))
 
 
+def tick_counts(df: DataFrame) -> DataFrame:
+    """All ticks and the valid ones, as one row of a query."""
+    valid = " AND ".join(f"({ok})" for ok in VALID.values())
+    return df.agg(F.expr("count(*) AS ticks"), F.expr(f"count_if({valid}) AS valid"))
+
+
 def ingest_counts(df: DataFrame, by: str = "file_name") -> DataFrame:
     """Ticks per ``by`` plus one grand-total row, whose ``by`` is null.
 

@@ -3,17 +3,23 @@ from varimill.plans.batch import (
     forecasts,
     requests,
     scored_requests,
+    unscored_requests,
 )
+from varimill.plans.jobs import forecast_job, ingest_job, replay_job
 from varimill.plans.streams import stream_daily_rv, stream_to_requests, stream_to_table
 from varimill.plans.sweep import sweep
 
 __all__ = [
     "daily_variance",
+    "forecast_job",
     "forecasts",
+    "ingest_job",
+    "replay_job",
     "requests",
     "scored_requests",
     "stream_daily_rv",
     "stream_to_requests",
     "stream_to_table",
     "sweep",
+    "unscored_requests",
 ]

@@ -53,6 +53,19 @@ def scored_requests(
     )
 
 
+def unscored_requests(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
+    """Requests with the outcome they have when models are switched off."""
+    rows = requests(ticks, config)
+    return rows.selectExpr(
+        "*",
+        "'ok' AS status",
+        "0D AS har_pred",
+        "0 AS attempts",
+        "cast(NULL AS double) AS mamba_pred",
+        "cast(NULL AS double) AS lstm_pred",
+    )
+
+
 def forecasts(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
     """Predictions without a sequence model: linear forecast, or bypass.
 

@@ -41,14 +41,16 @@ from varimill.operators import (
     score,
     select_days,
     split_scored,
+    tick_counts,
     valid_ticks,
     with_throughput,
     with_tick_counter,
 )
 from varimill.operators.scoring import ERROR, INVALID, OK
 from varimill.plans import batch, streams
+from varimill.plans.jobs import replay_job
 from varimill.plans.sweep import sweep
-from varimill.schemas import TICK
+from varimill.schemas import SCORED, TICK
 from varimill.sinks import (
     append_metrics,
     read_dead_letters,
@@ -167,10 +169,7 @@ def q_invalid_tick_reasons(spark, sf_dir):
 
 
 def q_tick_counter(spark, sf_dir):
-    """Ticks seen and ticks kept, counted in one pass."""
-    seen = Observation("ticks")
-    kept = valid_ticks(with_tick_counter(ticks(spark, sf_dir), seen)).count()
-    return spark.createDataFrame([(seen.get["ticks"], kept)], "ticks long, valid long")
+    return tick_counts(ticks(spark, sf_dir))
 
 
 # Bars and days
@@ -428,5 +427,14 @@ def q_stream_requests(spark, sf_dir):
     return requests.select("symbol", "ts", "is_first", "payload")
 
 
+def q_stream_replayed(spark, sf_dir):
+    """Dead letters read as a stream from the store and replayed."""
+    store, replayed, checkpoint = (run_dir(spark, d) for d in ("store", "replayed", "checkpoint"))
+    write_scored(_scored(spark, sf_dir), 0, store, partitions=4)
+    replay_job(spark, store, replayed, checkpoint, DayRuleScorer(recovered=True))
+    names = ("symbol", "ts", "status", "attempts", "lstm_pred", "har_pred")
+    return _rounded(spark.read.schema(SCORED).parquet(replayed).select(*names), 6)
+
+
 def queries() -> dict[str, Query]:
     return {n[2:]: f for n, f in globals().items() if n.startswith("q_")}

@@ -124,6 +124,12 @@ SELECT {_TICK_COLUMNS}, {days} FROM ranked WHERE newest <= 20
 
 def oracle_sql() -> dict[str, str]:
     plain = _ctes()
+    replayed = f"""{plain}
+SELECT symbol, ts,
+       CASE {_WEEKDAY} WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'ok' END AS status,
+       CAST(CASE {_WEEKDAY} WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+       CASE {_WEEKDAY} WHEN 2 THEN CAST(1 AS DOUBLE) END AS lstm_pred, {_HAR6}
+FROM emitted WHERE {_WEEKDAY} <= 2"""
     daily = f"{plain} SELECT symbol, ts, round(rv_daily, 8) AS rv_daily FROM daily"
     payloads = _payload_rows(_GATED, "symbol, ts, is_first")
     tick_rows = f"WITH {_TICKS.format(symbol='event_type')} SELECT {_TICK_COLUMNS}, seq FROM ticks"
@@ -190,12 +196,7 @@ FROM emitted""",
             f"symbol, ts, {_STATUS} AS reason, CAST(22 AS INTEGER) AS steps",
             f"{_WEEKDAY} <= 2",
         ),
-        "replayed": f"""{plain}
-SELECT symbol, ts,
-       CASE {_WEEKDAY} WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'ok' END AS status,
-       CAST(CASE {_WEEKDAY} WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
-       CASE {_WEEKDAY} WHEN 2 THEN CAST(1 AS DOUBLE) END AS lstm_pred, {_HAR6}
-FROM emitted WHERE {_WEEKDAY} <= 2""",
+        "replayed": replayed,
         "stored_predictions": f"""{plain}
 SELECT symbol, ts, CASE WHEN {_STATUS} = 'ok' THEN 'prediction' ELSE {_STATUS} END AS side,
        CASE WHEN {_STATUS} = 'ok' THEN round(CAST({_HAR} AS DOUBLE), 6) END AS har_pred
@@ -220,4 +221,5 @@ FROM (SELECT count(*) AS total_ticks FROM events),
      (VALUES (2), (8)) AS a(i), (VALUES (4), (8)) AS b(s)""",
         "stream_daily_rv": daily,
         "stream_requests": payloads,
+        "stream_replayed": replayed,
     }

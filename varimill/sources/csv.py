@@ -62,22 +62,17 @@ def read_csv_fields(
     On a stream, ``seq`` is only the start of the file split: Spark numbers no
     rows there. ``sinks.land_ticks`` completes it when it stores the batches.
     """
-    if streaming:
-        if last_n:
-            raise ValueError("last_n needs a closed set of files; use from_date on a stream")
-        names = None
-    else:
-        names = [n for n in day_names(spark, path) if n >= (from_date or "")]
-        if last_n > 0:
-            names = names[-last_n:]
+    if last_n and streaming:
+        raise ValueError("last_n needs a closed set of files; use from_date on a stream")
+    if last_n > 0:
+        newest = [n for n in day_names(spark, path) if n >= (from_date or "")][-last_n:]
+        # Without any match the bound stays as it is and keeps nothing.
+        from_date = newest[0] if newest else from_date
     df = _reader(spark, streaming).csv(path)
     by_directory = "day" in df.columns
     label = F.col("day").cast("string") if by_directory else F.col("_metadata.file_name")
-    bound = from_date if streaming else min(names, default=None)
-    if bound:
-        df = df.where(label >= bound)
-    elif names is not None:
-        df = df.where(F.lit(False))
+    if from_date:
+        df = df.where(label >= from_date)
     start = F.col("_metadata.file_block_start")
     return df.select(
         *CSV_FIELDS,

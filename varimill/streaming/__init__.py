@@ -1,4 +1,5 @@
 from varimill.streaming.history import request_stream
+from varimill.streaming.letters import dead_letter_stream, replay_batches
 from varimill.streaming.runs import (
     FLUSH_SYMBOL,
     available_now,
@@ -15,8 +16,10 @@ __all__ = [
     "FLUSH_SYMBOL",
     "available_now",
     "daily_rv_stream",
+    "dead_letter_stream",
     "flush_tick",
     "latest_event_ms",
+    "replay_batches",
     "request_stream",
     "score_batches",
     "send_flush",

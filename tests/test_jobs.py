@@ -95,14 +95,18 @@ def test_session_settings(spark):
     assert PipelineConfig.from_session(spark) == PipelineConfig()
 
 
-def test_shared_folder_is_the_one_the_session_names(spark):
+def test_shared_folder_is_the_one_the_session_names():
     from types import SimpleNamespace
 
     from varimill.workspace import run_dir, shared_dir
 
-    named = SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": "hdfs://n/s/"}[key])
-    assert run_dir(SimpleNamespace(conf=named), "x").startswith("hdfs://n/s/x-")
-    assert shared_dir(spark).endswith("/varimill")
+    def session(**settings):
+        settings = {k.replace("_", "."): v for k, v in settings.items()}
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
+
+    named = session(spark_checkpoint_dir="hdfs://n/s/")
+    assert run_dir(named, "x").startswith("hdfs://n/s/x-")
+    assert shared_dir(session()).endswith("/varimill")
 
 
 def test_defaults_are_the_fixed_values():

@@ -116,6 +116,28 @@ def test_day_selection(spark, days, options, kept):
     assert {r.symbol for r in df.collect()} == {f"2024-01-0{d}" for d in kept}
 
 
+def test_empty_directory_gives_no_rows(spark, tmp_path):
+    for options in ({}, {"last_n": 3}, {"from_date": "2024-01-01", "last_n": 3}):
+        assert read_ticks_csv(spark, str(tmp_path), **options).count() == 0
+
+
+def test_clock_text_reads_back_in_any_session_zone(spark):
+    from varimill.functions import clock_text, day_name, parse_ts
+
+    stamps = [1, 1704153601500, 1709251199999, 1520000000007, 86_399_999]
+    df = spark.createDataFrame([(t,) for t in stamps], "ts long")
+    for zone in ("UTC", "America/Sao_Paulo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            rows = df.select("ts", clock_text().alias("t"), day_name().alias("d")).select(
+                "ts", "t", "d", parse_ts("t").alias("back")
+            ).collect()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert [r.back for r in rows] == stamps
+        assert (rows[2].t, rows[2].d) == ("20240229 23:59:59.999", "2024-02-29")
+
+
 def test_day_selection_prunes_files(spark, days):
     df = read_ticks_csv(spark, days, last_n=1)
     df.collect()

@@ -25,7 +25,10 @@ class PipelineConfig:
     backoff_ms: int = 100
     breaker_threshold: int = 5
     breaker_open_s: float = 30.0
-    capacity: int = 20
+
+    # Limits towards other systems. ``capacity`` is the number of requests per
+    # scorer call: None for local models, 20 towards a service.
+    capacity: int | None = None
     sink_partitions: int = 4
 
     # Choices of a run.

@@ -1,5 +1,6 @@
 from varimill.functions.columns import (
     arrival_key,
+    clock_text,
     day_name,
     event_time,
     expanding_history_sql,
@@ -17,6 +18,7 @@ from varimill.functions.columns import (
 
 __all__ = [
     "arrival_key",
+    "clock_text",
     "day_name",
     "event_time",
     "expanding_history_sql",

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the text form of a tick time in daily files, read as UTC.
-DATETIME_FORMAT = "yyyyMMdd HH:mm:ss.SSS"
 CLOCK_PATTERN = r"^[0-9]{8} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}$"
 BLANKS = "".join(map(chr, range(0x21)))
 DAY_MS = 86_400_000
@@ -37,6 +36,22 @@ def day_name(ts: str = "ts") -> Column:
     return F.expr(f"cast(date_from_unix_date(cast(floor({ts} / {DAY_MS}L) AS int)) AS string)")
 
 
+def clock_text(ts: str = "ts") -> Column:
+    """``ts`` as ``yyyyMMdd HH:mm:ss.SSS`` in UTC, whatever the session zone."""
+    ms = f"pmod({ts}, {DAY_MS}L)"
+    parts = ", ".join(
+        f"cast({p} AS int)"
+        for p in (
+            f"{ms} div 3600000",
+            f"{ms} div 60000 % 60",
+            f"{ms} div 1000 % 60",
+            f"{ms} % 1000",
+        )
+    )
+    date = f"replace(cast(date_from_unix_date(cast(floor({ts} / {DAY_MS}L) AS int)) AS string), '-')"
+    return F.expr(f"concat({date}, format_string(' %02d:%02d:%02d.%03d', {parts}))")
+
+
 def finite_sql(*names: str) -> str:
     """SQL condition: every value is a number other than NaN and the infinities.
 

@@ -14,9 +14,9 @@ def predictions_by_symbol(predictions: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("count"), "symbol")
 
 
-def predictions_with_model(predictions: DataFrame, col: str = "mamba_pred") -> DataFrame:
-    """How many predictions carry an output of the model in ``col``."""
-    return predictions.where(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("count"))
+def predictions_with_model(predictions: DataFrame, *cols: str) -> DataFrame:
+    """How many predictions carry an output of each model, in one pass."""
+    return predictions.agg(*(F.count(c).alias(c) for c in cols or ("mamba_pred",)))
 
 
 def head_ordered(df: DataFrame, n: int = 10, by: tuple[str, ...] = ("ts", "symbol")) -> DataFrame:

@@ -48,6 +48,7 @@ def scored_requests(
             "backoff_ms": config.backoff_ms,
             "breaker_threshold": config.breaker_threshold,
             "breaker_open_s": config.breaker_open_s,
+            "capacity": config.capacity,
         }
         | options,
     )

@@ -357,12 +357,7 @@ def q_predictions_by_symbol(spark, sf_dir):
 
 def q_predictions_with_model(spark, sf_dir):
     predictions, _ = split_scored(_lstm_scored(spark, sf_dir))
-    both = (
-        predictions_with_model(predictions, c).withColumn("model", F.lit(c))
-        for c in ("lstm_pred", "mamba_pred")
-    )
-    lstm, mamba = both
-    return lstm.unionByName(mamba)
+    return predictions_with_model(predictions, "lstm_pred", "mamba_pred")
 
 
 def q_predictions_head(spark, sf_dir):

@@ -49,7 +49,7 @@ def forecast_job(
         scored = scored_requests(ticks, scorer, config, **options)
     else:
         scored = unscored_requests(ticks, config)
-    write_scored(scored, run_id, root, config.sink_partitions)
+    write_scored(scored, run_id, root)
     if metrics is None:
         return
     row = (

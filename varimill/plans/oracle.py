@@ -209,8 +209,8 @@ SELECT symbol, ts, CAST(NULL AS DOUBLE) AS mamba_pred,
 FROM emitted""",
         "predictions_by_symbol": f'{plain} SELECT symbol, count(*) AS "count" FROM emitted'
         ' GROUP BY symbol ORDER BY "count" DESC, symbol',
-        "predictions_with_model": f"{plain} SELECT count(*) AS \"count\", 'lstm_pred' AS model"
-        " FROM emitted UNION ALL SELECT 0, 'mamba_pred'",
+        "predictions_with_model": f"{plain} SELECT count(*) AS lstm_pred,"
+        " CAST(0 AS BIGINT) AS mamba_pred FROM emitted",
         "predictions_head": f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6}"
         " FROM emitted ORDER BY ts, symbol LIMIT 10",
         "throughput": _RUNS.format(d=6),

@@ -35,11 +35,16 @@ CREATE TABLE IF NOT EXISTS predictions (
 def write_scored(
     scored: DataFrame, batch_id: int, root: str, partitions: int | None = None
 ) -> None:
-    """Write one scored batch below ``root``, predictions and dead letters apart."""
+    """Write one scored batch below ``root``, predictions and dead letters apart.
+
+    ``partitions`` sets the number of writers. The shuffle it takes is by key,
+    so scoring keeps its own parallelism and a rerun task cannot move a row to a
+    second writer.
+    """
     outcome = F.when(F.col("status") == OK, F.lit("prediction")).otherwise(F.lit("dead_letter"))
     rows = scored.withColumn("outcome", outcome).withColumn("created_at", F.current_timestamp())
     if partitions is not None:
-        rows = rows.coalesce(partitions)
+        rows = rows.repartition(partitions, "symbol", "ts")
     rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{root}/batch_id={batch_id}")
 
 

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varimill.functions import day_name, event_time
-from varimill.functions.columns import DATETIME_FORMAT
+from varimill.functions import clock_text, day_name
 from varimill.schemas import TICK, TICK_AVRO
 from varimill.sources.csv import line_place
 from varimill.sources.kafka import TICK_TOPIC
@@ -58,7 +57,7 @@ def write_ticks_csv(
 ) -> None:
     """Daily tick files with a header line, one directory per day."""
     fields = _with_day(ticks).select(
-        F.date_format(event_time("ts"), DATETIME_FORMAT).alias("DateTime"),
+        clock_text("ts").alias("DateTime"),
         F.col("bid").cast("string").alias("Bid"),
         F.col("ask").cast("string").alias("Ask"),
         F.col("volume").cast("string").alias("Volume"),

@@ -8,11 +8,11 @@ from varimill.functions.columns import (
     har_forecast,
     is_finite,
     millis,
-    parse_number,
-    parse_ts,
+    number_sql,
     payload_json,
-    strip,
+    strip_sql,
     throughput,
+    ts_sql,
     utc_midnight_ms,
 )
 
@@ -26,10 +26,10 @@ __all__ = [
     "har_forecast",
     "is_finite",
     "millis",
-    "parse_number",
-    "parse_ts",
+    "number_sql",
     "payload_json",
-    "strip",
+    "strip_sql",
     "throughput",
+    "ts_sql",
     "utc_midnight_ms",
 ]

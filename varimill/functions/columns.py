@@ -9,8 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the text form of a tick time in daily files, read as UTC.
-CLOCK_PATTERN = r"^[0-9]{8} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}$"
-BLANKS = "".join(map(chr, range(0x21)))
+CLOCK_PATTERN = "^[0-9]{8} [0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{3}$"
 DAY_MS = 86_400_000
 
 
@@ -64,46 +63,53 @@ def is_finite(*names: str) -> Column:
     return F.expr(finite_sql(*names))
 
 
-def strip(text: Column | str) -> Column:
-    """Cut control characters and blanks off both ends, not only spaces."""
-    return F.trim(_col(text), F.lit(BLANKS))
+def strip_sql(text: str) -> str:
+    """Cut control characters and blanks off both ends, not only spaces.
+
+    Text that has none there, nearly all of it, skips the costly general trim.
+    """
+    blanks = "".join(f"\\u{c:04X}" for c in range(0x21))
+    clean = f"ascii({text}) > 32 AND ascii(substring({text}, -1, 1)) > 32"
+    return f"if({clean}, {text}, trim(BOTH '{blanks}' FROM {text}))"
 
 
-def parse_number(text: Column | str) -> Column:
+def number_sql(text: str) -> str:
     """Decimal text to double, null when it is none.
 
-    Of the spellings of NaN and infinity only the two fixed ones count; the
-    cast alone would take others too. The patterns run on such values only.
+    Of the spellings of NaN and infinity only the fixed ones count; the cast
+    alone would take others too. A text that ends in a digit is none of them.
     """
-    s = strip(text)
-    x = _col(text).try_cast("double")
-    named = s.rlike("(?i)^[+-]?(nan|inf|infinity)$") & ~s.rlike("^[+-]?(NaN|Infinity)$")
-    # x - x is 0 unless x is NaN or infinite.
-    return F.when(((x - x) == 0) | ~named, x)
+    digit_last = f"ascii(substring({text}, -1, 1)) BETWEEN 48 AND 57"
+    fixed = r"^[\\x00-\\x20]*[+-]?(NaN|Infinity)[\\x00-\\x20]*$"
+    named = f"lower({text}) RLIKE 'nan|inf' AND NOT {text} RLIKE '{fixed}'"
+    number = f"try_cast({text} AS double)"
+    return f"CASE WHEN {digit_last} THEN {number} WHEN {named} THEN NULL ELSE {number} END"
 
 
-def parse_ts(text: Column | str) -> Column:
-    """Tick time text to epoch milliseconds; null when it is neither form.
+def ts_sql(text: str) -> str:
+    """Stripped tick time text to epoch milliseconds; null when it is neither form.
 
     All digits: already epoch milliseconds. Otherwise ``yyyyMMdd HH:mm:ss.SSS``
     in UTC, read by position, so the session zone has no say. A day past the
     end of its month means the last day, and 24:00:00.000 the next midnight.
     """
-    s = strip(text)
 
-    def part(start: int, length: int) -> Column:
-        return F.substring(s, start, length).cast("int")
+    def part(start: int, length: int) -> str:
+        return f"cast(substring({text}, {start}, {length}) AS int)"
 
     year, month, day = part(1, 4), part(5, 2), part(7, 2)
     hour, minute, second, milli = part(10, 2), part(13, 2), part(16, 2), part(19, 3)
-    of_day = ((hour * 60 + minute) * 60 + second).cast("long") * 1000 + milli
-    date_ok = (year > 0) & month.between(1, 12) & day.between(1, 31)
-    time_ok = (minute < 60) & (second < 60) & (of_day <= DAY_MS)
-    first = F.make_date(year, month, F.lit(1))
-    offset = F.least(day, F.dayofmonth(F.last_day(first))) - 1
-    clock = (F.unix_date(first) + offset).cast("long") * DAY_MS + of_day
-    return F.when(s.rlike("^[0-9]+$"), s.try_cast("long")).when(
-        s.rlike(CLOCK_PATTERN), F.when(date_ok & time_ok, clock)
+    of_day = f"(({hour} * 60 + {minute}) * 60 + {second}) * 1000 + {milli}"
+    first = f"make_date({year}, {month}, 1)"
+    offset = f"if({day} <= 28, {day}, least({day}, day(last_day({first})))) - 1"
+    ok = (
+        f"{year} > 0 AND {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31"
+        f" AND {minute} < 60 AND {second} < 60 AND {of_day} <= {DAY_MS}"
+    )
+    clock = f"if({ok}, (unix_date({first}) + {offset}) * {DAY_MS}L + {of_day}, NULL)"
+    return (
+        f"CASE WHEN {text} RLIKE '{CLOCK_PATTERN}' THEN {clock}"
+        f" WHEN {text} RLIKE '^[0-9]+$' THEN try_cast({text} AS bigint) END"
     )
 
 

@@ -12,7 +12,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.functions import parse_number, parse_ts, strip
+from varimill.functions import number_sql, strip_sql, ts_sql
 from varimill.schemas import CSV_FIELDS, CSV_TICK, TICK
 
 GLOB = "*.[cC][sS][vV]"
@@ -96,13 +96,25 @@ def ticks_from_fields(fields: DataFrame) -> DataFrame:
     The symbol is trimmed and must not be empty. ``spread`` must parse although
     nothing reads it later. NaN and infinities are numbers here.
     """
-    typed = {"symbol": strip("symbol"), "ts": parse_ts("datetime")}
-    typed |= {c: parse_number(c) for c in ("bid", "ask", "volume", "spread")}
     kept = [c for c in fields.columns if c not in CSV_FIELDS]
-    ticks = fields.select(*(c.alias(name) for name, c in typed.items()), *kept)
-    # Not dropna, which would take NaN for a missing value.
-    parsed = " AND ".join(f"{c} IS NOT NULL" for c in typed)
-    return ticks.where(f"{parsed} AND symbol <> ''")
+    stripped = fields.selectExpr(
+        f"{strip_sql('symbol')} AS symbol",
+        f"{strip_sql('datetime')} AS datetime",
+        *("bid", "ask", "volume", "spread"),
+        *kept,
+    )
+    typed = {"symbol": "symbol", "ts": ts_sql("datetime")}
+    typed |= {c: number_sql(c) for c in ("bid", "ask", "volume", "spread")}
+    row = ", ".join(f"'{name}', {value}" for name, value in typed.items())
+    rows = stripped.selectExpr(*kept, f"named_struct({row}) AS tick")
+    # A filter on parsed columns would be pushed below the parsing and repeat it;
+    # a generator of one row or none reads the finished struct.
+    parsed = " AND ".join(f"tick.{c} IS NOT NULL" for c in typed)
+    none = "slice(array(tick), 1, 0)"
+    ticks = rows.selectExpr(
+        *kept, f"inline(if(tick.symbol <> '' AND {parsed}, array(tick), {none}))"
+    )
+    return ticks.select(*typed, *kept)
 
 
 def read_ticks_csv(

@@ -22,7 +22,6 @@ from varimill.operators import (
     LstmModel,
     Outcome,
     SequenceScorer,
-    bypass,
     daily_rv,
     first_requests,
     gate,

@@ -177,8 +177,7 @@ SELECT count(*) AS ticks, count(*) FILTER (WHERE {_VALID_CONDITION}) AS valid FR
         "request_payloads": payloads,
         "model_sequences": f"""{_GATED}
 SELECT e.symbol, e.ts, CAST(c.day_no - e.day_no + 21 AS INTEGER) AS step,
-       round(round(c.rv_daily, 10), 8) AS rv_daily, round(round(c.w, 10), 8) AS rv_weekly,
-       round(round(c.m, 10), 8) AS rv_monthly
+       round(c.rv_daily, 10) AS rv_daily, round(c.w, 10) AS rv_weekly, round(c.m, 10) AS rv_monthly
 FROM emitted e JOIN cut c
   ON c.symbol = e.symbol AND c.day_no BETWEEN e.day_no - 21 AND e.day_no""",
         "har_predictions": f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6} FROM emitted",

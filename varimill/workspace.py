@@ -11,11 +11,19 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 
-    Only a session without the setting, such as a test on one machine, gets a
-    local one.
+    ``spark.checkpoint.dir`` first, then a folder given to
+    ``SparkContext.setCheckpointDir``. Only a session whose executors run on the
+    driver's machine, such as a test, gets a local one; on a cluster without
+    either this raises.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
-    return given or f"{tempfile.gettempdir()}/varimill"
+    context = spark.sparkContext
+    given = given or context.getCheckpointDir()
+    if given:
+        return given
+    if context.master.startswith("local["):
+        return f"{tempfile.gettempdir()}/varimill"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:

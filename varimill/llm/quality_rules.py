@@ -31,8 +31,8 @@ FEATURES = {
     "symbol_share": 0.005,
     "upper_share": 0.01,
     "word_length": 0.25,
-    "dup_line_share": 0.03,
-    "repeat_share": 0.03,
+    "dup_line_share": 0.07,
+    "repeat_share": 0.07,
 }
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))

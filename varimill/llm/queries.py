@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.llm import pieces, quality_rules, token_counts
+from varimill.llm import jaccard_join, pieces, quality_rules, substring_dedup, token_counts
 from varimill.sources.tables import read_table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, keep=["doc_id"]).select(
@@ -24,6 +28,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +59,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op7_token_counts, op8_sentencepiece)}
+    return {f.__name__: f for f in (op3_jaccard_join, op4_quality_rules, op6_substring_dedup, op7_token_counts, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

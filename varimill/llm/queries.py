@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.llm import jaccard_join, pieces, quality_rules, substring_dedup, token_counts
+from varimill.llm import jaccard_join, pieces, quality_rules, secrets, substring_dedup, token_counts, url_filter
 from varimill.sources.tables import read_table
 
 
@@ -17,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return cut.select(
@@ -59,8 +68,60 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jaccard_join, op4_quality_rules, op6_substring_dedup, op7_token_counts, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_url_filter, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece)}
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """Matches and the pieces between them, with running sums for places; then the
+    parts of a document are joined on their distance."""
+    found = []
+    for kind, group in (("assign", 2), ("access", 0), ("hex", 0), ("user", 3), ("endpoint", 0)):
+        pattern = _sql_text(secrets._PATTERNS[kind])
+        found.append(
+            f"SELECT doc_id, '{kind}' AS pattern, unnest(range(len(w))) AS i, unnest(w) AS whole,"
+            f" unnest(v) AS val, unnest(b[:len(w)]) AS before FROM (SELECT doc_id,"
+            f" regexp_extract_all(text, {pattern}, 0) AS w,"
+            f" regexp_extract_all(text, {pattern}, {group}) AS v,"
+            f" regexp_split_to_array(text, {pattern}) AS b FROM docs)"
+        )
+    scope = secrets.SCOPE
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secrets.KINDS)) + " END"
+    role = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, (r, _) in secrets.KINDS.items()) + " END"
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+placed AS (
+  SELECT doc_id, CASE WHEN pattern <> 'assign' THEN pattern
+                      WHEN length(val) >= {secrets.ASSIGN_CHARS} THEN 'assign'
+                      WHEN length(val) >= {secrets.SHORT_CHARS} THEN 'short' END AS kind,
+         length(whole) AS size,
+         CAST(sum(length(before) + length(whole)) OVER
+              (PARTITION BY doc_id, pattern ORDER BY i) AS BIGINT) AS e
+  FROM found),
+parts AS (SELECT doc_id, kind, {role} AS part, {order} AS o, e - size AS s, e
+          FROM placed WHERE kind IS NOT NULL),
+kept AS (
+  SELECT doc_id, kind, o, s, e FROM parts WHERE kind IN ({base})
+  UNION ALL
+  SELECT doc_id, kind, o, s, e FROM parts w WHERE kind NOT IN ({base}) AND EXISTS (
+    SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND (p.part = 'secret') <> (w.part = 'secret')
+      AND p.s <= w.e + {scope} AND p.e >= w.s - {scope})),
+agg AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+         count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         {listed} FILTER (kind IN ({base})) AS base, {listed} AS spans
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM docs LEFT JOIN agg USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scan": _secrets_sql()}

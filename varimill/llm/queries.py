@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.llm import jaccard_join, pieces, quality_rules, secrets, substring_dedup, token_counts, url_filter
+from varimill.llm import jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, url_filter
 from varimill.sources.tables import read_table
 
 
@@ -22,6 +22,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_model.classify(docs, trusted)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(read_table(spark, sf_dir, "documents"))
 
@@ -68,7 +74,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece)}
 
 
 def _sql_text(value: str) -> str:

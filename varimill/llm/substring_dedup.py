@@ -296,10 +296,11 @@ def remove_repeats(
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (words joined by one space).
 
     ``buckets``: groups that entries and documents are dealt into, by default
-    two for each shuffle partition; a group must fit a task's memory.
+    one for each shuffle partition; a group must fit a task's memory. Packed rows
+    are one for each pair of groups that share an entry, so never more than entries.
     """
     block = (window + 1) // 2
-    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     by_shard = _packed_texts(docs, buckets)
     hits = _meet(_probes(docs, block, buckets), block, buckets)

@@ -10,10 +10,13 @@ share one of the D + 1 parts that come first in any fixed order. These are the
 join keys, per size band (b: bits of the larger set's size). Parts known to be
 frequent come last in the order, which keeps common passages out of the keys.
 
-Documents that share keys form candidate clusters. Inside a cluster, or between
-two blocks of a large one, the sets themselves are compared, following links
-from each document found to the ones not reached yet. Only links between
-different sets are made; equal sets are one node from the start.
+The same parity idea on single bits gives each document a bit sketch of about
+one bit per shingle. Of the documents that share a key only those stay together
+whose bit sketches differ in at most D places; they form candidate clusters.
+Inside a cluster, or between two blocks of a large one, the sets themselves are
+compared. Both steps follow links from each document found to the ones not
+reached yet, so no group is expanded to all its pairs. Equal sets are one node
+from the start.
 
 Null and empty texts have no shingles and no links. A null id has no component.
 Rows with the same id are taken as rows of their own with that id.
@@ -37,6 +40,7 @@ WIDTH = 5
 SIMILARITY = 80  # percent
 HINT_BITS = 20
 HINT_SHARE = 8  # one document in so many is looked at to see which parts are frequent
+BLOCK_MEMBERS = 4096  # documents under one key that a task compares with themselves or another block
 BLOCK_SHINGLES = 1_000_000  # of a cluster that one task compares with itself or another block
 _SALTS = 8
 _NODES = T.StructType(
@@ -46,7 +50,7 @@ _NODES = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("partners", T.ArrayType(T.LongType())),
+        T.StructField("sketch", T.BinaryType()),
     ]
 )
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -65,7 +69,17 @@ def _parts(shingles: np.ndarray, bits: int, salt: int) -> np.ndarray:
     place = shingles >> np.uint64(64 - bits)
     starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     folded = np.bitwise_xor.reduceat(mix(shingles), starts)
-    return mix(folded + place[starts] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(bits << 8 | salt))
+    keys = mix(folded + place[starts] * np.uint64(0x2545F4914F6CDD1D) + np.uint64(bits << 8 | salt))
+    return keys & ~np.uint64(63) | np.uint64(bits)  # the low bits say which band
+
+
+def bit_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """2^bits parities, at least 64, as words; the next smaller sketch is the XOR
+    of its halves."""
+    bits = max(bits, 6)
+    place = (mix(shingles) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=1 << bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
 
 
 def _bands(n: int, percent: int) -> Iterator[tuple[int, int]]:
@@ -95,7 +109,7 @@ def sketch_keys(shingles: np.ndarray, percent: int, common: np.ndarray | None =
             found.append(parts[np.argpartition(order, differ)[: differ + 1]])
             break
         else:
-            found.append(mix(np.array([bits], np.uint64)))
+            found.append(mix(np.array([bits], np.uint64)) & ~np.uint64(63) | np.uint64(bits))
     return np.concatenate(found)
 
 
@@ -133,24 +147,16 @@ def _frequent_parts(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """A row per document: set size, node, keys to be joined, partners found already.
-
-    Equal sets and equal keys of one Arrow batch are combined before anything is
-    shuffled, so a frequent key leaves a batch once.
-    """
+    """A row per document: set size, node, and for the first document with its set
+    in an Arrow batch the join keys and the bit sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     schema = arrow_schema(_NODES)
 
-    def lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-        order = np.argsort(owner, kind="stable")
-        offsets = np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             node, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            keys, owners, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
+            keys, counts, sketches, seen = [np.zeros(0, np.uint64)], np.zeros(n + 1, np.int32), [None] * n, set()
             for i, shingles in enumerate(_sets(batch.column(2), width)):
                 size[i] = len(shingles)
                 if not len(shingles):
@@ -159,21 +165,17 @@ def _nodes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
                 if node[i] not in seen:
                     seen.add(node[i])
                     keys.append(sketch_keys(shingles, percent, shared.value))
-                    owners.append(np.full(len(keys[-1]), i))
-            key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            leader = owner[first][np.cumsum(first) - 1] if len(key) else owner
-            pairs = np.unique(leader[~first] * n + owner[~first])
-            pairs = pairs[pairs // n != pairs % n] if n else pairs
+                    counts[i + 1] = len(keys[-1])
+                    largest = max(bits for bits, _ in _bands(len(shingles), percent))
+                    sketches[i] = bit_sketch(shingles, largest).tobytes()
+            offsets = pa.array(np.cumsum(counts, dtype=np.int32))
             arrays = [
                 batch.column(0),
                 batch.column(1),
                 pa.array(size),
                 pa.array(node),
-                lists(owner[first], key[first], n),
-                lists(pairs // max(n, 1), node[pairs % max(n, 1)], n),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64))),
+                pa.array(sketches, pa.binary()),
             ]
             arrays = [a.cast(f.type) for a, f in zip(arrays, schema, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -181,6 +183,86 @@ def _nodes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
     return docs.select("doc_id", "row_key", "text").mapInArrow(run, _NODES)
 
 
+def _near(sizes: np.ndarray, sketches: list[bytes], bits: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs that span the graph of bit sketches which may be similar enough."""
+    words = 1 << max(bits, 6) - 6
+    folded = []
+    for raw in sketches:
+        sketch = np.frombuffer(raw, np.uint64)
+        while len(sketch) > words:
+            sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+        folded.append(sketch)
+    table = np.stack(folded)
+    left = np.argsort(sizes, kind="stable")
+    pairs, queue = [], []
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+            continue
+        at = queue.pop()
+        low = np.searchsorted(sizes[left], -(-sizes[at] * percent // 100), "left")
+        high = np.searchsorted(sizes[left], sizes[at] * 100 // percent, "right")
+        near = left[low:high]
+        apart = np.bitwise_count(table[near] ^ table[at]).sum(1)
+        met = apart <= (sizes[near] + sizes[at]) * (100 - percent) // (100 + percent)
+        pairs += [(at, i) for i in near[met]]
+        queue += near[met].tolist()
+        keep = np.ones(len(left), bool)
+        keep[low:high] = ~met
+        left = left[keep]
+    return pairs
+
+
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a key and have near bit sketches, enough of them
+    to connect all that do."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    beside = Window.partitionBy("key").orderBy("node")
+    met = keyed.withColumns({"o1": F.lag("node").over(beside), "o2": F.lead("node").over(beside)})
+    met = stored(met.where("o1 <> node or o2 <> node").select("key", "node").distinct(), "shared")
+    groups = met.groupBy("key").agg(
+        F.count("*").alias("n_members"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s"), F.bit_xor("node").alias("x")
+    )
+    # Keys with the same members say the same; one of them is enough.
+    band = F.col("key").bitwiseAND(63)
+    chosen = groups.groupBy(band.alias("band"), "n_members", "s", "x").agg(F.min("key").alias("key"))
+    chosen = chosen.select("key", "band", F.ceil(F.col("n_members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    sketches = nodes.where("sketch is not null").groupBy("node").agg(
+        F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = met.join(chosen, "key").withColumns(
+        {"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}
+    )
+    packs = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pack = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(packs)))
+    rows = rows.join(sketches, "node").select(
+        pack.alias("pack"),
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        "key",
+        "band",
+        "node",
+        "n_shingles",
+        "sketch",
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
+        node, size, band = (table.column(c).to_numpy()[order] for c in ("node", "n_shingles", "band"))
+        sketch = [raw.as_py() for raw in table.column("sketch").take(pa.array(order))]
+        a, b = [], []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            for x, y in _near(size[low:high], sketch[low:high], int(band[low]), percent):
+                a.append(node[low + x])
+                b.append(node[low + y])
+        return pa.table({"a": a, "b": b}, schema=arrow_schema(_LINKS))
+
+    return rows.groupBy("pack", "i", "j").applyInArrow(run, _LINKS)
+
+
 def _reached(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that span the similarity graph of the sets, by walking from set to set."""
     sizes = np.array([len(s) for s in sets])
@@ -288,11 +370,7 @@ def join_classes(
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("row_key"), F.col(text).alias("text"))
     common = _frequent_parts(docs, width, percent)
     nodes = stored(_nodes(docs, width, percent, common), "sketches")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    met = keyed.select(before.alias("a"), F.col("node").alias("b")).where("a is not null")
-    found = nodes.select(F.col("node").alias("a"), F.explode("partners").alias("b"))
-    clusters = components(met.unionByName(found))
+    clusters = components(_candidates(nodes, percent))
     classes = components(_links(docs, nodes, clusters, width, percent))
     rows = nodes.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
     rows = rows.withColumn("class", F.coalesce("component", "node"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.llm import jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, url_filter
+from varimill.llm import decontaminate, jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, url_filter
 from varimill.sources.tables import read_table
 
 
@@ -73,8 +73,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("leaked"),
+        F.col("leaks.item_id").alias("item_ids"),
+        F.array_min("leaks.edits").alias("least_edits"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece, op10_decontamination)}
 
 
 def _sql_text(value: str) -> str:

@@ -21,6 +21,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Everything that is no letter or digit; bytes of other scripts count as letters.
+PUNCTUATION = ~np.isin(np.arange(256), [*b"0123456789", *range(65, 91), *range(97, 123), *range(128, 256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -86,10 +88,12 @@ class Words:
     text's first word, with the number of all words at the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE
+    ) -> None:
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        inside = ~_SPACE[data]
+        inside = ~between[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         ends = inside.copy()

@@ -48,6 +48,7 @@ _NODES = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("row_key", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
+        T.StructField("text_key", T.LongType()),
         T.StructField("node", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.BinaryType()),
@@ -173,6 +174,7 @@ def _nodes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
                 batch.column(0),
                 batch.column(1),
                 pa.array(size),
+                batch.column(3),
                 pa.array(node),
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64))),
                 pa.array(sketches, pa.binary()),
@@ -180,7 +182,7 @@ def _nodes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
             arrays = [a.cast(f.type) for a, f in zip(arrays, schema, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, _NODES)
+    return docs.select("doc_id", "row_key", "text", "text_key").mapInArrow(run, _NODES)
 
 
 def _near(sizes: np.ndarray, sketches: list[bytes], bits: int, percent: int) -> list[tuple[int, int]]:
@@ -362,21 +364,43 @@ def join_classes(
     width: int = WIDTH,
     percent: int = SIMILARITY,
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``.
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``text_key`` (the xxhash64 of
+    the text, which tells rows with the same id apart) for every row of ``docs``.
 
     The component id is the least document id that links reach.
     """
-    key = F.coalesce(F.col(doc_id), F.xxhash64(text))
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("row_key"), F.col(text).alias("text"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+    docs = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        key.alias("row_key"),
+        F.col(text).alias("text"),
+        F.xxhash64(text).alias("text_key"),
+    )
     common = _frequent_parts(docs, width, percent)
     nodes = stored(_nodes(docs, width, percent, common), "sketches")
     clusters = components(_candidates(nodes, percent))
     classes = components(_links(docs, nodes, clusters, width, percent))
-    rows = nodes.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    rows = nodes.select("doc_id", "n_shingles", "text_key", "node").join(classes, "node", "left")
     rows = rows.withColumn("class", F.coalesce("component", "node"))
     # Equal sets are one class without a link; texts without shingles are none.
     filled = rows.where("n_shingles > 0")
     least = filled.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    joined = filled.join(least, "class").select("doc_id", "n_shingles", "component_id")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(empty)
+    out = ("doc_id", "n_shingles", "component_id", "text_key")
+    empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return filled.join(least, "class").select(*out).unionByName(empty.select(*out))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class, that with the least id.
+
+    Texts without words and rows without id all stay.
+    """
+    classes = join_classes(docs, doc_id, text, **options).where("n_shingles > 0 and doc_id is not null")
+    first = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text"))
+    # Rows of equal id and text are the same to the join; one is enough.
+    keys = {"_id": F.col(doc_id).cast("long"), "_text": F.xxhash64(text)}
+    chosen = docs.withColumns(keys).join(first, ["_id", "_text"], "left_semi")
+    chosen = chosen.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    bare = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    return chosen.unionByName(docs.where(F.col(doc_id).isNull() | bare))

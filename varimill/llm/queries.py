@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.llm import decontaminate, jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, url_filter
+from varimill.llm import decontaminate, jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filter
 from varimill.sources.tables import read_table
 
 
@@ -29,7 +29,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_classes(read_table(spark, sf_dir, "documents"))
+    classes = jaccard_join.join_classes(read_table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        "predicted",
+        "n_marks",
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_leaks(docs, read_table(spark, sf_dir, "benchmark"))
@@ -85,7 +98,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece, op10_decontamination)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece, op9_toxicity, op10_decontamination)}
 
 
 def _sql_text(value: str) -> str:

@@ -38,6 +38,7 @@ QUANTILE = 0.95
 SPREADS = 4.0  # distances from the median to the quantile that are added to it
 LEAST_SPREAD = 0.05  # bits per byte
 MAX_LANGUAGES = 10_000  # up to which the thresholds are broadcast
+TAKEN = ("bits", "n_bytes", "score", "perplexity", "threshold", "kept", "_m_lang", "_mean")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _FOLD[[0x09, 0x0B, 0x0C, 0x0D, 0x0A]] = 0x20
@@ -322,7 +323,8 @@ def classify(
     keep_text: bool = False,
 ) -> DataFrame:
     """``docs`` with ``score`` (bits per byte), ``perplexity`` (per byte),
-    ``threshold`` and ``kept``; without the text unless asked for.
+    ``threshold`` and ``kept``; without the text unless asked for. Columns with a
+    name in ``TAKEN`` are replaced.
 
     ``trusted`` has the ids of good documents in the column ``doc_id``. Only
     texts that may be trusted are shuffled, to be joined with these ids.
@@ -332,31 +334,30 @@ def classify(
     counted_ids = stored(trusted.where(~held_out), "trusted")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), "lang", F.col(text).alias("text"))
     near = maybe_in(texts, "doc_id", key_filter(counted_ids, "doc_id"))
-    counts = stored(count_ngrams(near.join(counted_ids, "doc_id", "left_semi")), "counts")
-    taken = ("bits", "n_bytes", "score", "perplexity", "threshold", "kept", "_trusted")
-    rows = docs.drop(*taken)
+    counts = stored(count_ngrams(near.join(counted_ids, "doc_id")), "counts")
+    rows = docs.drop(*TAKEN)
     scored = score(rows, kneser_ney(counts), text)
     scored = stored(scored if keep_text else scored.drop(text), "scores")
-    raw = F.col("bits") / F.col("n_bytes")
+    raw = F.try_divide("bits", "n_bytes")
     judged = scored.select(F.col(doc_id).cast("long").alias("doc_id"), "lang", "bits", "n_bytes")
     judged = judged.where("n_bytes > 0").join(trusted.where(held_out), "doc_id", "left_semi")
-    pulled = (F.col("bits") + PULL * F.col("mean")) / (F.col("n_bytes") + PULL)
-    means = judged.groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean"))
-    limits = judged.join(means.withColumnRenamed("lang", "m_lang"), F.col("lang").eqNullSafe(F.col("m_lang")))
-    limits = limits.groupBy("lang", "mean").agg(
+    pulled = (F.col("bits") + PULL * F.col("_mean")) / (F.col("n_bytes") + PULL)
+    means = judged.groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("_mean"))
+    limits = judged.join(means.withColumnRenamed("lang", "_m_lang"), F.col("lang").eqNullSafe(F.col("_m_lang")))
+    limits = limits.groupBy("lang", "_mean").agg(
         F.percentile_approx(pulled, F.array(F.lit(0.5), F.lit(QUANTILE)), 10_000).alias("q")
     )
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
     limits = stored(
         limits.select(
-            F.col("lang").alias("m_lang"), "mean", (F.col("q")[1] + SPREADS * spread).alias("threshold")
+            F.col("lang").alias("_m_lang"), "_mean", (F.col("q")[1] + SPREADS * spread).alias("threshold")
         ),
         "limits",
     )
     if limits.count() <= MAX_LANGUAGES:
         limits = F.broadcast(limits)
-    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("m_lang")), "left")
+    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("_m_lang")), "left")
     value = F.when(F.col("n_bytes") > 0, F.coalesce(pulled, raw))
     joined = joined.withColumn("score", value).withColumn("perplexity", F.pow(F.lit(2.0), raw))
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True))
-    return joined.withColumn("kept", kept).drop("bits", "n_bytes", "m_lang", "mean")
+    return joined.withColumn("kept", kept).drop("bits", "n_bytes", "_m_lang", "_mean")

@@ -61,6 +61,28 @@ def process_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def sheltered(
+    docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``work`` on ``docs`` while columns with one of ``names`` go by other names;
+    gives the columns of ``docs`` back."""
+    aside: dict[str, str] = {}
+    for column in docs.columns:
+        if column.lower() in names:
+            aside[column] = unused(f"_{column}", [*docs.columns, *aside.values()])
+    back = {new: old for old, new in aside.items()}
+    made = work(docs.withColumnsRenamed(aside)).select(*(aside.get(c, c) for c in docs.columns))
+    return made.withColumnsRenamed(back)
+
+
 def key_filter(keys: DataFrame, column: str) -> DataFrame:
     """A one-hash Bloom filter of a key column, of fixed size whatever the keys."""
     bit = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.llm.frames import arrow_schema, key_filter, maybe_in, stored
+from varimill.llm.frames import arrow_schema, key_filter, maybe_in, stored, unused
 from varimill.llm.graph import components
 from varimill.llm.words import Words, chunks, mix
 
@@ -397,10 +397,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     classes = join_classes(docs, doc_id, text, **options).where("n_shingles > 0 and doc_id is not null")
     first = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_text"))
+    names = [unused("_id", docs.columns), unused("_text", docs.columns)]
+    first = first.select(F.col("k.doc_id").alias(names[0]), F.col("k.text_key").alias(names[1]))
     # Rows of equal id and text are the same to the join; one is enough.
-    keys = {"_id": F.col(doc_id).cast("long"), "_text": F.xxhash64(text)}
-    chosen = docs.withColumns(keys).join(first, ["_id", "_text"], "left_semi")
-    chosen = chosen.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    keys = dict(zip(names, (F.col(doc_id).cast("long"), F.xxhash64(text)), strict=True))
+    chosen = docs.withColumns(keys).join(first, names, "left_semi")
+    chosen = chosen.dropDuplicates(names).select(*docs.columns)
     bare = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     return chosen.unionByName(docs.where(F.col(doc_id).isNull() | bare))

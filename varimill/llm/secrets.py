@@ -9,7 +9,8 @@ stretches of its text.
 Only SQL functions are used. A pattern's matches and the pieces between them give
 all places, as running sums of lengths. Places count code points, ends are
 exclusive. Null texts are empty. Rows are told apart by a number of their own,
-so null or repeated ids are no matter.
+so null or repeated ids are no matter. Results replace columns of the same name;
+``_row``, ``_found`` and ``_spans`` are taken.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ KINDS = {
     "endpoint": ("endpoint", False),
 }
 BASE = ("assign", "access", "hex")
+_NEW = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 _PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "user": USER, "endpoint": ENDPOINT}
 # A part is completed by any of these.
 _COMPLEMENTS = {"secret": ("user", "endpoint"), "user": ("secret",), "endpoint": ("secret",)}
@@ -152,21 +154,21 @@ def report(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame
     grouped = (
         spans(scanned, scope)
         .groupBy("_row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("o"), "end", "kind"))).alias("found"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("o"), "end", "kind"))).alias("_spans"))
     )
     rows = scanned.drop("_found").join(grouped, "_row", "left")
-    found = F.coalesce(F.col("found"), F.array().cast(grouped.schema["found"].dataType))
-    rows = rows.withColumn("found", found)
+    found = F.coalesce(F.col("_spans"), F.array().cast(grouped.schema["_spans"].dataType))
+    rows = rows.withColumn("_spans", found)
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
 
-    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
+    base = F.filter("_spans", lambda s: s["kind"].isin(*BASE))
     return rows.select(
-        *(c for c in docs.columns if c != text),
+        *(c for c in docs.columns if c != text and c not in _NEW),
         *(count(k).alias(f"n_{k}") for k in BASE),
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(F.col("found")).alias("spans"),
+        _listed(F.col("_spans")).alias("spans"),
     )
 
 

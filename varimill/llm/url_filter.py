@@ -75,13 +75,12 @@ def split_url(urls: DataFrame, url: str = "url") -> DataFrame:
 
 def matched_rule(rules: tuple[Rule, ...]) -> Column:
     """The longest rule that fits ``host`` and ``path``: (name, verdict), else null."""
-    ordered = sorted(rules, key=lambda r: len(r.name), reverse=True)
-    choice = None
-    for rule in ordered:
+    choice = F.lit(None).cast("struct<name: string, verdict: string>")
+    for rule in sorted(rules, key=lambda r: len(r.name)):
         fits = (F.col("host") == rule.host) | F.endswith(F.col("host"), F.lit(f".{rule.host}"))
         fits = fits & F.startswith(F.col("path"), F.lit(rule.path))
         value = F.struct(F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"))
-        choice = F.when(fits, value) if choice is None else choice.when(fits, value)
+        choice = F.when(fits, value).otherwise(choice)
     return choice
 
 

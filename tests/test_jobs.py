@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from varimill.config import PipelineConfig
 from varimill.operators import Outcome
 from varimill.plans import forecast_job, forecasts, ingest_job, replay_job, sweep
-from varimill.sinks import read_dead_letters, read_metrics, read_predictions, write_ticks_csv
+from varimill.sinks import (
+    read_dead_letters,
+    read_metrics,
+    read_predictions,
+    write_ticks,
+    write_ticks_csv,
+)
 from varimill.sources import read_ticks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -100,13 +106,49 @@ def test_shared_folder_is_the_one_the_session_names():
 
     from varimill.workspace import run_dir, shared_dir
 
-    def session(**settings):
+    def session(master="local[4]", set_dir=None, **settings):
         settings = {k.replace("_", "."): v for k, v in settings.items()}
-        return SimpleNamespace(conf=SimpleNamespace(get=settings.get))
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: set_dir)
+        return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=context)
 
     named = session(spark_checkpoint_dir="hdfs://n/s/")
     assert run_dir(named, "x").startswith("hdfs://n/s/x-")
+    assert shared_dir(session("yarn", "hdfs://n/c")) == "hdfs://n/c"
     assert shared_dir(session()).endswith("/varimill")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+
+
+def test_a_file_ingested_again_replaces_itself(spark, ticks_of, tmp_path):
+    csv, table = str(tmp_path / "csv"), str(tmp_path / "ticks")
+    # The last tick belongs to another day than its file.
+    rows = [("a", START + d * DAY + i, 1.0 + i) for d in range(3) for i in range(2)] + [(" ", START, 3.0)]
+    write_ticks_csv(ticks_of(rows), csv)
+    for config in (PipelineConfig(), PipelineConfig(last_n=1), PipelineConfig()):
+        ingest_job(spark, csv, table, config)
+        assert read_ticks(spark, table).count() == len(rows)
+    assert "" in {r.symbol for r in read_ticks(spark, table).collect()}
+
+
+def test_replay_into_its_own_store_keeps_all_rows(spark, ticks_of, tmp_path):
+    rng = random.Random(4)
+    rows = [("a", START + d * DAY + i * 1000, 1 + rng.random()) for d in range(30) for i in range(6)]
+    store, table = str(tmp_path / "store"), str(tmp_path / "ticks")
+    write_ticks(ticks_of(rows), table)
+    run = dict(scorer=down_on_odd_days, backoff_ms=0, breaker_threshold=None, config=PipelineConfig())
+    forecast_job(spark, table, store, 0, **run)
+    want = keys(read_predictions(spark, store)) | keys(read_dead_letters(spark, store))
+    lost = keys(read_dead_letters(spark, store))
+    assert len(want) == 9 and lost
+    replay_job(spark, store, None, str(tmp_path / "cp1"), down_on_odd_days)
+    assert keys(read_dead_letters(spark, store)) == lost, "what fails again stays a letter, once"
+    for _ in range(2):
+        replay_job(spark, store, None, str(tmp_path / "cp2"), back_up)
+    assert keys(read_predictions(spark, store)) == want
+    assert read_predictions(spark, store).count() == 9 and read_dead_letters(spark, store).count() == 0
+    # Another run over the same ticks does not show a prediction twice.
+    forecast_job(spark, table, store, 1, config=PipelineConfig(ml_enabled=False))
+    assert read_predictions(spark, store).count() == 9
 
 
 def test_defaults_are_the_fixed_values():

@@ -106,3 +106,11 @@ def test_tick_table_prunes_days(spark, ticks_of, tmp_path):
     df = read_ticks(spark, path, from_date="2022-01-10")
     assert df.count() == 2
     assert "PartitionFilters: [isnotnull(day" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_the_table_cannot_hold_becomes_a_letter(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = [("a" * 21, 1, 1.0, 1.0, 1.0, False, "p", None), ("b", None, 1.0, 1.0, 1.0, False, "q", None)]
+    write_scored(score(spark.createDataFrame(rows, REQUEST)), 0, root)
+    assert read_predictions(spark, root).count() == 0
+    assert {r.reason for r in read_dead_letters(spark, root).collect()} == {"invalid"}

@@ -54,6 +54,7 @@ def test_malformed_lines(spark, tmp_path):
         (7000, "nan", "A"),
         (8000, "-inf", "A"),
         (9000, "1.0", "A"),
+        (11000, "1.5", ""),
         (13000, "1.5", '"Q"'),
     ]
 

@@ -136,3 +136,18 @@ def test_tick_table_streams(spark, ticks_of, tmp_path):
     available_now(stream, write_batches(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.ts, r.bid) for r in got] == [(START + DAY, 2.0)]
+
+
+def test_a_stream_goes_on_after_a_flush(spark, ticks_of, tmp_path):
+    landing = Landing(spark, ticks_of, tmp_path, daily_rv_stream)
+    rng = random.Random(7)
+    query = landing.land(day_of_ticks(rng, 0))
+    for day in (1, 2, 5):
+        query = landing.flush(query)
+        query = landing.flush(query)  # sent twice: the same tick again
+        query = landing.land(day_of_ticks(rng, day) + [("a", START + day * DAY, 1.5), ("a", START + day * DAY + 1, 1.6)])
+    landing.flush(query)
+    got = {(r.symbol, r.ts): r.rv_daily for r in landing.read(DAILY_RV).collect()}
+    want = {(r.symbol, r.ts): r.rv_daily for r in daily_variance(ticks_of(landing.rows)).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert {s for s, _ in got} == {"a", "b"}

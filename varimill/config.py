@@ -27,8 +27,11 @@ class PipelineConfig:
     breaker_open_s: float = 30.0
 
     # Limits towards other systems. ``capacity`` is the number of requests per
-    # scorer call: None for local models, 20 towards a service.
-    capacity: int | None = None
+    # scorer call, after which the breaker may act; None makes one call of an Arrow
+    # batch. ``scoring_partitions`` tasks score at a time; None takes the session's
+    # number of shuffle partitions.
+    capacity: int | None = 20
+    scoring_partitions: int | None = None
     sink_partitions: int = 4
 
     # Choices of a run.
@@ -46,6 +49,7 @@ class PipelineConfig:
             "from_date": str.strip,
             "last_n": int,
             "capacity": int,
+            "scoring_partitions": int,
             "sink_partitions": int,
         }
         names = {f.name for f in fields(cls)} & parsers.keys()

@@ -16,7 +16,7 @@ SequenceModel = Callable[[np.ndarray], np.ndarray]
 
 @dataclass(frozen=True)
 class LstmModel:
-    """Single-layer LSTM with a linear head on the last step, in float32.
+    """Single-layer LSTM with a linear head on the last step, in the weights' precision.
 
     Weights follow the common layout: gate rows in the order input, forget,
     cell, output; ``w_ih`` is (4h, f), ``w_hh`` is (4h, h).
@@ -30,13 +30,15 @@ class LstmModel:
     head_b: np.ndarray
 
     @classmethod
-    def from_seed(cls, seed: int = 0, features: int = 3, hidden: int = 32) -> LstmModel:
+    def from_seed(
+        cls, seed: int = 0, features: int = 3, hidden: int = 32, dtype: type = np.float32
+    ) -> LstmModel:
         """Untrained weights, uniform within 1/sqrt(hidden)."""
         rng = np.random.default_rng(seed)
         bound = hidden**-0.5
 
         def draw(*shape: int) -> np.ndarray:
-            return rng.uniform(-bound, bound, shape).astype(np.float32)
+            return rng.uniform(-bound, bound, shape).astype(dtype)
 
         h4 = 4 * hidden
         return cls(draw(h4, features), draw(h4, hidden), draw(h4), draw(h4), draw(1, hidden), draw(1))
@@ -49,13 +51,14 @@ class LstmModel:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """(n, steps, features) to (n,)."""
-        x = x.astype(np.float32, copy=False)
+        dtype = self.w_hh.dtype
+        x = x.astype(dtype, copy=False)
         n, steps, _ = x.shape
         hidden = self.w_hh.shape[1]
         # The input half of all steps is one matrix product.
         pre = x @ self.w_ih.T + (self.b_ih + self.b_hh)
-        h = np.zeros((n, hidden), np.float32)
-        c = np.zeros((n, hidden), np.float32)
+        h = np.zeros((n, hidden), dtype)
+        c = np.zeros((n, hidden), dtype)
         for t in range(steps):
             i, f, g, o = np.split(pre[:, t] + h @ self.w_hh.T, 4, axis=1)
             c = _sigmoid(f) * c + _sigmoid(i) * np.tanh(g)
@@ -97,11 +100,13 @@ class SequenceScorer:
         )
 
     def _matrix(self, sequences: pa.ListArray, lengths: np.ndarray) -> np.ndarray:
-        """(n, length, features) in float32 of the last ``length`` rows of each."""
+        """(n, length, features) of the last ``length`` rows of each."""
+        if not len(sequences):
+            return np.zeros((0, self.length, 0))
         steps = sequences.flatten()
         if (lengths > self.length).any():
             ends = np.cumsum(lengths)
             last = ends[:, None] - np.arange(self.length, 0, -1)
             steps = steps.take(pa.array(last.ravel()))
-        values = steps.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        values = steps.flatten().to_numpy(zero_copy_only=False)
         return values.reshape(len(sequences), self.length, -1)

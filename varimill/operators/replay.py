@@ -43,12 +43,12 @@ def replay(
     Two attempts without pause or breaker; between them and before the first,
     ``is_ready`` is awaited. What fails again stays a dead letter. ``ts`` is the
     original day, or the time of the replay with ``ts_mode='processing'``;
-    ``replayed_at`` always holds the latter.
+    ``replayed_at`` always holds the latter, ``letter_ts`` the former.
     """
     requests = decode_dead_letters(letters)
     options = {"max_attempts": 2, "backoff_ms": 0, "breaker_threshold": None} | score_options
     scored = score(requests, scorer, is_ready=is_ready, **options)
-    scored = scored.withColumn("replayed_at", F.current_timestamp())
+    scored = scored.withColumn("replayed_at", F.current_timestamp()).withColumn("letter_ts", F.col("ts"))
     if ts_mode == "processing":
         scored = scored.withColumn("ts", F.unix_millis("replayed_at"))
     return scored

@@ -38,6 +38,7 @@ class Outcome:
     status: np.ndarray
     mamba: np.ndarray
     lstm: np.ndarray
+    error: str | None = None
 
 
 Scorer = Callable[[pa.RecordBatch], Outcome]
@@ -141,6 +142,7 @@ class _Caller:
         n = batch.num_rows
         status = np.array(batch.column("status").to_pylist(), dtype=object)
         attempts = np.zeros(n, np.int32)
+        errors = np.full(n, None, dtype=object)
         answer = Outcome(status, np.full(n, np.nan), np.full(n, np.nan))
         valid = np.flatnonzero(status == OK)
         size = self.capacity or max(len(valid), 1)
@@ -151,13 +153,14 @@ class _Caller:
             elif breaker.is_open():
                 status[rows] = BLOCKED
             else:
-                self._score_rows(batch, rows, answer, attempts)
+                self._score_rows(batch, rows, answer, attempts, errors)
                 for outcome in status[rows]:
                     if outcome in (OK, FAILED):
                         breaker.record(outcome == OK)
         new = {
             "status": pa.array(status, pa.string()),
             "attempts": pa.array(attempts),
+            "error": pa.array(errors, pa.string()),
             "mamba_pred": pa.array(answer.mamba, from_pandas=True),
             "lstm_pred": pa.array(answer.lstm, from_pandas=True),
         }
@@ -166,13 +169,19 @@ class _Caller:
         )
 
     def _score_rows(
-        self, batch: pa.RecordBatch, rows: np.ndarray, answer: Outcome, attempts: np.ndarray
+        self,
+        batch: pa.RecordBatch,
+        rows: np.ndarray,
+        answer: Outcome,
+        attempts: np.ndarray,
+        errors: np.ndarray,
     ) -> None:
         """Attempt ``rows`` together; each attempt repeats only those in error."""
         for attempt in range(1, self.max_attempts + 1):
             out = self._attempt(batch.take(pa.array(rows)))
             attempts[rows] = attempt
             answer.status[rows] = out.status
+            errors[rows] = np.where(out.status == OK, None, out.error)
             done = out.status == OK
             answer.mamba[rows[done]] = out.mamba[done]
             answer.lstm[rows[done]] = out.lstm[done]
@@ -193,10 +202,10 @@ class _Caller:
             mamba, lstm = (np.asarray(x, dtype=np.float64) for x in (out.mamba, out.lstm))
             if not (len(status) == len(mamba) == len(lstm) == n):
                 raise ValueError("scorer answered a different number of requests")
-            return Outcome(status, mamba, lstm)
-        except Exception:  # any scorer failure is one more failed attempt
+            return Outcome(status, mamba, lstm, out.error)
+        except Exception as e:  # any scorer failure is one more failed attempt
             nothing = np.full(n, np.nan)
-            return Outcome(np.full(n, ERROR, dtype=object), nothing, nothing)
+            return Outcome(np.full(n, ERROR, dtype=object), nothing, nothing, f"{type(e).__name__}: {e}")
 
     def _wait_until_ready(self) -> bool:
         if self.is_ready is None:
@@ -219,7 +228,7 @@ def score(
     backoff_ms: int = _DEFAULT.backoff_ms,
     breaker_threshold: int | None = _DEFAULT.breaker_threshold,
     breaker_open_s: float = _DEFAULT.breaker_open_s,
-    capacity: int | None = None,
+    capacity: int | None = _DEFAULT.capacity,
     partitions: int | None = None,
     is_ready: Callable[[], bool] | None = None,
     ready_poll_s: float = 10.0,
@@ -232,9 +241,11 @@ def score(
     Status ``ok`` is a prediction, anything else a dead letter (see
     ``split_scored``). Invalid requests never reach the scorer. Requests in
     error are attempted ``max_attempts`` times with doubling pauses; a failing
-    scorer never fails the job. ``capacity`` bounds the requests per call (None:
-    one call per Arrow batch, best for local models); with a remote scorer,
-    ``partitions`` bounds the calls in flight. The breaker counts requests in
+    scorer never fails the job, and the last error's text is kept in ``error``.
+    ``capacity`` bounds the requests per call (None: one call per Arrow batch).
+    Requests are dealt to ``partitions`` tasks, by default the session's number of
+    shuffle partitions: days are few bytes before models widen them, so the merging
+    of small partitions would leave one task. The breaker counts requests in
     order and takes effect between calls. ``is_ready`` is polled before the
     first call of a task and between attempts.
 
@@ -242,11 +253,13 @@ def score(
     """
     checked = har(validate_requests(requests), b, decimals)
     checked = checked.selectExpr(
-        "*", "0 AS attempts", "cast(NULL AS double) AS mamba_pred", "cast(NULL AS double) AS lstm_pred"
+        "*", "0 AS attempts", "cast(NULL AS double) AS mamba_pred", "cast(NULL AS double) AS lstm_pred",
+        "cast(NULL AS string) AS error",
     )
     if scorer is None:
         return checked
-    if partitions is not None:
+    if not requests.isStreaming:
+        partitions = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         checked = checked.repartition(partitions, "symbol", "ts")
     caller = _Caller(
         scorer,
@@ -279,6 +292,6 @@ def split_scored(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
         "symbol", "ts", *FEATURES, "mamba_pred", "lstm_pred", "har_pred"
     )
     dead = scored.where(f"status <> '{OK}'").selectExpr(
-        "symbol", "ts", "payload", "sequence", "status AS reason"
+        "symbol", "ts", "payload", "sequence", "status AS reason", "error"
     )
     return predictions, dead

@@ -5,7 +5,7 @@ from varimill.plans.batch import (
     scored_requests,
     unscored_requests,
 )
-from varimill.plans.jobs import forecast_job, ingest_job, replay_job
+from varimill.plans.jobs import forecast_job, ingest_job, replay_job, stream_forecast_job
 from varimill.plans.streams import stream_daily_rv, stream_to_requests, stream_to_table
 from varimill.plans.sweep import sweep
 
@@ -18,6 +18,7 @@ __all__ = [
     "requests",
     "scored_requests",
     "stream_daily_rv",
+    "stream_forecast_job",
     "stream_to_requests",
     "stream_to_table",
     "sweep",

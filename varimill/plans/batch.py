@@ -49,6 +49,7 @@ def scored_requests(
             "breaker_threshold": config.breaker_threshold,
             "breaker_open_s": config.breaker_open_s,
             "capacity": config.capacity,
+            "partitions": config.scoring_partitions,
         }
         | options,
     )
@@ -64,6 +65,7 @@ def unscored_requests(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> Da
         "0 AS attempts",
         "cast(NULL AS double) AS mamba_pred",
         "cast(NULL AS double) AS lstm_pred",
+        "cast(NULL AS string) AS error",
     )
 
 

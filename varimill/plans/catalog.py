@@ -6,7 +6,6 @@ The event log stands in for ticks, one symbol per event type.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 from dataclasses import dataclass
@@ -47,7 +46,7 @@ from varimill.operators import (
 )
 from varimill.operators.scoring import ERROR, INVALID, OK
 from varimill.plans import batch, streams
-from varimill.plans.jobs import replay_job
+from varimill.plans.jobs import ingest_job, replay_job, stream_forecast_job
 from varimill.plans.sweep import sweep
 from varimill.schemas import SCORED, TICK
 from varimill.sinks import (
@@ -74,6 +73,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 TEST_START = date(2024, 1, 25)
 FROM_DATE = "2024-01-05"
 LAST_N = 20
+BUCKETS = 8  # of stored bars: a table's bucket count must not follow the cluster
+INFINITE_DAY_MS = 1704499200000  # the day that ends at 2024-01-06 00:00 UTC
+_WEEKDAY_SQL = "ts div 86400000 % 7"
 HOUR = PipelineConfig().bar_width * 12
 
 
@@ -201,11 +203,10 @@ def q_daily_rv_60m(spark, sf_dir):
 
 def q_bucketed_daily_rv(spark, sf_dir):
     """Daily variance from stored bars, bucketed by symbol."""
-    table = f"bars_{uuid.uuid4().hex}"
-    path = run_dir(spark, "bars")
-    buckets = spark.sparkContext.defaultParallelism
+    table, path = "varimill_bars", run_dir(spark, "bars")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
     bars = log_return_bars(valid_ticks(ticks(spark, sf_dir)))
-    write_bars_bucketed(bars, table, buckets, path=path)
+    write_bars_bucketed(bars, table, BUCKETS, path=path)
     return _rounded(daily_rv(spark.table(table)))
 
 
@@ -336,8 +337,11 @@ def q_responses_parsed(spark, sf_dir):
     return parse_responses(texts).drop("response")
 
 
-def _lstm_scored(spark, sf_dir):
-    scorer = SequenceScorer(lstm=LstmModel.from_seed(7))
+SMALL_LSTM = LstmModel.from_seed(7, hidden=4, dtype=np.float64)
+
+
+def _lstm_scored(spark, sf_dir, length=22):
+    scorer = SequenceScorer(lstm=SMALL_LSTM, length=length)
     return score(model_requests(_daily(spark, sf_dir)), scorer)
 
 
@@ -346,6 +350,141 @@ def q_lstm_scores(spark, sf_dir):
     return _rounded(predictions, 6)
 
 
+def q_short_sequences(spark, sf_dir):
+    """A model that wants a longer history than there is: no output, no failure."""
+    predictions, _ = split_scored(_lstm_scored(spark, sf_dir, length=23))
+    return _rounded(predictions, 6)
+
+
+def q_nonfinite_days(spark, sf_dir):
+    """An infinite day stays in the averages; requests that see it are refused."""
+    daily = _daily(spark, sf_dir).selectExpr(
+        "symbol", "ts", f"if(ts = {INFINITE_DAY_MS}L, double('Infinity'), rv_daily) AS rv_daily"
+    )
+    requests = score(model_requests(daily))
+    return _rounded(requests.select("symbol", "ts", "status", "rv_monthly", "har_pred"), 6)
+
+
+def q_invalid_requests(spark, sf_dir):
+    """Requests with missing and non-finite numbers are refused before any scorer."""
+    odd = model_requests(_daily(spark, sf_dir)).selectExpr(
+        "symbol",
+        "ts",
+        f"CASE {_WEEKDAY_SQL} WHEN 0 THEN NULL WHEN 1 THEN double('NaN') ELSE rv_daily END AS rv_daily",
+        f"if({_WEEKDAY_SQL} = 2, double('-Infinity'), rv_weekly) AS rv_weekly",
+        "rv_monthly",
+        "payload",
+        "sequence",
+    )
+    return score(odd, AlwaysScorer()).select("symbol", "ts", "status", "attempts")
+
+
+@dataclass(frozen=True)
+class AlwaysScorer:
+    """A stand-in service with one answer, or one exception, for everything."""
+
+    status: str = OK
+    message: str | None = None
+
+    def __call__(self, requests: pa.RecordBatch) -> Outcome:
+        if self.message:
+            raise RuntimeError(self.message)
+        n = requests.num_rows
+        return Outcome(np.full(n, self.status, dtype=object), np.full(n, np.nan), np.full(n, 0.5))
+
+
+def q_raising_scorer(spark, sf_dir):
+    scored = score(
+        model_requests(_daily(spark, sf_dir)),
+        AlwaysScorer(message="out of order"),
+        backoff_ms=0,
+        breaker_threshold=None,
+    )
+    return scored.select("symbol", "ts", "status", "attempts", "error")
+
+
+def q_breaker_open(spark, sf_dir):
+    """One task, one request a call, time standing still: after five failures nothing is sent."""
+    scored = score(
+        model_requests(_daily(spark, sf_dir)),
+        AlwaysScorer(ERROR),
+        backoff_ms=0,
+        capacity=1,
+        partitions=1,
+        clock=_no_time,
+    )
+    return scored.groupBy("status", "attempts").agg(F.count("*").alias("requests"))
+
+
+def _no_time() -> float:
+    return 0.0
+
+
+def _never_ready() -> bool:
+    return False
+
+
+def q_service_not_ready(spark, sf_dir):
+    scored = score(
+        model_requests(_daily(spark, sf_dir)), AlwaysScorer(), is_ready=_never_ready, ready_timeout_s=0.0
+    )
+    return scored.select("symbol", "ts", "status", "attempts")
+
+
+def q_broken_payloads(spark, sf_dir):
+    """Letters whose text is cut, lacks a field or has one of another type."""
+    _, dead = split_scored(_scored(spark, sf_dir))
+    texts = dead.selectExpr(
+        "symbol",
+        "ts",
+        f"""CASE {_WEEKDAY_SQL} WHEN 0 THEN substring(payload, 1, 30)
+            WHEN 1 THEN replace(payload, 'rv_weekly', 'rv_other')
+            ELSE replace(payload, '"rv_daily":', '"rv_daily":[],"x":') END AS payload""",
+    )
+    return replay(texts, AlwaysScorer()).select("symbol", "ts", "status", "attempts")
+
+
+def q_replayed_at_processing_time(spark, sf_dir):
+    _, dead = split_scored(_scored(spark, sf_dir))
+    again = replay(dead, DayRuleScorer(recovered=True), ts_mode="processing")
+    late = (F.col("ts") == F.unix_millis("replayed_at")).alias("at_replay")
+    return again.select("symbol", "letter_ts", late)
+
+
+def q_prediction_rows(spark, sf_dir):
+    """Rows as the predictions table holds them, without the clock column and the id."""
+    root = run_dir(spark, "rows")
+    write_scored(score(model_requests(_daily(spark, sf_dir))), 0, root)
+    rows = read_predictions(spark, root)
+    stamped = F.col("created_at").isNotNull().alias("stamped")
+    ids = (F.col("id") == F.xxhash64("symbol", "ts")).alias("id_of_key")
+    return _rounded(rows.withColumns({"stamped": stamped, "id_of_key": ids}).drop("id", "created_at"), 6)
+
+
+def q_store_after_replay(spark, sf_dir):
+    """A replay into its own store: what it settles becomes predictions, twice run or not."""
+    root, checkpoint = run_dir(spark, "store"), run_dir(spark, "checkpoint")
+    write_scored(_scored(spark, sf_dir), 0, root, partitions=4)
+    for _ in range(2):
+        replay_job(spark, root, None, checkpoint, DayRuleScorer(recovered=True))
+    predictions = read_predictions(spark, root).select(
+        "symbol", "ts", F.lit("prediction").alias("side"), "lstm_pred"
+    )
+    letters = read_dead_letters(spark, root).select(
+        "symbol", "ts", F.col("reason").alias("side"), F.lit(None).cast("double").alias("lstm_pred")
+    )
+    return _rounded(predictions.unionByName(letters), 6)
+
+
+def q_ingested_twice(spark, sf_dir):
+    """Daily files to the tick table, the whole directory, and once more: no tick doubles."""
+    files, table = run_dir(spark, "csv"), run_dir(spark, "ticks")
+    write_ticks_csv(ticks(spark, sf_dir), files)
+    for config in (PipelineConfig(), PipelineConfig(from_date=FROM_DATE)):
+        ingest_job(spark, files, table, config)
+    return _rounded(read_ticks(spark, table).drop("seq"))
+
+
 # Reports
 
 
@@ -429,5 +568,40 @@ def q_stream_replayed(spark, sf_dir):
     return _rounded(spark.read.schema(SCORED).parquet(replayed).select(*names), 6)
 
 
+def _slices(spark, sf_dir) -> list[DataFrame]:
+    """The ticks in three parts by time, cut between days."""
+    rows = ticks(spark, sf_dir).withColumn("day", day_name())
+    days = (("", "2024-01-11"), ("2024-01-11", "2024-01-24"), ("2024-01-24", "9"))
+    return [rows.where((F.col("day") >= a) & (F.col("day") < b)).drop("day") for a, b in days]
+
+
+def _landed(spark, path: str) -> DataFrame:
+    """One file, and so one micro-batch, after the other."""
+    reader = spark.readStream.schema(TICK).option("maxFilesPerTrigger", 1)
+    return reader.parquet(path)
+
+
+def _stored_forecasts(spark, root: str) -> DataFrame:
+    return _rounded(read_predictions(spark, root).drop("id", "created_at"), 6)
+
+
+def q_stream_predictions(spark, sf_dir):
+    """Ticks in several micro-batches to stored predictions, as one job."""
+    path, base, root = (run_dir(spark, d) for d in ("landing", "stream", "store"))
+    for part in _slices(spark, sf_dir):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream_forecast_job(spark, _landed(spark, path), root, base, config=PipelineConfig(), flush=True)
+    return _stored_forecasts(spark, root)
+
+
+def q_stream_continued(spark, sf_dir):
+    """The same with a flush after each part: a stream goes on and loses nothing."""
+    path, base, root = (run_dir(spark, d) for d in ("landing", "stream", "store"))
+    for part in _slices(spark, sf_dir):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream_forecast_job(spark, _landed(spark, path), root, base, config=PipelineConfig(), flush=True)
+    return _stored_forecasts(spark, root)
+
+
 def queries() -> dict[str, Query]:
     return {n[2:]: f for n, f in globals().items() if n.startswith("q_")}

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from varimill.config import PipelineConfig
 from varimill.operators.scoring import Scorer
-from varimill.operators.ticks import with_tick_counter
+from varimill.operators.ticks import select_days, with_tick_counter
 from varimill.plans.batch import scored_requests, unscored_requests
+from varimill.plans.streams import requests_stream
 from varimill.schemas import RUN_METRICS
-from varimill.sinks import append_metrics, write_scored, write_ticks
+from varimill.sinks import append_metrics, write_file_ticks, write_scored
 from varimill.sources import read_ticks, read_ticks_csv
-from varimill.streaming import available_now, dead_letter_stream, replay_batches
-
-_DEFAULT = PipelineConfig()
+from varimill.streaming import (
+    available_now,
+    dead_letter_stream,
+    latest_event_ms,
+    replay_batches,
+    score_batches,
+    send_flush,
+    with_flush,
+)
 
 
 def ingest_job(
-    spark: SparkSession, csv_dir: str, table: str, config: PipelineConfig = _DEFAULT
+    spark: SparkSession, csv_dir: str, table: str, config: PipelineConfig | None = None
 ) -> None:
-    """Daily tick files to the day-partitioned tick table."""
-    ticks = read_ticks_csv(spark, csv_dir, config.from_date, config.last_n)
-    write_ticks(ticks.drop("file_name"), table)
+    """Daily tick files to a tick table; a file ingested again replaces itself.
+
+    Without ``config`` the session's settings choose the days.
+    """
+    config = config or PipelineConfig.from_session(spark)
+    write_file_ticks(read_ticks_csv(spark, csv_dir, config.from_date, config.last_n), table)
 
 
 def forecast_job(
@@ -33,7 +46,7 @@ def forecast_job(
     root: str,
     run_id: int = 0,
     scorer: Scorer | None = None,
-    config: PipelineConfig = _DEFAULT,
+    config: PipelineConfig | None = None,
     metrics: str | None = None,
     **options,
 ) -> None:
@@ -42,36 +55,121 @@ def forecast_job(
     The same ``run_id`` replaces its earlier outcome. ``metrics`` is where the
     run's size and throughput are appended.
     """
+    config = config or PipelineConfig.from_session(spark)
     seen = Observation("ticks")
-    ticks = with_tick_counter(read_ticks(spark, table), seen)
+    chosen = select_days(read_ticks(spark, table), config.from_date, config.last_n, col="day")
+    ticks = with_tick_counter(chosen, seen)
     start = time.monotonic()
     if config.ml_enabled:
         scored = scored_requests(ticks, scorer, config, **options)
     else:
         scored = unscored_requests(ticks, config)
-    write_scored(scored, run_id, root)
-    if metrics is None:
-        return
+    write_scored(scored, run_id, root, config.sink_partitions)
+    elapsed = time.monotonic() - start
+    if metrics is not None:
+        _append_run(spark, metrics, ticks.rdd.getNumPartitions(), config, seen.get["ticks"], elapsed)
+
+
+def _append_run(
+    spark: SparkSession, path: str, inputs: int, config: PipelineConfig, ticks: int, elapsed: float
+) -> None:
     row = (
         datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"),
         int(spark.conf.get("spark.sql.shuffle.partitions")),
-        ticks.rdd.getNumPartitions(),
+        inputs,
         0,
         config.ml_enabled,
-        seen.get["ticks"],
-        int((time.monotonic() - start) * 1000),
+        ticks,
+        int(elapsed * 1000),
     )
-    append_metrics(spark.createDataFrame([row], RUN_METRICS.names[:-1]), metrics)
+    append_metrics(spark.createDataFrame([row], RUN_METRICS.names[:-1]), path)
+
+
+def stream_forecast_job(
+    spark: SparkSession,
+    ticks: DataFrame,
+    root: str,
+    base: str,
+    scorer: Scorer | None = None,
+    config: PipelineConfig | None = None,
+    flush: bool = False,
+    metrics: str | None = None,
+    state_partitions: int | None = None,
+    **options,
+) -> StreamingQuery:
+    """A stream of ticks to predictions and dead letters below ``root``.
+
+    Takes what there is and stops; called again with the same ``base``, which holds
+    the checkpoint, it goes on. ``flush`` closes the last day as well; days after it
+    may still come. Predictions and letters of a micro-batch are one write that
+    replaces itself when repeated.
+    """
+    config = config or PipelineConfig.from_session(spark)
+    flushes, checkpoint = f"{base}/flush", f"{base}/checkpoint"
+    requests = requests_stream(with_flush(ticks, flushes), config)
+    if config.ml_enabled:
+        options = {
+            "b": config.har,
+            "decimals": config.payload_decimals,
+            "max_attempts": config.max_attempts,
+            "backoff_ms": config.backoff_ms,
+            "breaker_threshold": config.breaker_threshold,
+            "breaker_open_s": config.breaker_open_s,
+            "capacity": config.capacity,
+            "partitions": config.scoring_partitions,
+        } | options
+        write = score_batches(root, scorer, config.sink_partitions, **options)
+    else:
+        write = _unscored_batches(root, config)
+    parallelism = state_partitions or spark.sparkContext.defaultParallelism
+    start = time.monotonic()
+    query = available_now(requests, write, checkpoint, parallelism)
+    seen = _ticks_of(query)
+    if flush:
+        latest = latest_event_ms(query, config.watermark)
+        send_flush(spark, flushes, latest, config.watermark, config.period)
+        query = available_now(requests, write, checkpoint, parallelism)
+    if metrics is not None:
+        _append_run(spark, metrics, parallelism, config, seen, time.monotonic() - start)
+    return query
+
+
+def _unscored_batches(root: str, config: PipelineConfig) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.selectExpr(
+            "*",
+            "'ok' AS status",
+            "0D AS har_pred",
+            "0 AS attempts",
+            "cast(NULL AS double) AS mamba_pred",
+            "cast(NULL AS double) AS lstm_pred",
+            "cast(NULL AS string) AS error",
+        )
+        write_scored(rows, batch_id, root, config.sink_partitions)
+
+    return write
+
+
+def _ticks_of(query: StreamingQuery) -> int:
+    """Ticks of a run, as far as the progress of its micro-batches goes back."""
+    counts = (p["observedMetrics"].get("ticks") for p in query.recentProgress if p["observedMetrics"])
+    return sum(c["ticks"] for c in counts if c)
 
 
 def replay_job(
     spark: SparkSession,
     root: str,
-    replayed_root: str,
+    replayed_root: str | None,
     checkpoint: str,
     scorer: Scorer | None = None,
     **options,
 ) -> None:
-    """Replay the dead letters below ``root`` that no earlier replay has taken."""
+    """Replay the dead letters below ``root`` that no earlier replay has taken.
+
+    Outcomes go to ``replayed_root``, by default to the same store, where
+    predictions of replays stand beside those of forecasts.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     letters = dead_letter_stream(spark, root)
-    available_now(letters, replay_batches(replayed_root, scorer, **options), checkpoint)
+    write = replay_batches(replayed_root or root, run, scorer, **options)
+    available_now(letters, write, checkpoint)

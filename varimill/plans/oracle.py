@@ -122,6 +122,46 @@ SELECT {_TICK_COLUMNS}, {days} FROM ranked WHERE newest <= 20
 """
 
 
+def _lstm_sql(ctes: str) -> str:
+    """The forward pass step by step, with the weights as literals."""
+    from varimill.plans.catalog import SMALL_LSTM as m
+
+    def listed(values) -> str:
+        return "[" + ", ".join(f"CAST({float(v)!r} AS DOUBLE)" for v in values) + "]"
+
+    hidden = m.w_hh.shape[1]
+    gates = f"range(1, {4 * hidden + 1})"
+    rows = {k: "[" + ", ".join(listed(r) for r in w) + "]" for k, w in (("w_ih", m.w_ih), ("w_hh", m.w_hh))}
+    sigmoid = "(1 / (1 + exp(-({}))))".format
+    tanh = "(1 - 2 / (exp(2 * ({})) + 1))".format
+    j = f"range(1, {hidden + 1})"
+    start = listed([0.0] * hidden)
+    return ctes.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+inputs AS (
+  SELECT e.symbol, e.ts, CAST(c.day_no - e.day_no + 21 AS INTEGER) AS step,
+         [round(c.rv_daily, 10), round(c.w, 10), round(c.m, 10)] AS x
+  FROM emitted e JOIN cut c
+    ON c.symbol = e.symbol AND c.day_no BETWEEN e.day_no - 21 AND e.day_no),
+weights AS (SELECT {rows["w_ih"]} AS w_ih, {rows["w_hh"]} AS w_hh, {listed(m.b_ih + m.b_hh)} AS b),
+run AS (
+  SELECT symbol, ts, 0 AS step, {start} AS h, {start} AS c FROM emitted
+  UNION ALL
+  SELECT symbol, ts, step + 1,
+         list_transform({j}, lambda k: {sigmoid(f"pre[k + {3 * hidden}]")} * {tanh("c2[k]")}) AS h, c2 AS c
+  FROM (
+    SELECT symbol, ts, step, pre,
+           list_transform({j}, lambda k: {sigmoid(f"pre[k + {hidden}]")} * c[k]
+             + {sigmoid("pre[k]")} * {tanh(f"pre[k + {2 * hidden}]")}) AS c2
+    FROM (
+      SELECT r.symbol, r.ts, r.step, r.c,
+             list_transform({gates}, lambda k: b[k] + list_dot_product(w_ih[k], x)
+               + list_dot_product(w_hh[k], r.h)) AS pre
+      FROM run r JOIN inputs i ON i.symbol = r.symbol AND i.ts = r.ts AND i.step = r.step, weights)))
+SELECT e.symbol, e.ts, {_F6.replace("rv_", "e.rv_").replace("AS e.rv_", "AS rv_")}, CAST(NULL AS DOUBLE) AS mamba_pred,
+       round(list_dot_product({listed(m.head_w[0])}, h) + {float(m.head_b[0])!r}, 6) AS lstm_pred, {_HAR6}
+FROM emitted e JOIN run r ON r.symbol = e.symbol AND r.ts = e.ts AND r.step = 22"""
+
+
 def oracle_sql() -> dict[str, str]:
     plain = _ctes()
     replayed = f"""{plain}
@@ -130,15 +170,18 @@ SELECT symbol, ts,
        CAST(CASE {_WEEKDAY} WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
        CASE {_WEEKDAY} WHEN 2 THEN CAST(1 AS DOUBLE) END AS lstm_pred, {_HAR6}
 FROM emitted WHERE {_WEEKDAY} <= 2"""
+    har = f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6} FROM emitted"
     daily = f"{plain} SELECT symbol, ts, round(rv_daily, 8) AS rv_daily FROM daily"
     payloads = _payload_rows(_GATED, "symbol, ts, is_first")
     tick_rows = f"WITH {_TICKS.format(symbol='event_type')} SELECT {_TICK_COLUMNS}, seq FROM ticks"
     bars = "SELECT symbol, ts, round(log_return, 8) AS log_return, n_ticks FROM bars"
     return {
         "ticks_from_events": tick_rows,
-        "csv_fields_typed": tick_rows
+        "csv_fields_typed": tick_rows.replace(
+            "SELECT symbol, ts,", "SELECT CASE WHEN seq % 31 = 0 THEN '' ELSE symbol END AS symbol, ts,"
+        )
         + " WHERE seq % 17 <> 0 AND seq % 19 <> 0 AND seq % 23 <> 0"
-        " AND seq % 29 <> 0 AND seq % 31 <> 0",
+        " AND seq % 29 <> 0",
         "csv_daily_files": _selected("day AS file_name"),
         "ingest_window": _selected("seq, day"),
         "ingest_counts": f"""
@@ -180,7 +223,7 @@ SELECT e.symbol, e.ts, CAST(c.day_no - e.day_no + 21 AS INTEGER) AS step,
        round(c.rv_daily, 10) AS rv_daily, round(c.w, 10) AS rv_weekly, round(c.m, 10) AS rv_monthly
 FROM emitted e JOIN cut c
   ON c.symbol = e.symbol AND c.day_no BETWEEN e.day_no - 21 AND e.day_no""",
-        "har_predictions": f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6} FROM emitted",
+        "har_predictions": har,
         "har_predictions_one_symbol": f"{_ctes(symbol=chr(39) + 'ALL' + chr(39))}"
         f" SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6} FROM emitted",
         "bypass_predictions": f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS},"
@@ -218,6 +261,44 @@ FROM emitted""",
 SELECT CAST(i AS INTEGER) AS input_partitions, CAST(s AS INTEGER) AS parallelism, total_ticks
 FROM (SELECT count(*) AS total_ticks FROM events),
      (VALUES (2), (8)) AS a(i), (VALUES (4), (8)) AS b(s)""",
+        "lstm_scores": _lstm_sql(plain),
+        "short_sequences": har,
+        "stream_predictions": har,
+        "stream_continued": har,
+        "nonfinite_days": f"""{_ctes().replace(
+            "sum(log_return * log_return) AS rv_daily",
+            "sum(log_return * log_return) + max(CASE WHEN (ts - 1) - (ts - 1) % 86400000 + 86400000"
+            " = 1704499200000 THEN CAST('inf' AS DOUBLE) ELSE 0 END) AS rv_daily")}
+SELECT symbol, ts,
+       CASE WHEN isfinite(rv_weekly) AND isfinite(rv_monthly) THEN 'ok' ELSE 'invalid' END AS status,
+       round(rv_monthly, 6) AS rv_monthly, {_HAR6}
+FROM emitted""",
+        "invalid_requests": f"""{plain}
+SELECT symbol, ts, CASE WHEN {_WEEKDAY} <= 2 THEN 'invalid' ELSE 'ok' END AS status,
+       CAST(CASE WHEN {_WEEKDAY} <= 2 THEN 0 ELSE 1 END AS INTEGER) AS attempts FROM emitted""",
+        "raising_scorer": f"""{plain}
+SELECT symbol, ts, 'failed' AS status, CAST(3 AS INTEGER) AS attempts,
+       'RuntimeError: out of order' AS error FROM emitted""",
+        "breaker_open": f"""{plain}
+SELECT 'failed' AS status, CAST(3 AS INTEGER) AS attempts, CAST(5 AS BIGINT) AS requests
+UNION ALL SELECT 'blocked', CAST(0 AS INTEGER), count(*) - 5 FROM emitted""",
+        "service_not_ready": f"""{plain}
+SELECT symbol, ts, 'failed' AS status, CAST(0 AS INTEGER) AS attempts FROM emitted""",
+        "broken_payloads": f"""{plain}
+SELECT symbol, ts, 'invalid' AS status, CAST(0 AS INTEGER) AS attempts
+FROM emitted WHERE {_WEEKDAY} <= 2""",
+        "replayed_at_processing_time": f"""{plain}
+SELECT symbol, ts AS letter_ts, TRUE AS at_replay FROM emitted WHERE {_WEEKDAY} <= 2""",
+        "prediction_rows": f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6},"
+        " TRUE AS stamped, TRUE AS id_of_key FROM emitted",
+        "store_after_replay": f"""{plain}
+SELECT symbol, ts,
+       CASE {_WEEKDAY} WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'prediction' END AS side,
+       CASE WHEN {_WEEKDAY} = 2 THEN CAST(1 AS DOUBLE)
+            WHEN {_WEEKDAY} > 2 THEN {_WEEKDAY} * CAST(0.5 AS DOUBLE) END AS lstm_pred
+FROM emitted""",
+        "ingested_twice": f"""
+WITH {_TICKS.format(symbol="event_type")} SELECT {_TICK_COLUMNS}, {_DAY} AS day FROM ticks""",
         "stream_daily_rv": daily,
         "stream_requests": payloads,
         "stream_replayed": replayed,

@@ -21,7 +21,20 @@ from varimill.workspace import run_dir
 _DEFAULT = PipelineConfig()
 
 
-def stream_to_table(ticks: DataFrame, build, schema: T.StructType) -> DataFrame:
+def daily_stream(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
+    return daily_rv_stream(ticks, config.watermark, config.bar_width, config.min_ticks, config.period)
+
+
+def requests_stream(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
+    daily = daily_stream(ticks, config)
+    return request_stream(
+        daily, config.test_start, config.weekly, config.monthly, config.payload_decimals
+    )
+
+
+def stream_to_table(
+    ticks: DataFrame, build, schema: T.StructType, config: PipelineConfig = _DEFAULT
+) -> DataFrame:
     """Run ``build(ticks)`` over what the tick stream holds, closing all windows.
 
     Two runs on one checkpoint: the first takes the ticks, the second a flush
@@ -33,22 +46,14 @@ def stream_to_table(ticks: DataFrame, build, schema: T.StructType) -> DataFrame:
     parallelism = spark.sparkContext.defaultParallelism
     result = build(with_flush(ticks, flush))
     first = available_now(result, write_batches(out), checkpoint, parallelism)
-    send_flush(spark, flush, latest_event_ms(first))
+    send_flush(spark, flush, latest_event_ms(first, config.watermark), config.watermark, config.period)
     available_now(result, write_batches(out), checkpoint, parallelism)
     return spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
 def stream_daily_rv(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
-    return stream_to_table(
-        ticks, lambda t: daily_rv_stream(t, config.watermark, config.bar_width), DAILY_RV
-    )
+    return stream_to_table(ticks, lambda t: daily_stream(t, config), DAILY_RV, config)
 
 
 def stream_to_requests(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
-    def build(t: DataFrame) -> DataFrame:
-        daily = daily_rv_stream(t, config.watermark, config.bar_width)
-        return request_stream(
-            daily, config.test_start, config.weekly, config.monthly, config.payload_decimals
-        )
-
-    return stream_to_table(ticks, build, REQUEST)
+    return stream_to_table(ticks, lambda t: requests_stream(t, config), REQUEST, config)

@@ -43,7 +43,7 @@ def sweep(
                 try:
                     ticks, error = run(inputs), None
                 except Exception as e:  # noqa: BLE001 - reported, not hidden
-                    ticks, error = 0, f"{type(e).__name__}: {e}"[:500]
+                    ticks, error = 0, f"{type(e).__name__}: {e}"
                 elapsed = int((time.monotonic() - start) * 1000)
                 rows.append((stamp, shuffles, inputs, 0, ml_enabled, ticks, elapsed, error))
     finally:

@@ -18,14 +18,16 @@ MATRIX = T.ArrayType(T.ArrayType(_D))
 # The six text columns of a daily tick file, in file order.
 CSV_FIELDS = ("datetime", "bid", "ask", "volume", "spread", "symbol")
 CSV_TICK = _struct(*((c, _S) for c in CSV_FIELDS))
+# The same with the numbers read by the file reader itself.
+CSV_TYPED_TICK = _struct(*((c, _D if 0 < i < 5 else _S) for i, c in enumerate(CSV_FIELDS)))
 
 TICK = _struct(
     ("symbol", _S), ("ts", _L), ("bid", _D), ("ask", _D), ("volume", _D), ("spread", _D), ("seq", _L)
 )
 
-# Avro form of a tick on a topic (the sequence number is the topic offset).
+# Fixed value: Avro form of a tick on a topic (the sequence number is the topic offset).
 TICK_AVRO = (
-    '{"type":"record","name":"Tick","fields":['
+    '{"type":"record","name":"Tick","namespace":"domain","fields":['
     '{"name":"symbol","type":"string"},{"name":"timestamp","type":"long"},'
     '{"name":"bid","type":"double"},{"name":"ask","type":"double"},'
     '{"name":"volume","type":"double"},{"name":"spread","type":"double"}]}'
@@ -34,6 +36,7 @@ TICK_AVRO = (
 BAR = _struct(("symbol", _S), ("ts", _L), ("log_return", _D))
 DAILY_RV = _struct(("symbol", _S), ("ts", _L), ("rv_daily", _D))
 
+# Field names of the scoring request and of its answer.
 REQUEST_JSON = _struct(
     ("symbol", _S), ("rv_daily", _D), ("rv_weekly", _D), ("rv_monthly", _D), ("history", MATRIX)
 )
@@ -59,10 +62,13 @@ SCORED = T.StructType(
         ("attempts", T.IntegerType()),
         ("mamba_pred", _D),
         ("lstm_pred", _D),
+        ("error", _S),
         ("created_at", T.TimestampType()),
         ("outcome", _S),
     ).fields
 )
+# With what the store adds: the day of the letter a replay took, and the batch.
+STORED = T.StructType(SCORED.fields + _struct(("letter_ts", _L), ("batch_id", _S)).fields)
 
 DEAD_LETTER = _struct(
     ("symbol", _S), ("ts", _L), ("payload", _S), ("sequence", MATRIX), ("reason", _S)

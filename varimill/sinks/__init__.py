@@ -1,7 +1,6 @@
 from varimill.sinks.bars import write_bars_bucketed
 from varimill.sinks.metrics import append_metrics, read_metrics
 from varimill.sinks.outcomes import (
-    PREDICTIONS_DDL,
     prediction_rows,
     read_dead_letters,
     read_predictions,
@@ -12,13 +11,13 @@ from varimill.sinks.outcomes import (
 from varimill.sinks.ticks import (
     land_ticks,
     tick_records,
+    write_file_ticks,
     write_ticks,
     write_ticks_csv,
     write_ticks_kafka,
 )
 
 __all__ = [
-    "PREDICTIONS_DDL",
     "append_metrics",
     "land_ticks",
     "prediction_rows",
@@ -28,6 +27,7 @@ __all__ = [
     "tick_records",
     "write_bars_bucketed",
     "write_dead_letters_kafka",
+    "write_file_ticks",
     "write_predictions_jdbc",
     "write_scored",
     "write_ticks",

@@ -2,63 +2,82 @@
 
 One write per batch holds both, so the scorer runs once and each request ends
 on exactly one side. A batch has its own directory and overwrites only that:
-running it again after a failure leaves no duplicate.
+running it again after a failure leaves no duplicate. Replays write batches of
+their own names below the same root, so they never meet a forecast batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.operators.scoring import OK, split_scored
-from varimill.schemas import PREDICTION, PREDICTION_ROW, SCORED, SYMBOL_MAX_CHARS
+from varimill.operators.scoring import INVALID, OK, split_scored
+from varimill.schemas import PREDICTION, PREDICTION_ROW, STORED, SYMBOL_MAX_CHARS
 from varimill.sources.kafka import DEAD_LETTER_TOPIC
 
-# The relational form of the predictions table.
-PREDICTIONS_DDL = """
-CREATE TABLE IF NOT EXISTS predictions (
-    id         BIGINT           NOT NULL PRIMARY KEY,
-    symbol     VARCHAR(20)      NOT NULL,
-    ts         BIGINT           NOT NULL,
-    rv_daily   DOUBLE PRECISION NOT NULL,
-    rv_weekly  DOUBLE PRECISION NOT NULL,
-    rv_monthly DOUBLE PRECISION NOT NULL,
-    mamba_pred DOUBLE PRECISION,
-    lstm_pred  DOUBLE PRECISION,
-    har_pred   DOUBLE PRECISION NOT NULL,
-    created_at TIMESTAMP
-)
-"""
+REPLAY = "replay-"
+
+
+def _fits_table() -> Column:
+    """What the predictions table demands of a row."""
+    required = [f.name for f in PREDICTION.fields if not f.nullable]
+    present = " AND ".join(f"{name} IS NOT NULL" for name in required)
+    return F.expr(f"{present} AND char_length(symbol) <= {SYMBOL_MAX_CHARS}")
 
 
 def write_scored(
-    scored: DataFrame, batch_id: int, root: str, partitions: int | None = None
+    scored: DataFrame, batch_id: int | str, root: str, partitions: int | None = None
 ) -> None:
     """Write one scored batch below ``root``, predictions and dead letters apart.
 
-    ``partitions`` sets the number of writers. The shuffle it takes is by key,
-    so scoring keeps its own parallelism and a rerun task cannot move a row to a
-    second writer.
+    A prediction that the predictions table could not hold (a required column
+    without value, a symbol too long) becomes an invalid dead letter here, before
+    it is stored. ``partitions`` sets the number of writers. The shuffle it takes
+    is by key, so scoring keeps its own parallelism and a rerun task cannot move a
+    row to a second writer.
     """
-    outcome = F.when(F.col("status") == OK, F.lit("prediction")).otherwise(F.lit("dead_letter"))
-    rows = scored.withColumn("outcome", outcome).withColumn("created_at", F.current_timestamp())
+    good = F.col("status") == OK
+    fits = F.coalesce(_fits_table(), F.lit(False))
+    rows = scored.withColumn("status", F.when(good & ~fits, F.lit(INVALID)).otherwise(F.col("status")))
+    outcome = F.when(good, F.lit("prediction")).otherwise(F.lit("dead_letter"))
+    rows = rows.withColumn("outcome", outcome).withColumn("created_at", F.current_timestamp())
     if partitions is not None:
         rows = rows.repartition(partitions, "symbol", "ts")
     rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{root}/batch_id={batch_id}")
 
 
 def _read_outcome(spark: SparkSession, root: str, outcome: str) -> DataFrame:
-    return spark.read.schema(SCORED).parquet(root).where(F.col("outcome") == outcome)
+    return spark.read.schema(STORED).parquet(root).where(F.col("outcome") == outcome)
+
+
+def _replayed() -> Column:
+    return F.startswith(F.col("batch_id"), F.lit(REPLAY))
 
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
-    """All predictions written below ``root``, as rows of the predictions table."""
-    return prediction_rows(_read_outcome(spark, root, "prediction"))
+    """All predictions stored below ``root``, those of replays too, as rows of the
+    predictions table. Of several for the same symbol and ``ts`` the newest counts.
+    """
+    rows = _read_outcome(spark, root, "prediction")
+    newest = Window.partitionBy("symbol", "ts").orderBy(F.desc("created_at"), F.desc("batch_id"))
+    rows = rows.withColumn("_age", F.row_number().over(newest)).where("_age = 1")
+    return rows.select(_row_id(), *PREDICTION_ROW.names[1:])
 
 
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    return split_scored(_read_outcome(spark, root, "dead_letter"))[1]
+    """Letters of the forecast batches that no replay has turned into a prediction."""
+    letters = _read_outcome(spark, root, "dead_letter").where(~_replayed())
+    settled = _read_outcome(spark, root, "prediction").where(_replayed())
+    settled = settled.select(
+        F.col("symbol").alias("s_symbol"), F.coalesce("letter_ts", "ts").alias("s_ts")
+    )
+    same = F.col("symbol").eqNullSafe(F.col("s_symbol")) & F.col("ts").eqNullSafe(F.col("s_ts"))
+    return split_scored(letters.join(settled, same, "left_anti"))[1]
+
+
+def _row_id() -> Column:
+    return F.xxhash64("symbol", "ts").alias("id")
 
 
 def _required(field: T.StructField) -> Column:
@@ -82,7 +101,7 @@ def prediction_rows(predictions: DataFrame) -> DataFrame:
     rows = predictions.select(*(_required(f) for f in PREDICTION.fields), "created_at")
     return rows.withColumn(
         "symbol", F.when(fits, F.col("symbol")).otherwise(long_symbol.cast("string"))
-    ).select(F.xxhash64("symbol", "ts").alias("id"), *PREDICTION_ROW.names[1:])
+    ).select(_row_id(), *PREDICTION_ROW.names[1:])
 
 
 def write_predictions_jdbc(
@@ -95,15 +114,25 @@ def write_predictions_jdbc(
 ) -> None:
     """Append to a relational table over at most ``partitions`` connections.
 
-    Rows whose id is already there are left out, so a batch that failed half way
-    can run again. ``since_ts``, the earliest ``ts`` of the batch, bounds what is
-    read back from the table.
+    Rows whose symbol and ``ts`` are already there are left out, so a batch that
+    failed half way can run again. Only keys are read back, over as many
+    connections, from ``since_ts`` on; by default from the earliest of the batch.
     """
+    rows = prediction_rows(predictions)
+    earliest, latest = rows.agg(F.min("ts"), F.max("ts")).first()
+    if latest is None:
+        return
+    since = earliest if since_ts is None else since_ts
     reader = predictions.sparkSession.read.options(**(properties or {}))
-    present = reader.jdbc(url, table)
-    if since_ts is not None:
-        present = present.where(F.col("ts") >= since_ts)
-    rows = prediction_rows(predictions).join(present.select("id"), "id", "left_anti")
+    present = reader.jdbc(
+        url,
+        f"(SELECT symbol, ts FROM {table} WHERE ts >= {int(since)}) AS present",
+        column="ts",
+        lowerBound=int(since),
+        upperBound=max(int(latest), int(since) + 1),
+        numPartitions=partitions,
+    )
+    rows = rows.join(present, ["symbol", "ts"], "left_anti").select(*PREDICTION_ROW.names)
     writer = rows.write.mode("append").option("numPartitions", partitions)
     writer.options(**(properties or {})).jdbc(url, table)
 

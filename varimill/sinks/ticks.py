@@ -38,6 +38,17 @@ def write_ticks(
     rows.write.mode(mode).partitionBy("day").parquet(path)
 
 
+def write_file_ticks(ticks: DataFrame, path: str) -> None:
+    """Ticks of daily files, one directory per file and day of the tick.
+
+    Writing a file again replaces what it had left and nothing else, so a rerun
+    over any selection of files leaves no tick twice.
+    """
+    rows = _with_day(ticks.select(*TICK.names, "file_name"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("file_name", "day").parquet(path)
+
+
 def land_ticks(path: str) -> Callable[[DataFrame, int], None]:
     """Batch writer from a stream of daily files to a tick table, ``seq`` complete.
 
@@ -65,7 +76,10 @@ def write_ticks_csv(
         F.col("symbol").alias("Symbol"),
         "day",
     )
-    writer = _by_day(fields, rebalance).write.mode(mode).option("header", True).option("quote", "")
+    # Text as it is: a blank symbol stays blank.
+    writer = _by_day(fields, rebalance).write.mode(mode).options(
+        header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     writer.partitionBy("day").csv(path)
 
 

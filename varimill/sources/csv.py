@@ -13,16 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varimill.functions import number_sql, strip_sql, ts_sql
-from varimill.schemas import CSV_FIELDS, CSV_TICK, TICK
+from varimill.schemas import CSV_FIELDS, CSV_TICK, CSV_TYPED_TICK, TICK
 
 GLOB = "*.[cC][sS][vV]"
 _DAY_DIR = re.compile(r"/day=([^/]+)/")
 
 
-def _reader(spark: SparkSession, streaming: bool = False):
+def _reader(spark: SparkSession, streaming: bool = False, typed: bool = False):
     reader = spark.readStream if streaming else spark.read
     return (
-        reader.schema(CSV_TICK)
+        reader.schema(CSV_TYPED_TICK if typed else CSV_TICK)
+        # The spellings of the numbers that are none.
+        .options(nanValue="NaN", positiveInf="Infinity", negativeInf="-Infinity")
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", "")
@@ -51,8 +53,12 @@ def read_csv_fields(
     from_date: str | None = None,
     last_n: int = 0,
     streaming: bool = False,
+    typed: bool = False,
 ) -> DataFrame:
-    """Text fields of the lines, with ``file_name`` and the line order ``seq``.
+    """Fields of the lines, with ``file_name`` and the line order ``seq``.
+
+    All are text; with ``typed`` the reader parses the four numbers, and one that
+    does not parse is null.
 
     The first line of every file is skipped, blank lines too. ``from_date`` and
     ``last_n`` select days by name; both become one lower bound on the name, so
@@ -68,7 +74,7 @@ def read_csv_fields(
         newest = [n for n in day_names(spark, path) if n >= (from_date or "")][-last_n:]
         # Without any match the bound stays as it is and keeps nothing.
         from_date = newest[0] if newest else from_date
-    df = _reader(spark, streaming).csv(path)
+    df = _reader(spark, streaming, typed).csv(path)
     by_directory = "day" in df.columns
     label = F.col("day").cast("string") if by_directory else F.col("_metadata.file_name")
     if from_date:
@@ -91,9 +97,11 @@ def line_place() -> Column:
 
 
 def ticks_from_fields(fields: DataFrame) -> DataFrame:
-    """Typed ticks from six text fields; a row that does not parse is dropped.
+    """Typed ticks from six fields; a row that does not parse is dropped.
+
+    Numbers may be text or parsed already.
 
-    The symbol is trimmed and must not be empty. ``spread`` must parse although
+    The symbol is trimmed; a blank one stays, a missing one does not. ``spread`` must parse although
     nothing reads it later. NaN and infinities are numbers here.
     """
     kept = [c for c in fields.columns if c not in CSV_FIELDS]
@@ -104,7 +112,8 @@ def ticks_from_fields(fields: DataFrame) -> DataFrame:
         *kept,
     )
     typed = {"symbol": "symbol", "ts": ts_sql("datetime")}
-    typed |= {c: number_sql(c) for c in ("bid", "ask", "volume", "spread")}
+    text = {name for name, kind in fields.dtypes if kind == "string"}
+    typed |= {c: number_sql(c) if c in text else c for c in ("bid", "ask", "volume", "spread")}
     row = ", ".join(f"'{name}', {value}" for name, value in typed.items())
     rows = stripped.selectExpr(*kept, f"named_struct({row}) AS tick")
     # A filter on parsed columns would be pushed below the parsing and repeat it;
@@ -112,7 +121,7 @@ def ticks_from_fields(fields: DataFrame) -> DataFrame:
     parsed = " AND ".join(f"tick.{c} IS NOT NULL" for c in typed)
     none = "slice(array(tick), 1, 0)"
     ticks = rows.selectExpr(
-        *kept, f"inline(if(tick.symbol <> '' AND {parsed}, array(tick), {none}))"
+        *kept, f"inline(if({parsed}, array(tick), {none}))"
     )
     return ticks.select(*typed, *kept)
 
@@ -125,5 +134,5 @@ def read_ticks_csv(
     streaming: bool = False,
 ) -> DataFrame:
     """Ticks of the selected daily files, with ``file_name`` for audit counts."""
-    fields = read_csv_fields(spark, path, from_date, last_n, streaming)
+    fields = read_csv_fields(spark, path, from_date, last_n, streaming, typed=True)
     return ticks_from_fields(fields).select(*TICK.names, "file_name")

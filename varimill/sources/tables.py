@@ -25,9 +25,10 @@ def stream_table(
 def read_ticks(
     spark: SparkSession, path: str, streaming: bool = False, from_date: str | None = None
 ) -> DataFrame:
-    """Ticks from the day-partitioned table ``sinks.write_ticks`` writes."""
+    """Ticks from a table with days as directories, as ``sinks`` writes them."""
     schema = T.StructType(TICK.fields + [T.StructField("day", T.StringType())])
     df = (spark.readStream if streaming else spark.read).schema(schema).parquet(path)
+    df = df.select(*schema.names)
     return df.where(F.col("day") >= from_date) if from_date else df
 
 

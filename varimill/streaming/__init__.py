@@ -5,6 +5,7 @@ from varimill.streaming.runs import (
     available_now,
     daily_rv_stream,
     flush_tick,
+    late_ticks,
     latest_event_ms,
     score_batches,
     send_flush,
@@ -18,6 +19,7 @@ __all__ = [
     "daily_rv_stream",
     "dead_letter_stream",
     "flush_tick",
+    "late_ticks",
     "latest_event_ms",
     "replay_batches",
     "request_stream",

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.llm.frames import map_arrays, process_cache
+from varimill.llm.frames import map_arrays, process_cache, stored
 from varimill.llm.words import chunks
 
 BLOCK = 1024  # lengths per block of suffix sums
@@ -61,6 +61,7 @@ def limit_report(histogram: DataFrame) -> DataFrame:
     ``tokens_lost``: those cut off. A limit between two lengths has the counts of
     the lower one and ``tokens_truncated`` larger by ``docs_longer`` a token.
     """
+    histogram = stored(histogram, "lengths")  # read by several branches; texts are encoded once
     tokens = F.col("n_tokens") * F.col("n_docs")
     rows = histogram.withColumn("tokens", tokens).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,8 @@
 BENCH_SF_DIR    tables to read (default /root/testdata/sf0.1)
 BENCH_CPUS      local cores (default all)
 BENCH_RUNS      timed runs per query after one warm-up (default 3)
+BENCH_GRID      1: also the 24 cells of the published grid (input partitions 2 to
+                16, shuffle partitions 2 to 12)
 BENCH_COPIES    copies of the events in the full-size run (default: enough for
                 66.8 million ticks; 0 skips it)
 """
@@ -14,7 +16,6 @@ import math
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from varimill.operators import LstmModel, SequenceScorer, with_tick_counter  # noqa: E402
-from varimill.plans import catalog, scored_requests  # noqa: E402
+from varimill.plans import catalog, scored_requests, sweep  # noqa: E402
 from varimill.session import RECOMMENDED  # noqa: E402
 from varimill.sinks import read_predictions, write_scored  # noqa: E402
 from varimill.sources import read_table, ticks_from_events  # noqa: E402
+from varimill.workspace import run_dir  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
@@ -101,8 +103,12 @@ def copies_of_events(spark: SparkSession, copies: int, path: str) -> None:
 
 
 def full_size(spark: SparkSession, copies: int) -> dict:
-    """Stored ticks to stored predictions, LSTM scoring included."""
-    base = tempfile.mkdtemp(prefix="run-")
+    """Stored ticks to stored predictions, LSTM scoring included.
+
+    Not like for like with the published runs: the ticks are Parquet, copies of one
+    small table, and the model runs in process.
+    """
+    base = run_dir(spark, "bench")
     copies_of_events(spark, copies, f"{base}/ticks")
     scorer = SequenceScorer(lstm=LstmModel.from_seed(7))
     best, seen, predictions = math.inf, 0, 0
@@ -113,6 +119,9 @@ def full_size(spark: SparkSession, copies: int) -> dict:
         best = min(best, timed(lambda: write_scored(scored_requests(ticks, scorer), 0, out, 4)))
         seen, predictions = counter.get["ticks"], read_predictions(spark, out).count()
     return {
+        "grid": grid(spark, f"{base}/ticks", scorer, base) if os.environ.get("BENCH_GRID") == "1" else None,
+        "source": "parquet",
+        "copies": copies,
         "ticks": seen,
         "predictions": predictions,
         "elapsed_sec": round(best, 3),
@@ -123,6 +132,20 @@ def full_size(spark: SparkSession, copies: int) -> dict:
     }
 
 
+def grid(spark: SparkSession, path: str, scorer: SequenceScorer, base: str) -> list[dict]:
+    """One run per cell of input and shuffle partitions."""
+
+    def run(inputs: int) -> int:
+        counter = Observation("ticks")
+        ticks = with_tick_counter(spark.read.parquet(path).coalesce(inputs), counter)
+        write_scored(scored_requests(ticks, scorer), 0, f"{base}/grid", 4)
+        return counter.get["ticks"]
+
+    runs = sweep(spark, run, (2, 4, 8, 16), (2, 4, 6, 8, 10, 12))
+    names = ("input_partitions", "parallelism", "elapsed_ms", "throughput_ticks_per_sec", "error")
+    return [dict(zip(names, row, strict=True)) for row in runs.select(*names).collect()]
+
+
 def main() -> None:
     spark = session()
     queries = catalog.queries()

@@ -32,6 +32,7 @@ from varimill.llm.words import chunks, mix
 
 ORDER = 5
 SHARD_ROWS = 4_000_000
+SCORED_BYTES = 1 << 19  # of text scored at once: some twenty numbers are held for each
 PULL = 60
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of counts
 QUANTILE = 0.95
@@ -186,27 +187,29 @@ class _Table:
     """Key to value without a search: two hashed places a key, the rest sorted."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = np.uint64(max(8, int(len(keys) * 3).bit_length()))
-        self.slots, self.rest = [], np.ones(len(keys), bool)
+        self.slots: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
         for turn in range(2):
-            place = self._place(keys, turn)
-            known, held = np.zeros(1 << int(self.bits), np.uint64), np.zeros((1 << int(self.bits), values.shape[1]), np.float32)
-            left = np.flatnonzero(self.rest)
-            known[place[left]], held[place[left]] = keys[left], values[left]
-            self.rest &= known[place] != keys
-            self.slots.append((known, held))
-        order = np.argsort(keys[self.rest])
-        self.keys, self.values = keys[self.rest][order], values[self.rest][order].astype(np.float32)
-
-    def _place(self, keys: np.ndarray, turn: int) -> np.ndarray:
-        return (keys << np.uint64(20 * turn)) >> (np.uint64(64) - self.bits)
+            bits = np.uint64(max(8, int(len(keys)).bit_length()))
+            place = self._place(keys, turn, bits)
+            known = np.zeros(1 << int(bits), np.uint64)
+            held = np.zeros((1 << int(bits), values.shape[1]), np.float32)
+            known[place], held[place] = keys, values
+            left = known[place] != keys
+            keys, values = keys[left], values[left]
+            self.slots.append((bits, known, held))
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+
+    @staticmethod
+    def _place(keys: np.ndarray, turn: int, bits: np.uint64) -> np.ndarray:
+        return (keys << np.uint64(20 * turn)) >> (np.uint64(64) - bits)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of the keys, NaN where there is none."""
         out = np.full((len(keys), self.values.shape[1]), np.nan, np.float32)
-        left = np.arange(len(keys))
-        for turn, (known, held) in enumerate(self.slots):
-            place = self._place(keys[left], turn)
+        left = np.arange(len(keys), dtype=np.int32)
+        for turn, (bits, known, held) in enumerate(self.slots):
+            place = self._place(keys[left], turn, bits)
             hit = known[place] == keys[left]
             out[left[hit]] = held[place[hit]]
             left = left[~hit]
@@ -295,7 +298,7 @@ def _scored(docs: DataFrame, sent, mine: np.ndarray, text: str, more: bool) -> D
         for x in langs.unique().to_pylist():
             keys[x] = _language_key(x)
         of = np.array([keys[x] for x in langs.to_pylist()], np.uint64)
-        for low, high, data, offsets in chunks(column):
+        for low, high, data, offsets in chunks(column, SCORED_BYTES):
             symbols, begin, n = _symbols(data, offsets)
             grams = _grams(symbols)
             row = np.repeat(np.arange(high - low), n)

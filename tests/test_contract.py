@@ -10,7 +10,7 @@ SMALL, SF_DIR = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = catalog.queries()
 ORACLE = oracle.oracle_sql()
 STREAMS = {n for n in QUERIES if n.startswith("stream_")}
-JOINED = {"store_after_replay", "ingested_twice"}  # run jobs, settle letters by a join
+JOINED = {"store_after_replay", "ingested_twice", "incremental_forecast"}  # run jobs, settle letters by a join
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +60,10 @@ def test_shuffles(spark, name, shuffles):
     assert text.count("Join") == 0
 
 
+def test_day_bound_reaches_the_scan(spark):
+    assert "GreaterThanOrEqual(ts,2024-01-05" in plan(QUERIES["ingest_window"](spark, SMALL))
+
+
 def test_forecasts_stay_in_the_jvm_and_prune_the_scan(spark):
     text = plan(QUERIES["har_predictions"](spark, SMALL))
     assert "Python" not in text and "Arrow" not in text

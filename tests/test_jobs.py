@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from varimill.config import PipelineConfig
 from varimill.operators import Outcome
-from varimill.plans import forecast_job, forecasts, ingest_job, replay_job, sweep
+from varimill.plans import (
+    daily_forecast_job,
+    daily_job,
+    forecast_job,
+    forecasts,
+    ingest_job,
+    replay_job,
+    sweep,
+)
 from varimill.sinks import (
     read_dead_letters,
     read_metrics,
@@ -16,7 +24,7 @@ from varimill.sinks import (
     write_ticks,
     write_ticks_csv,
 )
-from varimill.sources import read_ticks
+from varimill.sources import read_daily, read_ticks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -156,3 +164,38 @@ def test_defaults_are_the_fixed_values():
     assert (c.weekly, c.monthly, c.min_ticks, c.har) == (5, 22, 2, (0.1, 0.4, 0.3, 0.2))
     assert (c.max_attempts, c.backoff_ms, c.breaker_threshold, c.breaker_open_s) == (3, 100, 5, 30)
     assert pytest.approx(c.bar_width.total_seconds()) == 300
+
+
+def test_daily_table_is_extended_without_reading_old_ticks(spark, ticks_of, tmp_path):
+    rng = random.Random(8)
+    rows = [("a", START + d * DAY + i * 1000, 1 + rng.random()) for d in range(28) for i in range(6)]
+    table, daily, store = (str(tmp_path / d) for d in ("ticks", "daily", "store"))
+    write_ticks(ticks_of(rows), table)
+    config = PipelineConfig()
+    daily_job(spark, table, daily, config=config)
+    before = {r.ts: r.rv_daily for r in read_daily(spark, daily).collect()}
+    late = day_text(START + 26 * DAY)
+    daily_job(spark, table, daily, from_date=late, config=config)
+    assert {r.ts: r.rv_daily for r in read_daily(spark, daily).collect()} == before and len(before) == 28
+    daily_forecast_job(spark, daily, store, "all", config=config)
+    assert keys(read_predictions(spark, store)) == keys(forecasts(ticks_of(rows)))
+    daily_forecast_job(spark, daily, str(tmp_path / "new"), 0, from_date=late, config=config)
+    assert len(keys(read_predictions(spark, str(tmp_path / "new")))) == 2
+    plan = read_ticks(spark, table, from_date=late)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def day_text(ms):
+    from datetime import datetime, timezone
+
+    return datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y-%m-%d")
+
+
+def test_scoring_is_dealt_to_more_than_one_task(spark):
+    from varimill.operators import score
+    from varimill.schemas import REQUEST
+
+    rows = [(f"s{i % 50}", i, 1.0, 1.0, 1.0, False, "p", None) for i in range(8800)]
+    frame = spark.createDataFrame(rows, REQUEST).coalesce(1)
+    scored = score(frame, back_up).select(F.spark_partition_id().alias("task"))
+    assert scored.distinct().count() > 1

@@ -5,11 +5,20 @@ from varimill.plans.batch import (
     scored_requests,
     unscored_requests,
 )
-from varimill.plans.jobs import forecast_job, ingest_job, replay_job, stream_forecast_job
+from varimill.plans.jobs import (
+    daily_forecast_job,
+    daily_job,
+    forecast_job,
+    ingest_job,
+    replay_job,
+    stream_forecast_job,
+)
 from varimill.plans.streams import stream_daily_rv, stream_to_requests, stream_to_table
 from varimill.plans.sweep import sweep
 
 __all__ = [
+    "daily_forecast_job",
+    "daily_job",
     "daily_variance",
     "forecast_job",
     "forecasts",

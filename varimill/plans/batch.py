@@ -25,8 +25,12 @@ def daily_variance(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataF
 
 
 def requests(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
+    return daily_requests(daily_variance(ticks, config), config)
+
+
+def daily_requests(daily: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
     return model_requests(
-        daily_variance(ticks, config),
+        daily,
         config.test_start,
         weekly=config.weekly,
         monthly=config.monthly,
@@ -38,8 +42,14 @@ def scored_requests(
     ticks: DataFrame, scorer: Scorer | None = None, config: PipelineConfig = _DEFAULT, **options
 ) -> DataFrame:
     """Requests with outcome; see ``operators.score`` for the options."""
+    return score_requests(requests(ticks, config), scorer, config, **options)
+
+
+def score_requests(
+    rows: DataFrame, scorer: Scorer | None = None, config: PipelineConfig = _DEFAULT, **options
+) -> DataFrame:
     return score(
-        requests(ticks, config),
+        rows,
         scorer,
         b=config.har,
         decimals=config.payload_decimals,
@@ -57,7 +67,10 @@ def scored_requests(
 
 def unscored_requests(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
     """Requests with the outcome they have when models are switched off."""
-    rows = requests(ticks, config)
+    return unscored(requests(ticks, config))
+
+
+def unscored(rows: DataFrame) -> DataFrame:
     return rows.selectExpr(
         "*",
         "'ok' AS status",

@@ -46,7 +46,13 @@ from varimill.operators import (
 )
 from varimill.operators.scoring import ERROR, INVALID, OK
 from varimill.plans import batch, streams
-from varimill.plans.jobs import ingest_job, replay_job, stream_forecast_job
+from varimill.plans.jobs import (
+    daily_forecast_job,
+    daily_job,
+    ingest_job,
+    replay_job,
+    stream_forecast_job,
+)
 from varimill.plans.sweep import sweep
 from varimill.schemas import SCORED, TICK
 from varimill.sinks import (
@@ -79,9 +85,11 @@ _WEEKDAY_SQL = "ts div 86400000 % 7"
 HOUR = PipelineConfig().bar_width * 12
 
 
-def ticks(spark: SparkSession, sf_dir: str, symbol: str = "event_type") -> DataFrame:
+def ticks(
+    spark: SparkSession, sf_dir: str, symbol: str = "event_type", from_date: str | None = None
+) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return ticks_from_events(read_table(spark, sf_dir, "events"), symbol)
+    return ticks_from_events(read_table(spark, sf_dir, "events"), symbol, from_date)
 
 
 def _tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +147,8 @@ def q_csv_daily_files(spark, sf_dir):
 
 
 def q_ingest_window(spark, sf_dir):
-    named = ticks(spark, sf_dir).withColumn("day", day_name())
-    return _rounded(select_days(named, FROM_DATE, LAST_N, col="day"))
+    named = ticks(spark, sf_dir, from_date=FROM_DATE).withColumn("day", day_name())
+    return _rounded(select_days(named, last_n=LAST_N, col="day"))
 
 
 def q_ingest_counts(spark, sf_dir):
@@ -485,6 +493,17 @@ def q_ingested_twice(spark, sf_dir):
     return _rounded(read_ticks(spark, table).drop("seq"))
 
 
+def q_incremental_forecast(spark, sf_dir):
+    """Daily variance kept as a table, extended by the last days; forecasts from it."""
+    table, daily, root = (run_dir(spark, d) for d in ("ticks", "daily", "store"))
+    write_ticks(ticks(spark, sf_dir), table)
+    daily_job(spark, table, daily, config=PipelineConfig())
+    daily_job(spark, table, daily, from_date="2024-01-24", config=PipelineConfig())
+    for run_id, day in ((0, None), (1, "2024-01-25")):
+        daily_forecast_job(spark, daily, root, run_id, from_date=day, config=PipelineConfig())
+    return _stored_forecasts(spark, root)
+
+
 # Reports
 
 

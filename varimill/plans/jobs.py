@@ -8,16 +8,25 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from varimill.config import PipelineConfig
+from varimill.functions import utc_midnight_ms
 from varimill.operators.scoring import Scorer
 from varimill.operators.ticks import select_days, with_tick_counter
-from varimill.plans.batch import scored_requests, unscored_requests
+from varimill.plans.batch import (
+    daily_requests,
+    daily_variance,
+    score_requests,
+    scored_requests,
+    unscored,
+    unscored_requests,
+)
 from varimill.plans.streams import requests_stream
 from varimill.schemas import RUN_METRICS
-from varimill.sinks import append_metrics, write_file_ticks, write_scored
-from varimill.sources import read_ticks, read_ticks_csv
+from varimill.sinks import append_metrics, write_daily, write_file_ticks, write_scored
+from varimill.sources import read_daily, read_ticks, read_ticks_csv
 from varimill.streaming import (
     available_now,
     dead_letter_stream,
@@ -70,6 +79,49 @@ def forecast_job(
         _append_run(spark, metrics, ticks.rdd.getNumPartitions(), config, seen.get["ticks"], elapsed)
 
 
+def daily_job(
+    spark: SparkSession,
+    table: str,
+    daily_table: str,
+    from_date: str | None = None,
+    config: PipelineConfig | None = None,
+) -> None:
+    """Tick table to the daily variance table, from a day on.
+
+    Only the tick directories of these days are read, and only these days of the
+    daily table are replaced.
+    """
+    config = config or PipelineConfig.from_session(spark)
+    ticks = read_ticks(spark, table, from_date=from_date or config.from_date)
+    write_daily(daily_variance(ticks, config), daily_table)
+
+
+def daily_forecast_job(
+    spark: SparkSession,
+    daily_table: str,
+    root: str,
+    run_id: int | str,
+    scorer: Scorer | None = None,
+    from_date: str | None = None,
+    config: PipelineConfig | None = None,
+    **options,
+) -> None:
+    """Predictions and dead letters for the days from ``from_date`` on.
+
+    Histories come from the daily table, which has a row per symbol and day; no
+    tick is read.
+    """
+    config = config or PipelineConfig.from_session(spark)
+    rows = daily_requests(read_daily(spark, daily_table).drop("day"), config)
+    if from_date:
+        rows = rows.where(F.col("ts") > utc_midnight_ms(from_date))
+    if config.ml_enabled:
+        scored = score_requests(rows, scorer, config, **options)
+    else:
+        scored = unscored(rows)
+    write_scored(scored, run_id, root, config.sink_partitions)
+
+
 def _append_run(
     spark: SparkSession, path: str, inputs: int, config: PipelineConfig, ticks: int, elapsed: float
 ) -> None:
@@ -136,16 +188,7 @@ def stream_forecast_job(
 
 def _unscored_batches(root: str, config: PipelineConfig) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.selectExpr(
-            "*",
-            "'ok' AS status",
-            "0D AS har_pred",
-            "0 AS attempts",
-            "cast(NULL AS double) AS mamba_pred",
-            "cast(NULL AS double) AS lstm_pred",
-            "cast(NULL AS string) AS error",
-        )
-        write_scored(rows, batch_id, root, config.sink_partitions)
+        write_scored(unscored(batch), batch_id, root, config.sink_partitions)
 
     return write
 

@@ -264,6 +264,7 @@ FROM (SELECT count(*) AS total_ticks FROM events),
         "lstm_scores": _lstm_sql(plain),
         "short_sequences": har,
         "stream_predictions": har,
+        "incremental_forecast": har,
         "stream_continued": har,
         "nonfinite_days": f"""{_ctes().replace(
             "sum(log_return * log_return) AS rv_daily",

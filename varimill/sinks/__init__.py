@@ -11,6 +11,7 @@ from varimill.sinks.outcomes import (
 from varimill.sinks.ticks import (
     land_ticks,
     tick_records,
+    write_daily,
     write_file_ticks,
     write_ticks,
     write_ticks_csv,
@@ -26,6 +27,7 @@ __all__ = [
     "read_predictions",
     "tick_records",
     "write_bars_bucketed",
+    "write_daily",
     "write_dead_letters_kafka",
     "write_file_ticks",
     "write_predictions_jdbc",

@@ -49,6 +49,15 @@ def write_file_ticks(ticks: DataFrame, path: str) -> None:
     writer.partitionBy("file_name", "day").parquet(path)
 
 
+def write_daily(daily: DataFrame, path: str) -> None:
+    """Daily variance, one directory per day; a day written again replaces itself."""
+    # ``ts`` is the day's end, so the day is that of the instant before.
+    rows = daily.withColumn("day", day_name("(ts - 1)"))
+    rows.repartition("day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("day").parquet(path)
+
+
 def land_ticks(path: str) -> Callable[[DataFrame, int], None]:
     """Batch writer from a stream of daily files to a tick table, ``seq`` complete.
 

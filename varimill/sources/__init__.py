@@ -7,6 +7,7 @@ from varimill.sources.kafka import (
     ticks_from_records,
 )
 from varimill.sources.tables import (
+    read_daily,
     read_table,
     read_ticks,
     stream_table,
@@ -19,6 +20,7 @@ __all__ = [
     "kafka_options",
     "read_csv_fields",
     "read_dead_letters_kafka",
+    "read_daily",
     "read_table",
     "read_ticks",
     "read_ticks_csv",

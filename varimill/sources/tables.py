@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.schemas import TICK
+from varimill.schemas import DAILY_RV, TICK
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +32,24 @@ def read_ticks(
     return df.where(F.col("day") >= from_date) if from_date else df
 
 
-def ticks_from_events(events: DataFrame, symbol: str = "event_type") -> DataFrame:
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Daily variance from the table ``sinks.write_daily`` writes, with its ``day``."""
+    schema = T.StructType(DAILY_RV.fields + [T.StructField("day", T.StringType())])
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def ticks_from_events(
+    events: DataFrame, symbol: str = "event_type", from_date: str | None = None
+) -> DataFrame:
     """Read an event log as ticks; ``symbol`` is a SQL expression.
 
     The value is the bid; ``k`` of the properties moves the ask by -5 to 94
     cents, so some quotes are crossed; user ids divisible by 50 give a negative
     volume. The event id breaks ties on time. Times are taken as UTC.
+    ``from_date`` bounds the event time itself, which reaches the scan.
     """
+    if from_date:
+        events = events.where(F.col("ts") >= F.lit(from_date).cast(events.schema["ts"].dataType))
     # The properties hold this one number; a pattern costs a tenth of a JSON parse.
     k = """try_cast(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS int)"""
     return events.selectExpr(

@@ -128,7 +128,8 @@ def _frequent_parts(docs: DataFrame, width: int, percent: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        slices = (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000))
+        for batch in slices:
             parts = [np.zeros(0, np.uint64)]
             for shingles in _sets(batch.column(0), width):
                 for bits, differ in _bands(len(shingles), percent):

@@ -32,7 +32,7 @@ from varimill.llm.words import chunks, mix
 
 ORDER = 5
 SHARD_ROWS = 4_000_000
-SCORED_BYTES = 1 << 19  # of text scored at once: some twenty numbers are held for each
+SCORED_BYTES = 1 << 17  # of text scored at once: some twenty numbers are held for each
 PULL = 60
 FOLDS = 5  # one in so many trusted documents sets thresholds instead of counts
 QUANTILE = 0.95

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # of text worked on at once; a longer text is one chunk
+CHUNK_BYTES = 1 << 19  # of text worked on at once; a longer text is one chunk
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)

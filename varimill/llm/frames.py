@@ -7,7 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,6 +21,12 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Spark hand documents to Python in batches of so many rows, whose texts and
+    results a worker holds at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varimill.llm import decontaminate, jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filter
+from varimill.llm.frames import small_batches
 from varimill.sources.tables import read_table
 
 
@@ -25,6 +26,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    small_batches(spark)
     return quality_model.classify(docs, trusted)
 
 

@@ -158,6 +158,20 @@ def test_toxic_texts_are_found_held_out(spark, docs_of):
     assert sum(r.predicted == hidden[r.doc_id][5] for r in again) >= 0.95 * len(hidden)
 
 
+def test_insults_that_come_together_all_get_a_weight(spark, docs_of):
+    rng = random.Random(5)
+    insults = ["idiot", "moron", "clown", "scum", "trash", "loser", "stupid", "pathetic"]
+    rows = []
+    for i in range(400):
+        words = prose(rng, 40).split(" ") + (rng.sample(insults, 6) if i % 4 == 0 else [])
+        rows.append((i, " ".join(words), "en", "s", 0))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(rows), labels)
+    alone = [(1000 + i, f"tar lo {word} ne", "en", "s", 0) for i, word in enumerate(insults)]
+    got = toxicity.score(docs_of(alone), model).collect()
+    assert all(r.predicted == 1 and r.n_marks == 1 for r in got)
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark, docs_of):
     rows = toxic_rows(200, 3)
     docs = docs_of([r[:5] for r in rows])

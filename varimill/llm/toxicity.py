@@ -34,6 +34,7 @@ LEXICON = 20_000  # words that are given a weight, at most
 PRIOR = 2.0
 CHANCE = 2.0  # log odds against a word that is toxic by chance, beside their number
 RESIDUE = 4.0  # log likelihood ratio of a word in texts that stronger words do not mark
+STRONG = 5.0  # log likelihood ratio against even odds that spares a word this test
 
 # Letters that a character may stand for.
 LOOKALIKES = {
@@ -247,8 +248,12 @@ def fit(
     least = np.log(len(words) + 1) + CHANCE
     good = (weight > 0.05) & (ratio > least)
     order = np.argsort(words[good].view(np.uint64))
-    words, weight, ratio, clean = (x[good][order] for x in (words.view(np.uint64), weight, ratio, clean))
-    # A word that comes along with stronger ones must also mark texts of its own.
+    words, weight, ratio, clean, toxic = (x[good][order] for x in (words.view(np.uint64), weight, ratio, clean, toxic))
+    # A word that comes along with stronger ones must also mark texts of its own,
+    # unless next to no clean text has it: insults come together.
+    odds = toxic * np.log(np.maximum(2 * toxic, 1) / (toxic + clean))
+    odds += clean * np.log(np.maximum(2 * clean, 1) / (toxic + clean))
+    strong = (toxic > clean) & (odds > STRONG)
     held = _held_words(texts, letters, words).toPandas()
     marks = [set(x) for x in held["places"]]
     where: dict[int, list[int]] = {}
@@ -261,7 +266,7 @@ def fit(
         own = int((is_toxic[at] & ~explained[at]).sum())
         share = own / max(own + clean[place], 1)
         alone = own * np.log(max(share, 1e-9) / rate) + clean[place] * np.log((1 - share + 1e-9) / (1 - rate))
-        if own >= LEAST_TOXIC and share > rate and alone > RESIDUE:
+        if strong[place] or (own >= LEAST_TOXIC and share > rate and alone > RESIDUE):
             kept.append(place)
             explained[at] = True
     kept = np.sort(np.array(kept, np.int64))

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_data import prose
 from pyspark.sql import functions as F
@@ -130,6 +131,29 @@ def test_hidden_words_are_restored(token, word):
     assert toxicity.restore(token, letters()) == word
 
 
+HIDDEN = (
+    "i.d.i.o.t i-d-i-o-t s-t-u-p-i-d i_d_i_o_t m*o*r*o*n st-upid $tupid 1diot @sshole idi0+ $tup1d! (1diot) 1diot!! idi0+!! "
+    "l0ser€ stup|d idiot€ m.0.r.0.n"
+).split(" ") + [
+    "1 d 1 0 t", "such a m o r o n", "$ t u p i d", "i d i o t !", "i\td\ti\to\tt", "m-0-r-0-n", "i d i o t", "you m.o.r.o.n, go",
+]
+
+
+def test_hidden_spellings_reach_the_score(docs_of):
+    insults = ["idiot", "moron", "stupid", "asshole", "loser"]
+    counts = np.zeros((27, 27, 27))
+    code = [toxicity._letter(c) for c in "idiot idiots the moron stupid asshole loser people talk about such things " * 20]
+    for a, b, c in zip(code, code[1:], code[2:], strict=False):
+        counts[a, b, c] += 1
+    known = toxicity.letter_model(counts)
+    hashes = np.unique(np.concatenate([h for part in toxicity.text_words(pa.array(insults), known, {}) for h in part]))
+    model = toxicity.ToxicModel(known, hashes, np.full(len(hashes), math.log(0.1)), math.log(0.95))
+    clean = ["the people talk!", "3 p.m. at 5th a.b.c 1 2 3 4", "| a | b | 12 |", "x", "", None, "!!! $$$ ... - -", "well-known 10.5 it's"]
+    texts = [f"the {h} talk" for h in HIDDEN] + HIDDEN + clean
+    got = toxicity.score(docs_of([(i, t, "en", "s", 0) for i, t in enumerate(texts)]), model).collect()
+    assert {texts[r.doc_id] for r in got if not r.predicted} == set(clean)
+
+
 def toxic_rows(n, seed, hide=False):
     rng = random.Random(seed)
     insults = ["idiot", "moron", "clown"]

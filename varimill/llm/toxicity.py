@@ -1,9 +1,10 @@
 """Toxicity of texts whose insults may be spelled to hide them.
 
-Noisy channel: a suspicious token (look-alike characters among letters, letters
-repeated, single letters in a row) is read as a lattice of the letters it may
-stand for; Viterbi search under a character trigram model picks the likeliest
-word. Tokens of plain letters stand for themselves. The restored text is scored:
+Noisy channel: a suspicious token (look-alike characters beside letters, letters
+repeated, letters joined by filler marks, single letters in a row) is read as a
+lattice of the letters it may stand for; Viterbi search under a character trigram
+model picks the likeliest word, with and without look-alikes at its ends. Tokens
+of plain letters stand for themselves. The restored text is scored:
 each word seen often enough in labelled texts has a probability of marking a
 toxic one, and a document's score joins those of its words as a noisy or.
 
@@ -15,7 +16,7 @@ no inputs. Null and empty texts get the score of texts without any weighted word
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,14 +42,19 @@ LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l",
 }
-_FILLER = frozenset(".-_*'~^ ")
+_FILLER = frozenset(".-_*'~^ \t\r\n")
 _SAME, _ALIKE, _REPEAT, _SKIP = -0.05, -1.0, -0.7, -1.0  # log weights of the channel
 _LETTERS = 27  # a-z and one for all others and word ends
 _OTHER = 26
 
 _ALPHA = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 _ODD = np.isin(np.arange(256), [*b"0123456789@$!|+"])
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\w)")
+_JOINT = np.isin(np.arange(256), [*b".-_*'~^"])
+_MARKS = "#*%&=<>()[]{}\"',;:.?~^_-"  # around a token; stand for no letter
+_RIM = _MARKS + "".join(LOOKALIKES)
+_PLAIN = re.compile(r"(?:([a-z])(?!\1\1))+")
+_ONE = r"(?:[^\W_]|[@$!|+€£])"  # a letter or a look-alike
+_SPACED = re.compile(rf"(?<!\w)(?:{_ONE}[\s.\-_*'~^]){{2,}}{_ONE}(?!\w)")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,19 +120,65 @@ def restore(token: str, model: np.ndarray) -> str:
     return max(ends)[1]
 
 
+def _odd_marks(data: np.ndarray) -> np.ndarray:
+    """Bytes of look-alikes, those of two or three bytes included."""
+    odd = _ODD[data]
+    for mark in (m.encode() for m in LOOKALIKES if not m.isascii()):
+        n = len(data) - len(mark) + 1
+        if n > 0:
+            at = np.flatnonzero(np.logical_and.reduce([data[i : n + i] == b for i, b in enumerate(mark)]))
+            for i in range(len(mark)):
+                odd[at + i] = True
+    return odd
+
+
 def _suspicious(words: Words) -> np.ndarray:
-    """Which tokens between spaces may hide a word; sets of marks around it do not count."""
+    """Which tokens between spaces may hide a word: a look-alike next to a letter, a
+    filler between letters or look-alikes, or a letter three times."""
     data = words.data
     n = len(data)
-    flags = np.zeros(n + 1, np.int64)
-    alpha = _ALPHA[data]
-    inner = _ODD[data[1:-1]] & ((alpha[:-2] | _ODD[data[:-2]]) & (alpha[2:] | _ODD[data[2:]])) if n > 2 else np.zeros(0, bool)
-    flags[2 : 2 + len(inner)] = inner
-    same = alpha[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) if n > 2 else np.zeros(0, bool)
-    flags[3 : 3 + len(same)] |= same
-    sums, letters = np.cumsum(flags), np.concatenate([[0], np.cumsum(alpha)])
-    odd = sums[words.end] - sums[np.minimum(words.start + 1, n)] > 0
-    return odd & (letters[words.end] - letters[words.start] > 0)
+    if not len(words):
+        return np.zeros(0, bool)
+    odd = _odd_marks(data)
+    alpha = _ALPHA[data] & ~odd
+
+    def count(flags: np.ndarray, end: np.ndarray) -> np.ndarray:
+        sums = np.zeros(n + 1, np.int64)
+        np.cumsum(flags, out=sums[1 : len(flags) + 1])
+        return sums[np.maximum(end, words.start)] - sums[words.start]
+
+    beside = (odd[:-1] & alpha[1:]) | (alpha[:-1] & odd[1:])
+    same = alpha[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    # The first and the last letter or look-alike of each token, and fillers between.
+    core = np.append(np.flatnonzero(alpha | odd), n)
+    low = np.maximum(core[np.searchsorted(core, words.start)], words.start)
+    high = core[np.maximum(np.searchsorted(core, words.end) - 1, 0)]
+    joints = np.concatenate([[0], np.cumsum(_JOINT[data])])
+    joined = (high > low) & (joints[np.clip(high, 0, n)] > joints[np.clip(low, 0, n)])
+    hidden = (count(beside, words.end - 1) > 0) | (count(same, words.end - 2) > 0) | joined
+    return hidden & (count(alpha, words.end) > 0)
+
+
+def _rims(token: str, strip: Callable[[str, str], str], end: int) -> list[str]:
+    """A token with all look-alikes at one end, without the outermost kind, and without any."""
+    outer = token[end : end + 1 or None]
+    return [token, strip(token, outer), strip(token, _RIM)] if outer and outer in LOOKALIKES else [token]
+
+
+def _readings(token: str, model: np.ndarray) -> str:
+    """Words that a token may stand for. A mark such as '!' at either end may be a
+    letter or none, so it is read both ways."""
+    inner = token.lower().strip(_MARKS)
+    forms = {b for a in _rims(inner, str.lstrip, 0) for b in _rims(a, str.rstrip, -1)}
+    forms.discard("")
+    return " ".join(sorted({f if _PLAIN.fullmatch(f) else restore(f, model) for f in forms}))
+
+
+def _spaced_readings(run: str, model: np.ndarray) -> str:
+    """Words behind characters in a row; the first or last may be a word or mark of its own."""
+    forms = {run[a : len(run) - b] for a in (0, 2) for b in (0, 2)}
+    kept = (f for f in forms if len(f) >= 5 and any(c.isalpha() for c in f))
+    return " ".join(sorted({restore(f, model) for f in kept}))
 
 
 def _hidden(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, cache: dict[str, str]) -> list[list[str]]:
@@ -139,19 +191,20 @@ def _hidden(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, cache: dic
         token = data[a:b].tobytes().decode()
         known = cache.get(token)
         if known is None:
-            known = restore(token.strip("#*%&=<>()[]{}\"',;:.?!$|~^_-"), model)
+            known = _readings(token, model)
             if len(cache) < 200_000:
                 cache[token] = known
         found[r].append(known)
-    # Single letters in a row: three tokens of one letter, one after the other.
-    size, alpha = words.end - words.start, _ALPHA[data[words.start]] if len(words) else np.zeros(0, bool)
-    single = (size <= 2) & alpha
+    # Single letters or look-alikes in a row: three tokens of one, one after the other.
+    size, first = words.end - words.start, data[words.start]
+    bytes_of = 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    single = (size == bytes_of) & (_ALPHA[first] | _ODD[first])
     n = len(single)
-    rows = words.row[: max(0, n - 2)][single[: n - 2] & single[1 : n - 1] & single[2:]] if n > 2 else []
-    for r in np.unique(rows):
+    three = single[: n - 2] & single[1 : n - 1] & single[2:] if n > 2 else np.zeros(0, bool)
+    for r in np.unique(words.row[: max(0, n - 2)][three]):
         text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
         for run in set(_SPACED.findall(text)):
-            found[r].append(restore(run, model))
+            found[r].append(_spaced_readings(run, model))
     return found
 
 

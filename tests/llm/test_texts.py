@@ -7,10 +7,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_data import WORD, prose
 
 from varimill.llm import decontaminate, pieces, quality_rules, secrets, token_counts
+from varimill.llm.words import PUNCTUATION, Words, chunks
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -195,3 +197,22 @@ def test_windows_past_the_end_are_harmless(size):
     index = decontaminate.ItemIndex.build([1], items, 0.1, 0.95)
     words = decontaminate.words_of(pa.array([prose(rng, size)]))
     assert len(words) == 1 and index.repetitions >= 2
+
+
+@pytest.mark.parametrize("size", [55, 100, 300])
+def test_edits_close_together_do_not_hide_a_long_item(size):
+    rng = random.Random(size)
+    items = [[f"w{rng.randrange(10**9)}" for _ in range(size)] for _ in range(40)]
+    hashed = decontaminate.words_of(pa.array([" ".join(i) for i in items]))
+    index = decontaminate.ItemIndex.build(list(range(40)), hashed, 0.1, 0.95)
+    for side in (1, -1):
+        texts = []
+        for item in items:
+            words = item[::side]
+            for at in rng.sample(range(min(size, 28 + size // 10)), size // 10):
+                words[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join([f"p{i}" for i in range(rng.randrange(30))] + words[::side] + ["end"] * 5))
+        _, _, data, offsets = next(chunks(pa.array(texts), 1 << 62))
+        words = Words(data, offsets, lower=True, between=PUNCTUATION)
+        found = index.find(words, words.hashes())
+        assert sum(any(k == i for k, _ in f) for i, f in enumerate(found)) >= 38

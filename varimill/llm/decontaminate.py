@@ -7,14 +7,15 @@ few edits apart fall back into step. Bit sampling keeps the words at a few
 random steps as a signature; repetitions with new randomness reach the recall
 wanted, and their number is estimated by editing the items themselves.
 
-Windows of the items' size start at every ``stride``-th word of a document, and
-each item is also indexed without its first words, so that every occurrence
-meets a window in step. Windows are dropped at the first sampled step whose word
+Windows start at every ``stride``-th word of a document. Each item is indexed from
+its first words on, and again from places along its whole length, ``stride`` words
+at each, so that every occurrence meets a window in step at every place and edits
+that lie close together spoil few places only. Windows are dropped at the first sampled step whose word
 no item has there. What is left is verified by the exact edit distance to the
 item, anywhere in the stretch of the document around the window.
 
-Items are the query set; they are sent to all tasks in blocks of bounded size,
-each of which is matched with every text. Null texts and items without words
+Items are the query set; they are sent to all tasks in blocks of bounded size
+(items and characters), each of which is matched with every text. Null texts and items without words
 match nothing. Documents are not shuffled.
 """
 
@@ -37,8 +38,9 @@ RECALL = 0.95
 SAMPLES = 4  # steps in a signature
 STRIDE = 8
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 8_000_000  # of items in a block, on average
 SEED = 11
-_RANGES = (1, 2, 4, 8, 16, 32)  # first steps of the walk that signatures are drawn from
+_RANGES = (1, 2, 4, 8, 16, 32)  # first steps of a walk that signatures are drawn from
 _LEAKS = T.ArrayType(
     T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])
 )
@@ -116,16 +118,15 @@ class ItemIndex:
         cut = [
             (k, v, w[v:])
             for k, w in enumerate(items)
-            for v in range(min(stride + int(tolerance * len(w)), len(w)))
+            for v in _places(len(w), stride, int(tolerance * len(w)))
         ]
         tables = []
         for reach, more in zip(_RANGES, [*_RANGES[1:], math.inf], strict=True):
             mine = [c for c in cut if reach <= len(c[2]) < more]
             if not mine:
                 continue
-            flat = np.concatenate([c[2] for c in mine])
-            sizes = np.array([len(c[2]) for c in mine])
-            starts = np.cumsum(sizes) - sizes
+            flat = np.concatenate([c[2][:reach] for c in mine])  # a walk gets no further
+            starts = np.arange(len(mine)) * reach
             owner, left_out = np.array([c[0] for c in mine]), np.array([c[1] for c in mine])
             for repetition in range(repetitions):
                 steps, coins = sampled_steps(reach, repetition), mix(flat ^ _salt(repetition))
@@ -180,6 +181,15 @@ class ItemIndex:
         return [[(self.ids[k], d) for k, d in sorted(f.items())] for f in found]
 
 
+def _places(n: int, stride: int, edits: int) -> list[int]:
+    """Words of an item of ``n`` to start from: its first ones, then ``stride`` in a row
+    at places that walks of the longest range cover the item from, one at its end."""
+    reach = _RANGES[-1]
+    end = n - reach - stride + 1
+    more = [*range(stride + reach // 2, end, stride + reach // 2), end] if end > 0 else []
+    return sorted({*range(min(stride + edits, n)), *(p + v for p in more for v in range(stride))})
+
+
 def _place(words: np.ndarray, coins: np.ndarray, starts: np.ndarray, step: int) -> np.ndarray:
     at = starts.astype(np.int64)
     for j in range(step):
@@ -226,7 +236,8 @@ def with_leaks(
     """Add ``leaks``: the items each text holds, with their edits. A column of this
     name is replaced."""
     queries = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("t"))
-    blocks = max(1, math.ceil(queries.count() / block_items))
+    total, chars = queries.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, math.ceil(total / block_items), math.ceil(chars / BLOCK_CHARS))
     found = docs.drop("leaks")
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).orderBy("id", "t").toArrow()

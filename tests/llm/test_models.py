@@ -257,6 +257,23 @@ def test_few_labels_give_a_constant_verdict(spark, labels):
     assert got.verdict == ("block" if labels == [1] else "allow")
 
 
+@pytest.mark.parametrize("few", [10**6, 1])
+def test_endings_count_all_labelled_urls(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "BROADCAST", few)
+    urls = [(f"http://h{i}.t{i % 60}/p{i}.e{i % 40}", int(i % 60 < 20)) for i in range(1200)]
+    labelled = url_filter.split_url(spark.createDataFrame(urls, "url string, label int"))
+    model = url_filter.fit(labelled, size=50)
+    assert model.constant == pytest.approx(1 / 3)
+    for name, of, size in (("host_ending", "t", 60), ("path_ending", ".e", 40)):
+        got = {r[0]: r[1] for r in getattr(model, f"{name}s").collect()}
+        assert len(got) == size
+        for k in range(size):
+            marks = [y for i, (_, y) in enumerate(urls) if i % size == k]
+            assert got[f"{of}{k}"] == pytest.approx((sum(marks) + 10 / 3) / (len(marks) + 10))
+    scored = model.block_score(url_filter.lexical_features(labelled)).collect()
+    assert len(scored) == len(urls) and all((r.block_score >= 0.5) == (r.label == 1) for r in scored)
+
+
 def test_entropy(spark):
     frame = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "t string")
     got = [r[0] for r in frame.select(url_filter._entropy(F.col("t"))).collect()]

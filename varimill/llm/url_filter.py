@@ -2,8 +2,8 @@
 
 The trees see lexical features only: lengths, depth, digit share, entropy,
 parameter counts, and the share of blocked URLs among labelled ones with the
-same ending of the host and of the path. They are fitted on a bounded sample of
-labelled URLs (``SAMPLE``); every URL is judged.
+same ending of the host and of the path. The shares count all labelled URLs; the
+trees are fitted on a bounded sample of them (``SAMPLE``). Every URL is judged.
 
 Only DataFrame functions and MLlib's trees are used. Null URLs and URLs without
 ``://`` have empty host and path and are judged on these.
@@ -27,6 +27,7 @@ SAMPLE = 10_000  # labelled URLs that the trees are fitted on, at most
 SEED = 7
 ROUNDS = 20
 DEPTH = 4
+BROADCAST = 1 << 16  # endings sent to all tasks, at most; more are joined
 PRIOR = 10.0  # weight of the overall share in an ending's share
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_share",
@@ -120,12 +121,18 @@ def lexical_features(urls: DataFrame, url: str = "url") -> DataFrame:
             "parameters": parameters.cast("double"),
             "query_length": F.length(query).cast("double"),
             "has_fragment": F.contains(text, F.lit("#")).cast("double"),
-            "host_ending": F.substring_index(host, ".", -1),
-            "path_ending": F.regexp_extract(path, r"(\.[A-Za-z0-9]{1,8}|/)$", 1),
+            **_endings(),
         }
     )
 
 
+def _endings() -> dict[str, Column]:
+    return {
+        "host_ending": F.substring_index(F.col("host"), ".", -1),
+        "path_ending": F.regexp_extract(F.col("path"), r"(\.[A-Za-z0-9]{1,8}|/)$", 1),
+    }
+
+
 def bounded_sample(labelled: DataFrame, size: int, key: str = "url") -> DataFrame:
     """At most ``size`` rows, chosen by a hash of the key; all when there are no more."""
     total = labelled.count()
@@ -146,9 +153,9 @@ class UrlModel:
     path_endings: DataFrame
 
     def _featured(self, urls: DataFrame) -> DataFrame:
-        # Endings of a bounded sample: never more rows than the sample has.
-        rows = urls.join(F.broadcast(self.host_endings), "host_ending", "left")
-        rows = rows.join(F.broadcast(self.path_endings), "path_ending", "left")
+        # Broadcast where ``fit`` has found the endings to be few.
+        rows = urls.join(self.host_endings, "host_ending", "left")
+        rows = rows.join(self.path_endings, "path_ending", "left")
         shares = {c: F.coalesce(F.col(c), F.lit(self.constant)) for c in FEATURES[-2:]}
         return rows.withColumns(shares)
 
@@ -166,18 +173,22 @@ class UrlModel:
 
 def fit(labelled: DataFrame, size: int = SAMPLE) -> UrlModel:
     """Trees from rows with ``url``, ``host``, ``path`` and ``label`` (1: block)."""
-    sample = bounded_sample(labelled.select("url", "host", "path", "label"), size)
-    rows = stored(lexical_features(sample), "urls")
-    total, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    labelled = labelled.select("url", "host", "path", "label")
+    pairs = labelled.withColumns(_endings()).groupBy("host_ending", "path_ending")
+    pairs = stored(pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "endings")
+    total, blocked = (x or 0 for x in pairs.agg(F.sum("n"), F.sum("blocked")).first())
     share = blocked / total if total else 0.0
 
     def endings(name: str) -> DataFrame:
-        smoothed = (F.sum("label") + PRIOR * share) / (F.count("*") + PRIOR)
-        return rows.groupBy(name).agg(smoothed.alias(f"{name}_share"))
+        smoothed = (F.sum("blocked") + PRIOR * share) / (F.sum("n") + PRIOR)
+        table = pairs.groupBy(name).agg(smoothed.alias(f"{name}_share"))
+        few = pairs.select(name).distinct().limit(BROADCAST + 1).count() <= BROADCAST
+        return F.broadcast(table) if few else table
 
     model = UrlModel(None, share, endings("host_ending"), endings("path_ending"))
     if blocked in (0, total):
         return model
+    rows = stored(lexical_features(bounded_sample(labelled, size)), "urls")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     learner = GBTClassifier(
         featuresCol="_features",

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varimill.llm import decontaminate, jaccard_join, pieces, quality_model, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filter
+from varimill.llm import (
+    centroids,
+    decontaminate,
+    jaccard_join,
+    packing,
+    pieces,
+    quality_model,
+    quality_rules,
+    secrets,
+    spelling,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from varimill.llm.frames import small_batches
 from varimill.sources.tables import read_table
 
@@ -99,8 +113,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SLIP_EVERY = 199  # one letter goes from a run whose hash this divides
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spelling.vocabulary(spelling.with_slips(spelling.runs(docs), SLIP_EVERY))
+    return spelling.group_variants(words)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_jaccard_join, op4_quality_rules, op5_secret_scan, op6_substring_dedup, op7_token_counts, op8_sentencepiece, op9_toxicity, op10_decontamination, op11_spelling_variants, op12_centroids, op13_packing)}
 
 
 def _sql_text(value: str) -> str:
@@ -155,5 +190,103 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN agg USING (doc_id)"""
 
 
+def _crc32_sql(codes: str) -> str:
+    """The unsigned crc32 of a list of bytes."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        table.append(str(c))
+    step = f"xor(c >> 8, [{', '.join(table)}][(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: {step}), 4294967295)"
+
+
+def _spelling_sql() -> str:
+    """The slips by a crc32 in SQL; neighbours by equal rests without one letter."""
+    least, count, times = spelling.LEAST_LETTERS, spelling.LEAST_COUNT, spelling.TIMES
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # All letters have one byte or two.
+    codes = """flatten(list_transform(string_split(key, ''), lambda c:
+        CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+             ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))"""
+    return f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(run, '{upper}', '{upper.lower()}') AS run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{{least},}}')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {_crc32_sql(codes)} AS h
+  FROM (SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key FROM found)),
+slipped AS (
+  SELECT n, CASE WHEN h % {SLIP_EVERY} = 0
+                 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= {least}
+  GROUP BY word HAVING sum(n) >= {count}),
+gaps AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS gap
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON g.gap = w.word
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON g.gap = w.word),
+ranked AS (
+  SELECT p.word, count(*) OVER (PARTITION BY p.word) AS n_near, p.near, w.n AS near_n,
+         row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS place
+  FROM pairs p JOIN words w ON w.word = p.near),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.near_n >= {times} * w.n THEN r.near END AS form,
+         CASE WHEN r.near_n >= {times} * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+walk AS (
+  SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL),
+roots AS (SELECT walk.word, walk.at FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(r.at, f.word) AS root, f.n, f.n_near, f.form_n
+FROM forms f LEFT JOIN roots r ON r.word = f.word"""
+
+
+def _centroids_sql() -> str:
+    """The rounds one after the other, with all distances."""
+    size, k = centroids.DIMENSIONS, centroids.CENTROIDS
+    places = f"range(1, {size} + 1)"
+    square = "(p.v[i] - c.v[i]) * (p.v[i] - c.v[i])"
+    steps = []
+    for turn in range(centroids.ROUNDS + 1):
+        steps.append(f"""a{turn} AS MATERIALIZED (
+  SELECT p.r, min(struct_pack(d := CAST(list_sum(list_transform({places}, lambda i: {square})) AS BIGINT), c := c.c)) AS b
+  FROM points p, c{turn} c GROUP BY p.r)""")
+        if turn < centroids.ROUNDS:
+            steps.append(f"""s{turn} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT a.b.c AS c, unnest({places}) AS i, unnest(p.v) AS x FROM a{turn} a JOIN points p USING (r))
+  GROUP BY c, i),
+c{turn + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{turn} c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{turn} GROUP BY c) m USING (c))""")
+    last = centroids.ROUNDS
+    return f"""
+WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({centroids.GRID} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+    SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM points ORDER BY h, v LIMIT {k})),
+{", ".join(steps)}
+SELECT p.vec_id, CAST(a.b.c AS INTEGER) AS cluster, a.b.d AS distance,
+       CAST(sum(a.b.d) OVER (PARTITION BY a.b.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{last} a JOIN points p USING (r) JOIN c{last} c ON c.c = a.b.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": _secrets_sql()}
+    return {
+        "op5_secret_scan": _secrets_sql(),
+        "op11_spelling_variants": _spelling_sql(),
+        "op12_centroids": _centroids_sql(),
+    }

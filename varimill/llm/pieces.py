@@ -31,6 +31,7 @@ from varimill.llm.words import chunks
 MARK = "▁"
 CACHED_WORDS = 300_000  # in each of two generations of a process's cache
 CACHED_CHARS = 64
+CHUNK = 4 << 20  # bytes of text encoded at once: a step of all its words costs a few calls
 
 
 @dataclass(frozen=True)
@@ -251,6 +252,56 @@ class PieceCodec:
         return made
 
 
+class _Pairs:
+    """Neighbours that are known to agree or not, in a hash table of two places a pair;
+    those that find both taken are in a dictionary."""
+
+    def __init__(self, bits: int = 18) -> None:
+        self.n = 0
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.full((2, 1 << bits), -1, np.int64)
+        self.fits = np.zeros((2, 1 << bits), np.int8)
+        self.others: dict[int, int] = {}
+
+    def _place(self, pairs: np.ndarray, turn: int) -> np.ndarray:
+        spread = pairs.astype(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[turn])
+        return (spread >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, pairs: np.ndarray) -> np.ndarray:
+        """1 for a pair that agrees, 0 for one that does not, -1 for an unknown one."""
+        place = self._place(pairs, 0)
+        out = np.where(self.keys[0, place] == pairs, self.fits[0, place], np.int8(-1))
+        left = np.flatnonzero(out < 0)
+        if len(left):
+            place = self._place(pairs[left], 1)
+            out[left] = np.where(self.keys[1, place] == pairs[left], self.fits[1, place], np.int8(-1))
+            if self.others:
+                left = left[out[left] < 0]
+                out[left] = [self.others.get(p, -1) for p in pairs[left].tolist()]
+        return out
+
+    def add(self, pairs: np.ndarray, fits: list[bool]) -> None:
+        """Pairs that are not known yet, each once."""
+        self.n += len(pairs)
+        fits = np.array(fits, np.int8)
+        if self.n > 1 << self.bits - 1:
+            held = self.keys[self.keys >= 0], self.fits[self.keys >= 0]
+            others = np.array(list(self.others), np.int64), np.array(list(self.others.values()), np.int8)
+            pairs, fits = (np.concatenate(x) for x in zip((pairs, fits), held, others, strict=True))
+            self._empty(self.bits + 1)
+        for turn in range(2):
+            place = self._place(pairs, turn)
+            free = self.keys[turn, place] < 0
+            self.keys[turn, place[free]], self.fits[turn, place[free]] = pairs[free], fits[free]
+            # Of several at one place the last has stayed.
+            left = self.keys[turn, place] != pairs
+            pairs, fits = pairs[left], fits[left]
+        self.others.update(zip(pairs.tolist(), fits.tolist(), strict=True))
+
+
 class _Walk:
     """The same backtracking over many words in step, as array operations.
 
@@ -288,7 +339,7 @@ class _Walk:
             shorter = codec._shorter(piece)
             if shorter is not None:
                 self.shorter[codec.ids[piece]] = codec.ids[shorter]
-        self.pairs, self.fits = np.zeros(1, np.int64), np.zeros(1, bool)
+        self.known = _Pairs()
 
     def _longest(self, letters: np.ndarray) -> np.ndarray:
         """Id of the longest piece that starts at each place."""
@@ -306,17 +357,14 @@ class _Walk:
 
     def _agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pairs = left.astype(np.int64) << 32 | right
-        place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        unknown = self.pairs[place] != pairs
+        fits = self.known.get(pairs)
+        unknown = fits < 0
         if unknown.any():
             new = np.unique(pairs[unknown])
             pieces, agree = self.codec.model.pieces, self.codec._agree
-            fits = [agree(pieces[p >> 32], pieces[p & 0xFFFFFFFF]) for p in new.tolist()]
-            order = np.argsort(np.concatenate([self.pairs, new]))
-            self.pairs = np.concatenate([self.pairs, new])[order]
-            self.fits = np.concatenate([self.fits, np.array(fits, bool)])[order]
-            place = np.searchsorted(self.pairs, pairs)
-        return self.fits[place]
+            self.known.add(new, [agree(pieces[p >> 32], pieces[p & 0xFFFFFFFF]) for p in new.tolist()])
+            fits[unknown] = self.known.get(pairs[unknown])
+        return fits > 0
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
         words = [w for w in words if len(w) < self.PLACES - 1 and w != "\n"]
@@ -386,7 +434,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataF
     def make(column: pa.Array) -> list[pa.Array]:
         codec = _codec(model.value)
         made = []
-        for low, high, _, _ in chunks(column):
+        for low, high, _, _ in chunks(column, CHUNK):
             made += codec.encode_all(column[low:high].to_pylist())
         return [
             pa.array(made, pa.binary()),

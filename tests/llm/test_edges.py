@@ -23,6 +23,8 @@ NULLS = (None, None, None, None, None)
 ROW = (1, "some plain text of words", "en", "s", 3)
 CASES = {"empty": [], "nulls": [NULLS, NULLS], "repeated": [ROW, ROW, ROW], "mixed": [NULLS, ROW, (2, "", "en", None, 0)]}
 CLASHING = ("leaks", "score", "kept", "n_tokens", "piece_ids", "bits", "node", "class", "host", "found", "_id", "end", "value")
+# Names that an operator uses on the way: the caller's columns keep their values.
+ON_THE_WAY = (*url_filter._TAKEN, *secrets._TAKEN, "Depth2", "class_key", "text_key", "row_key")
 
 
 def _operators(spark):
@@ -88,3 +90,14 @@ def test_stages_take_odd_tables(spark, tables, number):
             assert set(made.columns) == set(docs.columns)
         if rows == CASES["repeated"]:
             assert len(kept) == (1 if number == 1 else 3)
+
+
+@pytest.mark.parametrize("name", ["url_filter", "secrets", "redact"])
+def test_columns_of_the_caller_keep_their_values(spark, name):
+    rows = [(1, "https://a.b.de/x password=0123456789abc", "en", "s", 3), (2, "http://c.org/y", "en", "s", 0), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(c), "doc_id") for c in ON_THE_WAY})
+    operators = _operators(spark) | {"redact": secrets.redact}
+    made = operators[name](docs)
+    assert len({c.lower() for c in made.columns}) == len(made.columns)
+    for row in made.collect():
+        assert all(row[c] == f"{c}{row.doc_id}" for c in ON_THE_WAY)

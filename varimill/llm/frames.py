@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -21,10 +22,16 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Spark hand documents to Python in batches of so many rows, whose texts and
-    results a worker holds at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 512) -> None:
+    """Let Spark move documents in batches of few bytes.
+
+    Texts go to Python in batches of ``size`` bytes, not of ten thousand rows, and are
+    read from Parquet ``rows`` at a time: a buffer for thousands of texts is megabytes
+    large, and is copied each time it grows. Settings of the session; results do not
+    depend on them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -35,6 +42,19 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return memory that this Python process has freed to the machine.
+
+    Workers outlive their tasks; what their allocators keep would add up beside the
+    next stage's.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # an allocator that knows no such call
+        pass
+
+
 def map_arrays(
     df: DataFrame,
     inputs: list[str],
@@ -57,6 +77,9 @@ def map_arrays(
             arrays = [batch.column(c) for c in passed] + made
             arrays = [a.cast(t.type) for a, t in zip(arrays, out, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            # Nothing of a batch is held while the next one is waited for.
+            del batch, made, arrays
+            give_back()
 
     return df.select(*(f.name for f in kept)).mapInArrow(run, schema)
 
@@ -75,6 +98,17 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with other names for columns that have one of ``names``, whatever the
+    case, and the old name of each new one."""
+    taken = {n.lower() for n in names}
+    back: dict[str, str] = {}
+    for column in docs.columns:
+        if column.lower() in taken:
+            back[unused(f"_{column}", [*docs.columns, *names, *back])] = column
+    return docs.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def sheltered(
     docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:

@@ -10,7 +10,8 @@ Only SQL functions are used. A pattern's matches and the pieces between them giv
 all places, as running sums of lengths. Places count code points, ends are
 exclusive. Null texts are empty. Rows are told apart by a number of their own,
 so null or repeated ids are no matter. Results replace columns of the same name;
-``_row``, ``_found`` and ``_spans`` are taken.
+columns that have a name used on the way keep their name and their values. The work on
+a text grows with its length and its number of matches, not with their product.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varimill.llm.frames import stored
+from varimill.llm.frames import set_aside, stored
 
 SCOPE = 200  # code points between parts that belong together
 MASK = "[secret]"
@@ -47,6 +48,7 @@ KINDS = {
     "endpoint": ("endpoint", False),
 }
 BASE = ("assign", "access", "hex")
+_TAKEN = ("_row", "_found", "_spans")  # columns used on the way
 _NEW = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 _PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "user": USER, "endpoint": ENDPOINT}
 # A part is completed by any of these.
@@ -60,12 +62,14 @@ def _matches(text: Column, kind: str) -> Column:
     before = F.transform(F.split(text, _PATTERNS[kind], -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     value = F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), F.length)
+    # Zipped, so that each array is made once; the piece behind the last match goes.
+    zipped = F.arrays_zip(whole.alias("w"), value.alias("v"), before.alias("b"))
     found = F.transform(
-        F.arrays_zip(whole.alias("w"), value.alias("v")),
+        F.filter(zipped, lambda m: m["w"].isNotNull()),
         lambda m, i: F.struct(
             i.alias("i"),
             F.lit(kind).alias("pattern"),
-            before[i].alias("before"),
+            m["b"].alias("before"),
             m["w"].alias("size"),
             m["v"].alias("value"),
         ),
@@ -149,6 +153,8 @@ def _listed(chosen: Column) -> Column:
 def report(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """Every row of ``docs`` without its text, with counts of the base kinds, the
     digest of their spans and the list of all spans."""
+    docs, back = set_aside(docs.drop(*(c for c in _NEW if c != text)), _TAKEN)
+    text = {old: new for new, old in back.items()}.get(text, text)
     scanned = scan(docs, text)
     order = _of(F.col("kind"), {k: i for i, k in enumerate(KINDS)})
     grouped = (
@@ -169,7 +175,7 @@ def report(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame
         *(count(k).alias(f"n_{k}") for k in BASE),
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("_spans")).alias("spans"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mask: str = MASK) -> DataFrame:
@@ -177,32 +183,47 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mask: str =
 
     Only rows with a match are shuffled.
     """
+    docs, back = set_aside(docs, _TAKEN)
+    text = {old: new for new, old in back.items()}.get(text, text)
     scanned = scan(docs, text, keep_text=True)
     clean = scanned.where(F.size("_found") == 0).select(*docs.columns)
-    grouped = spans(scanned, scope).groupBy("_row").agg(
+    grouped = _islands(spans(scanned, scope)).groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")
     )
     rows = scanned.where(F.size("_found") > 0).join(grouped, "_row", "left")
-    content = F.col(text)
-    # (end of the last span, text so far)
-    walked = F.aggregate(
-        F.coalesce("_spans", F.array().cast(grouped.schema["_spans"].dataType)),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] < acc["at"],
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")),
-        ).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.substring(content, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                    F.lit(mask),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(
-            acc["out"], F.substring(content, (acc["at"] + 1).cast("int"), F.length(content))
-        ),
-    )
-    return clean.unionByName(rows.withColumn(text, walked).select(*docs.columns))
+    none = F.array().cast(grouped.schema["_spans"].dataType)
+    rows = rows.withColumn("_spans", F.coalesce("_spans", none))
+    walked = F.when(F.size("_spans") == 0, F.col(text)).otherwise(_masked(F.col(text), F.col("_spans"), mask))
+    masked = rows.withColumn(text, walked).select(*docs.columns)
+    return clean.unionByName(masked).withColumnsRenamed(back)
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """``_row``, ``start``, ``end`` of spans that overlap as one."""
+    placed = Window.partitionBy("_row").orderBy("start", "end")
+    before = F.max("end").over(placed.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("start") >= F.coalesce(before, F.lit(-1))).cast("int")
+    named = found.select("_row", "start", "end", fresh.alias("fresh"))
+    named = named.withColumn("island", F.sum("fresh").over(placed.rowsBetween(Window.unboundedPreceding, 0)))
+    return named.groupBy("_row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def _masked(content: Column, found: Column, mask: str) -> Column:
+    """The text with each of its spans, in order and apart, replaced.
+
+    The text is cut into its characters once, bound by the outer lambda, so that each
+    piece between two spans costs its own length only.
+    """
+
+    def between(letters: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            low = F.when(i > 0, F.get(found, i - 1)["end"]).otherwise(0)
+            kept = F.slice(letters, (low + 1).cast("int"), (s["start"] - low).cast("int"))
+            return F.concat(F.array_join(kept, ""), F.lit(mask))
+
+        low = F.element_at(found, -1)["end"]
+        rest = F.slice(letters, (low + 1).cast("int"), F.greatest(F.size(letters) - low, F.lit(0)).cast("int"))
+        return F.concat(F.array_join(F.transform(found, piece), ""), F.array_join(rest, ""))
+
+    letters = F.filter(F.split(content, ""), lambda c: c != "")
+    return F.element_at(F.transform(F.array(letters), between), 1)

@@ -6,7 +6,8 @@ same ending of the host and of the path. The shares count all labelled URLs; the
 trees are fitted on a bounded sample of them (``SAMPLE``). Every URL is judged.
 
 Only DataFrame functions and MLlib's trees are used. Null URLs and URLs without
-``://`` have empty host and path and are judged on these.
+``://`` have empty host and path and are judged on these. Columns that have the name of
+a result are replaced; those with a name used on the way keep it and their values.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varimill.llm.frames import stored
+from varimill.llm.frames import set_aside, stored
 
 ALLOW, BLOCK = "allow", "block"
 SAMPLE = 10_000  # labelled URLs that the trees are fitted on, at most
@@ -34,6 +35,9 @@ FEATURES = (
     "host_digit_share", "hyphens", "host_entropy", "path_entropy", "parameters",
     "query_length", "has_fragment", "host_ending_share", "path_ending_share",
 )
+_TAKEN = (
+    *FEATURES, "host_ending", "path_ending", "label", "_rule", "_features", "_raw", "_probability", "_prediction",
+)
 
 
 @dataclass(frozen=True)
@@ -211,8 +215,9 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
     A rule's verdict goes before the trees'. Without ``labelled`` (``url``,
     ``label``) the URLs that rules decide are the labelled ones.
     """
-    taken = ("rule", "verdict", "block_score", "_rule")
-    rows = split_url(urls.drop(*taken)).withColumn("_rule", matched_rule(rules))
+    made = ("host", "path", "rule", "verdict", "block_score")
+    urls, back = set_aside(urls.drop(*made), _TAKEN)
+    rows = split_url(urls).withColumn("_rule", matched_rule(rules))
     if labelled is None:
         labels = F.when(F.col("_rule.verdict") == BLOCK, 1).otherwise(0)
         labelled = rows.where("_rule is not null").withColumn("label", labels)
@@ -226,4 +231,4 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
             "rule": F.col("_rule.name"),
             "verdict": F.coalesce(F.col("_rule.verdict"), by_score),
         }
-    ).select(*(c for c in urls.columns if c not in ("host", "path", *taken)), "host", "path", "rule", "verdict", "block_score")
+    ).select(*urls.columns, *made).withColumnsRenamed(back)

@@ -124,3 +124,11 @@ def test_components_of_paths_and_cycles(spark):
     rng.shuffle(edges)
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_classes_of_repeated_ids_each_keep_one(spark):
+    """Two texts that share nothing, on rows of the same id: neither is lost."""
+    a, b = ("one two three four five six seven " * 3).strip(), ("red green blue white black grey pink " * 3).strip()
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    kept = sorted(tuple(r) for r in jaccard_join.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, b)])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.llm.frames import arrow_schema, key_filter, maybe_in, stored, unused
+from varimill.llm.frames import arrow_schema, give_back, key_filter, maybe_in, stored, unused
 from varimill.llm.graph import components
 from varimill.llm.words import Words, chunks, mix
 
@@ -139,6 +139,7 @@ def _frequent_parts(docs: DataFrame, width: int, percent: int) -> np.ndarray:
             keys, counts = keys[counts > 1], counts[counts > 1]
             bucket = (keys & np.uint64((1 << HINT_BITS) - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(counts)], ["bucket", "n"])
+        give_back()
 
     looked = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(HINT_SHARE)) == 0)
     counted = looked.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket")
@@ -182,6 +183,8 @@ def _nodes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
             ]
             arrays = [a.cast(f.type) for a, f in zip(arrays, schema, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            del batch, arrays, keys, sketches, seen
+            give_back()
 
     return docs.select("doc_id", "row_key", "text", "text_key").mapInArrow(run, _NODES)
 
@@ -261,6 +264,8 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
             for x, y in _near(size[low:high], sketch[low:high], int(band[low]), percent):
                 a.append(node[low + x])
                 b.append(node[low + y])
+        del sketch
+        give_back()
         return pa.table({"a": a, "b": b}, schema=arrow_schema(_LINKS))
 
     return rows.groupBy("pack", "i", "j").applyInArrow(run, _LINKS)
@@ -353,6 +358,8 @@ def _links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int, p
             for found in by_cluster.values()
             for a, b in _reached(list(found.values()), percent)
         ]
+        by_cluster.clear()
+        give_back()
         return pa.table({"a": [x for x, _ in links], "b": [x for _, x in links]}, schema=arrow_schema(_LINKS))
 
     return rows.groupBy("pack", "i", "j").applyInArrow(run, _LINKS)
@@ -365,10 +372,12 @@ def join_classes(
     width: int = WIDTH,
     percent: int = SIMILARITY,
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``text_key`` (the xxhash64 of
-    the text, which tells rows with the same id apart) for every row of ``docs``.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``text_key`` (the xxhash64 of the
+    text, which tells rows with the same id apart) and ``class_key`` for every row of
+    ``docs``.
 
-    The component id is the least document id that links reach.
+    The component id is the least document id that links reach. Where ids repeat, two
+    classes may have the same; their class keys differ. A text without words has none.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
     docs = docs.select(
@@ -388,16 +397,18 @@ def join_classes(
     least = filled.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = ("doc_id", "n_shingles", "component_id", "text_key")
     empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return filled.join(least, "class").select(*out).unionByName(empty.select(*out))
+    empty = empty.select(*out, F.lit(None).cast("long").alias("class_key"))
+    return filled.join(least, "class").select(*out, F.col("class").alias("class_key")).unionByName(empty)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, that with the least id.
 
-    Texts without words and rows without id all stay.
+    Texts without words and rows without id all stay. Of rows with the same id, each
+    class keeps one of its own.
     """
     classes = join_classes(docs, doc_id, text, **options).where("n_shingles > 0 and doc_id is not null")
-    first = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    first = classes.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
     names = [unused("_id", docs.columns), unused("_text", docs.columns)]
     first = first.select(F.col("k.doc_id").alias(names[0]), F.col("k.text_key").alias(names[1]))
     # Rows of equal id and text are the same to the join; one is enough.

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varimill.llm.byte_pairs import PairSpec, byte_pairs
-from varimill.llm.frames import arrow_schema
+from varimill.llm.frames import arrow_schema, give_back
 from varimill.llm.words import chunks
 
 CAPACITY = 1024
@@ -152,6 +152,8 @@ def pack(
         made += packer.rest()
         if made:
             yield batch(made)
+        del made, packer
+        give_back()
 
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, schema)
 

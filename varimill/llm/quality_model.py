@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.llm.frames import arrow_schema, key_filter, map_arrays, maybe_in, stored
+from varimill.llm.frames import arrow_schema, give_back, key_filter, map_arrays, maybe_in, stored
 from varimill.llm.words import chunks, mix
 
 ORDER = 5
@@ -119,6 +119,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
                             yield rows(lang)
         for lang in list(held):
             yield rows(lang)
+        give_back()
 
     counted = texts.select("lang", "text").mapInArrow(run, schema)
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

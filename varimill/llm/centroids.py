@@ -110,7 +110,7 @@ def _first(grid: DataFrame, vec_id: str, vector: str, n: int, seed: str) -> np.n
     """The vectors with the least hashes of their ids."""
     key = F.sha2(F.concat(F.lit(seed), F.coalesce(F.col(vec_id).cast("string"), F.lit(""))), 256)
     rows = grid.select(key.alias("key"), F.col(vector).alias("v")).orderBy("key", "v").limit(n).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def _assigned(

@@ -140,9 +140,10 @@ def _by_trie(words: DataFrame, broadcast_edges: int, salts: int) -> DataFrame:
     table = stored(edges(words), "edges")
     # As many rows as there are levels.
     sizes = {r["level"]: r["n"] for r in table.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    states = words.select(
-        "word", F.lit(0).alias("position"), _node(F.lit("")).alias("node"), F.lit(0).alias("edits")
-    )
+    # The root by the rule of all nodes: a constant would turn the first join into one
+    # without a key.
+    root = _node(F.substring(F.col("word"), F.lit(1), F.lit(0)))
+    states = words.select("word", F.lit(0).alias("position"), root.alias("node"), F.lit(0).alias("edits"))
     at_end = (F.col("edits") == 1) & (F.col("position") == F.char_length("word"))
     met, ended = [], []
     for start in range(0, len(sizes), STEP):

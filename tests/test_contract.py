@@ -10,7 +10,8 @@ SMALL, SF_DIR = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = catalog.queries()
 ORACLE = oracle.oracle_sql()
 STREAMS = {n for n in QUERIES if n.startswith("stream_")}
-JOINED = {"store_after_replay", "ingested_twice", "incremental_forecast"}  # run jobs, settle letters by a join
+# Run jobs, settle letters by a join.
+JOINED = {"store_after_replay", "compacted_store", "ingested_twice", "incremental_forecast"} | {n for n in QUERIES if n.startswith("corrected_")}
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,11 @@
-from varimill.operators.bars import daily_rv, log_return_bars, with_event_time
+from varimill.operators.bars import (
+    daily_rv,
+    log_return_bars,
+    merged_bars,
+    merged_partials,
+    partial_bars,
+    with_event_time,
+)
 from varimill.operators.features import (
     first_requests,
     gate,
@@ -49,9 +56,12 @@ __all__ = [
     "ingest_counts",
     "invalid_reasons",
     "log_return_bars",
+    "merged_bars",
+    "merged_partials",
     "model_requests",
     "model_sequences",
     "parse_responses",
+    "partial_bars",
     "predictions_by_symbol",
     "predictions_with_model",
     "replay",

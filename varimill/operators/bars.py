@@ -67,6 +67,55 @@ def log_return_bars(
     )
 
 
+def partial_bars(
+    ticks: DataFrame,
+    width: timedelta = _DEFAULT.bar_width,
+    key: str = "symbol",
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """Bars that can still be merged: first and last bid with their places in the bar,
+    and the number of ticks, per key, bar and ``by``."""
+    seq = "seq" if "seq" in ticks.columns else None
+    span = f"{millis(width)}L"
+    bar_end = F.expr(f"ts - pmod(ts, {span}) + {span}").alias("bar_end")
+    rows = ticks.select(key, *by, bar_end, "bid", arrival_key("ts", seq, width).alias("order_key"))
+    return rows.groupBy(key, "bar_end", *by).agg(
+        F.expr("min(order_key) AS first_key"),
+        F.expr("min_by(bid, order_key) AS first_bid"),
+        F.expr("max(order_key) AS last_key"),
+        F.expr("max_by(bid, order_key) AS last_bid"),
+        F.expr("count(*) AS n_ticks"),
+    )
+
+
+def merged_partials(partials: DataFrame, key: str = "symbol") -> DataFrame:
+    """Partial bars of the same key and bar as one."""
+    return partials.groupBy(key, "bar_end").agg(
+        F.expr("min(first_key) AS first_key"),
+        F.expr("min_by(first_bid, first_key) AS first_bid"),
+        F.expr("max(last_key) AS last_key"),
+        F.expr("max_by(last_bid, last_key) AS last_bid"),
+        F.expr("sum(n_ticks) AS n_ticks"),
+    )
+
+
+def merged_bars(
+    partials: DataFrame, min_ticks: int = _DEFAULT.min_ticks, key: str = "symbol"
+) -> DataFrame:
+    """The bars of ``log_return_bars`` from partial ones, whatever ticks were dealt to
+    which of them."""
+    return (
+        partials.groupBy(key, "bar_end")
+        .agg(
+            F.expr("min_by(first_bid, first_key) AS first_bid"),
+            F.expr("max_by(last_bid, last_key) AS last_bid"),
+            F.expr("sum(n_ticks) AS n_ticks"),
+        )
+        .where(f"n_ticks >= {min_ticks}")
+        .selectExpr(key, "bar_end AS ts", "ln(last_bid / first_bid) AS log_return", "n_ticks")
+    )
+
+
 def daily_rv(
     bars: DataFrame, period: timedelta = _DEFAULT.period, key: str = "symbol"
 ) -> DataFrame:

@@ -5,11 +5,21 @@ from varimill.plans.batch import (
     scored_requests,
     unscored_requests,
 )
+from varimill.plans.ingest import (
+    bars_job,
+    changed_files,
+    day_counts,
+    file_counts,
+    ingest_job,
+    read_forecasts,
+    refresh_daily_job,
+    refresh_forecasts_job,
+    upkeep_job,
+)
 from varimill.plans.jobs import (
     daily_forecast_job,
     daily_job,
     forecast_job,
-    ingest_job,
     replay_job,
     stream_forecast_job,
 )
@@ -17,12 +27,19 @@ from varimill.plans.streams import stream_daily_rv, stream_to_requests, stream_t
 from varimill.plans.sweep import sweep
 
 __all__ = [
+    "bars_job",
+    "changed_files",
     "daily_forecast_job",
     "daily_job",
     "daily_variance",
+    "day_counts",
+    "file_counts",
     "forecast_job",
     "forecasts",
     "ingest_job",
+    "read_forecasts",
+    "refresh_daily_job",
+    "refresh_forecasts_job",
     "replay_job",
     "requests",
     "scored_requests",
@@ -32,4 +49,5 @@ __all__ = [
     "stream_to_table",
     "sweep",
     "unscored_requests",
+    "upkeep_job",
 ]

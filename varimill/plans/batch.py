@@ -59,6 +59,9 @@ def score_requests(
             "breaker_threshold": config.breaker_threshold,
             "breaker_open_s": config.breaker_open_s,
             "capacity": config.capacity,
+            "in_flight": config.in_flight,
+            "call_timeout_s": config.call_timeout_s,
+            "total_timeout_s": config.total_timeout_s,
             "partitions": config.scoring_partitions,
         }
         | options,

@@ -28,9 +28,11 @@ from varimill.operators import (
     ingest_counts,
     invalid_reasons,
     log_return_bars,
+    merged_bars,
     model_requests,
     model_sequences,
     parse_responses,
+    partial_bars,
     predictions_by_symbol,
     predictions_with_model,
     replay,
@@ -46,26 +48,31 @@ from varimill.operators import (
 )
 from varimill.operators.scoring import ERROR, INVALID, OK
 from varimill.plans import batch, streams
-from varimill.plans.jobs import (
-    daily_forecast_job,
-    daily_job,
+from varimill.plans.ingest import (
+    day_counts,
+    file_counts,
     ingest_job,
-    replay_job,
-    stream_forecast_job,
+    read_forecasts,
+    refresh_forecasts_job,
+    upkeep_job,
 )
+from varimill.plans.jobs import daily_forecast_job, daily_job, replay_job, stream_forecast_job
 from varimill.plans.sweep import sweep
 from varimill.schemas import SCORED, TICK
 from varimill.sinks import (
     append_metrics,
+    compact_predictions,
     read_dead_letters,
     read_metrics,
     read_predictions,
     write_bars_bucketed,
+    write_daily,
     write_scored,
     write_ticks,
     write_ticks_csv,
 )
 from varimill.sources import (
+    read_daily,
     read_table,
     read_ticks,
     read_ticks_csv,
@@ -73,6 +80,14 @@ from varimill.sources import (
     ticks_from_events,
     ticks_from_fields,
 )
+from varimill.streaming import (
+    available_now,
+    batch_counts,
+    corrected_bars,
+    keep_bars,
+    kept_bars,
+    late_rows,
+)
 from varimill.workspace import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,6 +416,59 @@ class AlwaysScorer:
         return Outcome(np.full(n, self.status, dtype=object), np.full(n, np.nan), np.full(n, 0.5))
 
 
+@dataclass
+class SlowService:
+    """A stand-in service and its clock: by the weekday of its day a request takes 4 s, 12 s
+    at the first attempt and then 1 s, always 12 s, or 31 s."""
+
+    now: float = 0.0
+    asked: dict | None = None
+
+    def clock(self) -> float:
+        return self.now
+
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
+
+    def __call__(self, requests: pa.RecordBatch) -> Outcome:
+        self.asked = self.asked or {}
+        for symbol, ts in zip(requests.column("symbol").to_pylist(), requests.column("ts").to_pylist()):
+            times = self.asked[symbol, ts] = self.asked.get((symbol, ts), 0) + 1
+            self.now += {0: 4, 1: 12 if times == 1 else 1, 2: 12}.get(ts // 86_400_000 % 4, 31)
+        n = requests.num_rows
+        return Outcome(np.full(n, OK, dtype=object), np.full(n, np.nan), np.full(n, 0.5))
+
+
+def q_slow_service(spark, sf_dir):
+    """One request a call, 10 s for a call and 30 s for all attempts, on a clock that
+    only the service moves."""
+    service = SlowService()
+    scored = score(
+        model_requests(_daily(spark, sf_dir)),
+        service,
+        capacity=1,
+        breaker_threshold=None,
+        call_timeout_s=10.0,
+        total_timeout_s=30.0,
+        clock=service.clock,
+        sleep=service.sleep,
+    )
+    return scored.select("symbol", "ts", "status", "attempts", "lstm_pred", "error")
+
+
+def q_calls_in_flight(spark, sf_dir):
+    """Eight calls of a task at a time answer what one at a time does."""
+    scored = score(
+        model_requests(_daily(spark, sf_dir)),
+        DayRuleScorer(),
+        backoff_ms=0,
+        breaker_threshold=None,
+        capacity=1,
+        in_flight=8,
+    )
+    return _rounded(scored.select("symbol", "ts", "status", "attempts", "lstm_pred", "har_pred"), 6)
+
+
 def q_raising_scorer(spark, sf_dir):
     scored = score(
         model_requests(_daily(spark, sf_dir)),
@@ -493,6 +561,92 @@ def q_ingested_twice(spark, sf_dir):
     return _rounded(read_ticks(spark, table).drop("seq"))
 
 
+SHRUNK, EMPTIED, SPLIT, LATE = "2024-01-08", "2024-01-09", "2024-01-10", "2024-02-15"
+
+
+def _corrected(spark, sf_dir, config=PipelineConfig()) -> tuple[str, list[str]]:
+    """Daily files taken in; then one loses a third of its ticks, one all of them, and a
+    late file brings a fifth of another day's; taken in again. The tables' folder, and
+    the days made anew."""
+    root = run_dir(spark, "upkeep")
+    tables = [f"{root}/{t}" for t in ("csv", "ticks", "bars", "daily")]
+    rows = ticks(spark, sf_dir).withColumn("d", day_name())
+    late = (F.col("d") == SPLIT) & (F.col("seq") % 5 == 0)
+    write_ticks_csv(rows.where(~late), tables[0])
+    upkeep_job(spark, *tables, config)
+    write_ticks_csv(rows.where((F.col("d") == SHRUNK) & (F.col("seq") % 3 != 0)), tables[0], "overwrite", day=SHRUNK)
+    # Its only line is none that counts.
+    broken = rows.limit(1).withColumn("symbol", F.lit(None).cast("string"))
+    write_ticks_csv(broken, tables[0], "overwrite", day=EMPTIED)
+    write_ticks_csv(rows.where(late), tables[0], "append", day=LATE)
+    return root, upkeep_job(spark, *tables, config)
+
+
+def q_corrected_files(spark, sf_dir):
+    """The ticks of files that were corrected, emptied and late, without leftovers."""
+    root, _ = _corrected(spark, sf_dir)
+    return _rounded(read_ticks(spark, f"{root}/ticks").drop("seq"))
+
+
+def q_corrected_counts(spark, sf_dir):
+    """Ticks per file and in all, as the ledger has them."""
+    root, _ = _corrected(spark, sf_dir)
+    counts = file_counts(spark, f"{root}/ticks")
+    return counts.select(F.coalesce("file_name", F.lit("total")).alias("file_name"), "ticks")
+
+
+def q_corrected_days(spark, sf_dir):
+    """Ticks per day from the ledger, and whether the second run made the day anew."""
+    root, days = _corrected(spark, sf_dir)
+    counts = day_counts(spark, f"{root}/ticks")
+    return counts.withColumn("anew", F.col("day").isin(days))
+
+
+def q_corrected_daily_rv(spark, sf_dir):
+    """Daily variance kept up from mergeable bars, after the corrections."""
+    root, _ = _corrected(spark, sf_dir)
+    return _rounded(read_daily(spark, f"{root}/daily").drop("day"))
+
+
+def q_corrected_forecasts(spark, sf_dir):
+    """Forecasts kept up with the corrections: made for all days, then made anew for the
+    days whose history has changed."""
+    root = run_dir(spark, "upkeep")
+    csv, table, bars, daily, kept = (f"{root}/{t}" for t in ("csv", "ticks", "bars", "daily", "forecasts"))
+    config = PipelineConfig()
+    rows = ticks(spark, sf_dir).withColumn("d", day_name())
+    write_ticks_csv(rows, csv)
+    upkeep_job(spark, csv, table, bars, daily, config)
+    refresh_forecasts_job(spark, daily, kept, config=config)
+    write_ticks_csv(rows.where((F.col("d") == SHRUNK) & (F.col("seq") % 3 != 0)), csv, "overwrite", day=SHRUNK)
+    write_ticks_csv(rows.limit(1).withColumn("symbol", F.lit(None).cast("string")), csv, "overwrite", day=EMPTIED)
+    upkeep_job(spark, csv, table, bars, daily, config)
+    refresh_forecasts_job(spark, daily, kept, config=config)
+    predictions, _ = read_forecasts(spark, kept)
+    return _rounded(predictions, 6)
+
+
+def q_compacted_store(spark, sf_dir):
+    """Two runs over the same days and a replay, then one batch of what counts."""
+    root, checkpoint = run_dir(spark, "store"), run_dir(spark, "checkpoint")
+    for run_id in range(2):
+        write_scored(_scored(spark, sf_dir), run_id, root, partitions=4)
+    replay_job(spark, root, None, checkpoint, DayRuleScorer(recovered=True))
+    compact_predictions(spark, root)
+    predictions = read_predictions(spark, root).select("symbol", "ts", F.lit("prediction").alias("side"), "lstm_pred")
+    letters = read_dead_letters(spark, root).select(
+        "symbol", "ts", F.col("reason").alias("side"), F.lit(None).cast("double").alias("lstm_pred")
+    )
+    return _rounded(predictions.unionByName(letters.distinct()), 6)
+
+
+def q_bars_merged(spark, sf_dir):
+    """Bars from partial ones of three parts of the ticks, dealt without regard to time."""
+    rows = ticks(spark, sf_dir).withColumn("part", F.col("seq") % 3)
+    bars = merged_bars(partial_bars(valid_ticks(rows), by=("part",)))
+    return _rounded(bars)
+
+
 def q_incremental_forecast(spark, sf_dir):
     """Daily variance kept as a table, extended by the last days; forecasts from it."""
     table, daily, root = (run_dir(spark, d) for d in ("ticks", "daily", "store"))
@@ -578,6 +732,21 @@ def q_stream_requests(spark, sf_dir):
     return requests.select("symbol", "ts", "is_first", "payload")
 
 
+def q_stream_from_history(spark, sf_dir):
+    """A stream that starts at day 24, with the days before from the batch table: it
+    gives requests from its first day on, and those that batch gives."""
+    first, second, third = _slices(spark, sf_dir)
+    daily, root, base = (run_dir(spark, d) for d in ("daily", "store", "stream"))
+    write_daily(batch.daily_variance(first.unionByName(second)), daily)
+    landing = run_dir(spark, "landing")
+    third.write.parquet(landing)
+    rows = spark.readStream.schema(TICK).parquet(landing)
+    stream_forecast_job(
+        spark, rows, root, base, config=PipelineConfig(), flush=True, history=read_daily(spark, daily).drop("day")
+    )
+    return _stored_forecasts(spark, root)
+
+
 def q_stream_replayed(spark, sf_dir):
     """Dead letters read as a stream from the store and replayed."""
     store, replayed, checkpoint = (run_dir(spark, d) for d in ("store", "replayed", "checkpoint"))
@@ -604,6 +773,68 @@ def _stored_forecasts(spark, root: str) -> DataFrame:
     return _rounded(read_predictions(spark, root).drop("id", "created_at"), 6)
 
 
+FAR_MS = 1893456000000  # 2030-01-01 00:00 UTC
+
+
+def _out_of_order(spark, sf_dir) -> list[DataFrame]:
+    """Ticks in three deliveries: every eleventh tick of the first third of time comes
+    with the last one."""
+    first, second, third = _slices(spark, sf_dir)
+    behind = F.col("seq") % 11 == 0
+    return [first.where(~behind), second, third.unionByName(first.where(behind))]
+
+
+def _deliver(spark, parts: list[DataFrame], **options) -> str:
+    """One run of a keeping stream per delivery, on one checkpoint; the kept tables."""
+    base = run_dir(spark, "kept")
+    landing, root, checkpoint = (f"{base}/{d}" for d in ("landing", "tables", "checkpoint"))
+    write = keep_bars(root, **options)
+    for number, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{landing}/delivery={number}")
+        stream = spark.readStream.schema(TICK).parquet(f"{landing}/delivery=*")
+        available_now(stream.select(*TICK.names), write, checkpoint)
+    return root
+
+
+def q_stream_late_ticks(spark, sf_dir):
+    """Ticks that came after their bar was closed, as rows."""
+    return _rounded(late_rows(spark, _deliver(spark, _out_of_order(spark, sf_dir))).drop("spread"))
+
+
+def q_stream_kept_bars(spark, sf_dir):
+    """Bars of the ticks that came in time."""
+    return _rounded(kept_bars(spark, _deliver(spark, _out_of_order(spark, sf_dir)), still_open=True))
+
+
+def q_stream_corrected_bars(spark, sf_dir):
+    """The same bars with the late ticks: those of all ticks."""
+    return _rounded(corrected_bars(spark, _deliver(spark, _out_of_order(spark, sf_dir)), still_open=True))
+
+
+def q_stream_batch_counts(spark, sf_dir):
+    """Ticks, valid and late ones and the mark of every micro-batch, from the ledger."""
+    return batch_counts(spark, _deliver(spark, _out_of_order(spark, sf_dir)))
+
+
+def q_stream_two_sources(spark, sf_dir):
+    """Two sources, one a delivery behind the other: the mark waits, no tick is late."""
+    first, second, third = _slices(spark, sf_dir)
+    slow = F.col("seq") % 2 == 0
+    parts = [first.where(~slow), second.where(~slow).unionByName(first.where(slow)), third.unionByName(second.where(slow))]
+    root = _deliver(spark, parts, source="if(seq % 2 = 0, 'slow', 'fast')", expected=("fast", "slow"))
+    late = late_rows(spark, root).select("symbol", "ts", F.lit(None).cast("double").alias("log_return"), F.lit(1).cast("long").alias("n_ticks"))
+    return _rounded(kept_bars(spark, root, still_open=True).unionByName(late))
+
+
+def q_stream_moved_by_all(spark, sf_dir):
+    """An invalid tick of the far future moves time where all ticks do: whatever valid
+    tick comes after it is late."""
+    first, second, third = _slices(spark, sf_dir)
+    far = first.limit(1).withColumns({"ts": F.lit(FAR_MS), "bid": F.lit(-1.0)})
+    root = _deliver(spark, [first.unionByName(far), second, third], moved_by="all")
+    return batch_counts(spark, root)
+
+
 def q_stream_predictions(spark, sf_dir):
     """Ticks in several micro-batches to stored predictions, as one job."""
     path, base, root = (run_dir(spark, d) for d in ("landing", "stream", "store"))

@@ -7,14 +7,15 @@ import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from varimill.config import PipelineConfig
 from varimill.functions import utc_midnight_ms
+from varimill.ledger import commit, entries, entries_of, next_run
 from varimill.operators.scoring import Scorer
-from varimill.operators.ticks import select_days, with_tick_counter
 from varimill.plans.batch import (
     daily_requests,
     daily_variance,
@@ -25,8 +26,8 @@ from varimill.plans.batch import (
 )
 from varimill.plans.streams import requests_stream
 from varimill.schemas import RUN_METRICS
-from varimill.sinks import append_metrics, write_daily, write_file_ticks, write_scored
-from varimill.sources import read_daily, read_ticks, read_ticks_csv
+from varimill.sinks import append_metrics, write_daily, write_scored
+from varimill.sources import day_bound, read_daily, read_ticks
 from varimill.streaming import (
     available_now,
     dead_letter_stream,
@@ -38,17 +39,6 @@ from varimill.streaming import (
 )
 
 
-def ingest_job(
-    spark: SparkSession, csv_dir: str, table: str, config: PipelineConfig | None = None
-) -> None:
-    """Daily tick files to a tick table; a file ingested again replaces itself.
-
-    Without ``config`` the session's settings choose the days.
-    """
-    config = config or PipelineConfig.from_session(spark)
-    write_file_ticks(read_ticks_csv(spark, csv_dir, config.from_date, config.last_n), table)
-
-
 def forecast_job(
     spark: SparkSession,
     table: str,
@@ -65,9 +55,8 @@ def forecast_job(
     run's size and throughput are appended.
     """
     config = config or PipelineConfig.from_session(spark)
-    seen = Observation("ticks")
-    chosen = select_days(read_ticks(spark, table), config.from_date, config.last_n, col="day")
-    ticks = with_tick_counter(chosen, seen)
+    from_date = day_bound(spark, table, config.from_date, config.last_n)
+    ticks = read_ticks(spark, table, from_date=from_date)
     start = time.monotonic()
     if config.ml_enabled:
         scored = scored_requests(ticks, scorer, config, **options)
@@ -76,7 +65,9 @@ def forecast_job(
     write_scored(scored, run_id, root, config.sink_partitions)
     elapsed = time.monotonic() - start
     if metrics is not None:
-        _append_run(spark, metrics, ticks.rdd.getNumPartitions(), config, seen.get["ticks"], elapsed)
+        # Counted by itself, from the files' own counts: an observer of the run would
+        # count a repeated task twice and sees nothing of a plan that ends up empty.
+        _append_run(spark, metrics, len(ticks.inputFiles()), config, ticks.count(), elapsed)
 
 
 def daily_job(
@@ -93,7 +84,7 @@ def daily_job(
     """
     config = config or PipelineConfig.from_session(spark)
     ticks = read_ticks(spark, table, from_date=from_date or config.from_date)
-    write_daily(daily_variance(ticks, config), daily_table)
+    write_daily(daily_variance(ticks, config), daily_table, from_date or config.from_date)
 
 
 def daily_forecast_job(
@@ -147,6 +138,7 @@ def stream_forecast_job(
     flush: bool = False,
     metrics: str | None = None,
     state_partitions: int | None = None,
+    history: DataFrame | None = None,
     **options,
 ) -> StreamingQuery:
     """A stream of ticks to predictions and dead letters below ``root``.
@@ -154,11 +146,12 @@ def stream_forecast_job(
     Takes what there is and stops; called again with the same ``base``, which holds
     the checkpoint, it goes on. ``flush`` closes the last day as well; days after it
     may still come. Predictions and letters of a micro-batch are one write that
-    replaces itself when repeated.
+    replaces itself when repeated. ``history`` holds daily variance of before the
+    stream, with which a new one starts.
     """
     config = config or PipelineConfig.from_session(spark)
     flushes, checkpoint = f"{base}/flush", f"{base}/checkpoint"
-    requests = requests_stream(with_flush(ticks, flushes), config)
+    requests = requests_stream(with_flush(ticks, flushes), config, history)
     if config.ml_enabled:
         options = {
             "b": config.har,
@@ -168,6 +161,9 @@ def stream_forecast_job(
             "breaker_threshold": config.breaker_threshold,
             "breaker_open_s": config.breaker_open_s,
             "capacity": config.capacity,
+            "in_flight": config.in_flight,
+            "call_timeout_s": config.call_timeout_s,
+            "total_timeout_s": config.total_timeout_s,
             "partitions": config.scoring_partitions,
         } | options
         write = score_batches(root, scorer, config.sink_partitions, **options)
@@ -176,13 +172,14 @@ def stream_forecast_job(
     parallelism = state_partitions or spark.sparkContext.defaultParallelism
     start = time.monotonic()
     query = available_now(requests, write, checkpoint, parallelism)
-    seen = _ticks_of(query)
     if flush:
         latest = latest_event_ms(query, config.watermark)
         send_flush(spark, flushes, latest, config.watermark, config.period)
         query = available_now(requests, write, checkpoint, parallelism)
+    elapsed = time.monotonic() - start
     if metrics is not None:
-        _append_run(spark, metrics, parallelism, config, seen, time.monotonic() - start)
+        seen = _count_ticks(spark, ticks, f"{base}/counts")
+        _append_run(spark, metrics, parallelism, config, seen, elapsed)
     return query
 
 
@@ -193,10 +190,25 @@ def _unscored_batches(root: str, config: PipelineConfig) -> Callable[[DataFrame,
     return write
 
 
-def _ticks_of(query: StreamingQuery) -> int:
-    """Ticks of a run, as far as the progress of its micro-batches goes back."""
-    counts = (p["observedMetrics"].get("ticks") for p in query.recentProgress if p["observedMetrics"])
-    return sum(c["ticks"] for c in counts if c)
+def _count_ticks(spark: SparkSession, ticks: DataFrame, root: str) -> int:
+    """Ticks that have come since this was last called, by a stream of its own over the
+    same source: a count per micro-batch in a ledger, so a repeated batch counts once.
+    """
+    before = next_run(spark, f"{root}/table")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # No column is read.
+        n = batch.count()
+        if entries_of(spark, f"{root}/table", batch_id + 1, _NO_COLUMNS) is None:
+            row = spark.createDataFrame([(str(batch_id), n)], "key string, rows long")
+            commit(row, f"{root}/table", batch_id + 1)
+
+    available_now(ticks.select("symbol"), write, f"{root}/checkpoint")
+    counts = entries(spark, f"{root}/table", _NO_COLUMNS).where(F.col("run_id") >= before)
+    return counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
+_NO_COLUMNS = T.StructType([])
 
 
 def replay_job(

@@ -162,6 +162,74 @@ SELECT e.symbol, e.ts, {_F6.replace("rv_", "e.rv_").replace("AS e.rv_", "AS rv_"
 FROM emitted e JOIN run r ON r.symbol = e.symbol AND r.ts = e.ts AND r.step = 22"""
 
 
+# What is left of the ticks after the corrections of the daily files.
+_CORRECTED = f"""corrected AS (
+  SELECT *, {_DAY} AS day FROM ticks
+  WHERE {_DAY} <> '2024-01-09' AND NOT ({_DAY} = '2024-01-08' AND seq % 3 = 0)),
+filed AS (
+  SELECT *, CASE WHEN day = '2024-01-10' AND seq % 5 = 0 THEN '2024-02-15' ELSE day END AS file_name
+  FROM corrected)"""
+
+
+def _after_corrections() -> dict[str, str]:
+    ctes = f"WITH {_TICKS.format(symbol='event_type')}, {_CORRECTED}"
+    counted = f"{ctes} SELECT file_name, count(*) AS ticks FROM filed GROUP BY file_name"
+    daily = _ctes().replace("valid AS (SELECT * FROM ticks", f"{_CORRECTED},\nvalid AS (SELECT * FROM corrected")
+    return {
+        "corrected_files": f"{ctes} SELECT {_TICK_COLUMNS}, day FROM corrected",
+        # An emptied file is known, with no tick.
+        "corrected_counts": f"{counted} UNION ALL SELECT '2024-01-09', 0"
+        " UNION ALL SELECT 'total', count(*) FROM filed",
+        "corrected_days": f"""{ctes}
+SELECT day, count(*) AS ticks, count(*) FILTER (WHERE {_VALID_CONDITION}) AS valid,
+       count(DISTINCT file_name) AS files, day IN ('2024-01-08', '2024-01-10') AS anew
+FROM filed GROUP BY day""",
+        "corrected_forecasts": f"{daily} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6} FROM emitted",
+        "corrected_daily_rv": f"{daily} SELECT symbol, ts, round(rv_daily, 8) AS rv_daily FROM daily",
+    }
+
+
+_DELIVERIES = f"""delivered AS (
+  SELECT *, CASE WHEN {_DAY} < '2024-01-11' AND seq % 11 = 0 THEN 2 WHEN {_DAY} < '2024-01-11' THEN 0
+                 WHEN {_DAY} < '2024-01-24' THEN 1 ELSE 2 END AS batch_id
+  FROM ticks),
+marks AS (
+  SELECT b.batch_id, max(d.ts) - 3000 AS mark
+  FROM (VALUES (0), (1), (2)) AS b(batch_id) JOIN delivered d ON d.batch_id <= b.batch_id
+  WHERE {_VALID_CONDITION} GROUP BY b.batch_id),
+judged AS (
+  SELECT d.*, coalesce(d.ts - d.ts % 300000 + 300000 <= m.mark, FALSE) AND {_VALID_CONDITION} AS late
+  FROM delivered d LEFT JOIN marks m ON m.batch_id = d.batch_id - 1)"""
+
+
+def _kept_streams(plain: str, bars: str) -> dict[str, str]:
+    ctes = f"WITH {_TICKS.format(symbol='event_type')}, {_DELIVERIES}"
+    in_time = _ctes().replace("valid AS (SELECT * FROM ticks", f"{_DELIVERIES},\nvalid AS (SELECT * FROM judged")
+    in_time = in_time.replace(f"FROM judged WHERE {_VALID_CONDITION}", f"FROM judged WHERE NOT late AND {_VALID_CONDITION}")
+    return {
+        "stream_late_ticks": f"""{ctes}
+SELECT symbol, ts, round(bid, 8) AS bid, round(ask, 8) AS ask, round(volume, 8) AS volume, seq
+FROM judged WHERE late""",
+        "stream_kept_bars": f"{in_time} {bars}",
+        "stream_corrected_bars": f"{plain} {bars}",
+        "stream_two_sources": f"{plain} {bars}",
+        "stream_batch_counts": f"""{ctes}
+SELECT CAST(j.batch_id AS BIGINT) AS batch_id, count(*) AS ticks,
+       count(*) FILTER (WHERE {_VALID_CONDITION}) AS valid, count(*) FILTER (WHERE late) AS late,
+       min(m.mark) AS mark
+FROM judged j JOIN marks m ON m.batch_id = j.batch_id GROUP BY j.batch_id""",
+        "stream_moved_by_all": f"""WITH {_TICKS.format(symbol='event_type')},
+parts AS (
+  SELECT *, CASE WHEN {_DAY} < '2024-01-11' THEN 0 WHEN {_DAY} < '2024-01-24' THEN 1 ELSE 2 END AS part
+  FROM ticks)
+SELECT CAST(part AS BIGINT) AS batch_id, count(*) + CASE part WHEN 0 THEN 1 ELSE 0 END AS ticks,
+       count(*) FILTER (WHERE {_VALID_CONDITION}) AS valid,
+       CASE part WHEN 0 THEN 0 ELSE count(*) FILTER (WHERE {_VALID_CONDITION}) END AS late,
+       CAST(1893456000000 - 3000 AS BIGINT) AS mark
+FROM parts GROUP BY part""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     plain = _ctes()
     replayed = f"""{plain}
@@ -175,6 +243,12 @@ FROM emitted WHERE {_WEEKDAY} <= 2"""
     payloads = _payload_rows(_GATED, "symbol, ts, is_first")
     tick_rows = f"WITH {_TICKS.format(symbol='event_type')} SELECT {_TICK_COLUMNS}, seq FROM ticks"
     bars = "SELECT symbol, ts, round(log_return, 8) AS log_return, n_ticks FROM bars"
+    after_replay = f"""{plain}
+SELECT symbol, ts,
+       CASE {_WEEKDAY} WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'prediction' END AS side,
+       CASE WHEN {_WEEKDAY} = 2 THEN CAST(1 AS DOUBLE)
+            WHEN {_WEEKDAY} > 2 THEN {_WEEKDAY} * CAST(0.5 AS DOUBLE) END AS lstm_pred
+FROM emitted"""
     return {
         "ticks_from_events": tick_rows,
         "csv_fields_typed": tick_rows.replace(
@@ -207,6 +281,9 @@ SELECT * FROM named WHERE reasons <> ''""",
 WITH {_TICKS.format(symbol="event_type")}
 SELECT count(*) AS ticks, count(*) FILTER (WHERE {_VALID_CONDITION}) AS valid FROM ticks""",
         "bars_5m": f"{plain} {bars}",
+        "bars_merged": f"{plain} {bars}",
+        **_after_corrections(),
+        **_kept_streams(plain, bars),
         "bars_60m": f"{_ctes(width_ms=3600000)} {bars}",
         "daily_rv": daily,
         "daily_rv_one_symbol": f"{_ctes(symbol=chr(39) + 'ALL' + chr(39))}"
@@ -232,6 +309,18 @@ FROM emitted e JOIN cut c
 SELECT symbol, ts, {_STATUS} AS status,
        CAST(CASE WHEN {_STATUS} = 'failed' THEN 3 ELSE 1 END AS INTEGER) AS attempts,
        CASE WHEN {_STATUS} = 'ok' THEN {_WEEKDAY} * CAST(0.5 AS DOUBLE) END AS lstm_pred, {_HAR6}
+FROM emitted""",
+        "calls_in_flight": f"""{plain}
+SELECT symbol, ts, {_STATUS} AS status,
+       CAST(CASE WHEN {_STATUS} = 'failed' THEN 3 ELSE 1 END AS INTEGER) AS attempts,
+       CASE WHEN {_STATUS} = 'ok' THEN {_WEEKDAY} * CAST(0.5 AS DOUBLE) END AS lstm_pred, {_HAR6}
+FROM emitted""",
+        "slow_service": f"""{plain}
+SELECT symbol, ts, CASE WHEN ts // 86400000 % 4 <= 1 THEN 'ok' ELSE 'timeout' END AS status,
+       CAST(CASE ts // 86400000 % 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS INTEGER) AS attempts,
+       CASE WHEN ts // 86400000 % 4 <= 1 THEN CAST(0.5 AS DOUBLE) END AS lstm_pred,
+       CASE ts // 86400000 % 4 WHEN 2 THEN 'no answer within 5.7 s'
+                               WHEN 3 THEN 'no answer within 10 s' END AS error
 FROM emitted""",
         "dead_letters": _payload_rows(
             plain,
@@ -265,6 +354,8 @@ FROM (SELECT count(*) AS total_ticks FROM events),
         "short_sequences": har,
         "stream_predictions": har,
         "incremental_forecast": har,
+        # Days end at the next midnight.
+        "stream_from_history": f"{har} WHERE ts > {TEST_START_MS - 86400000}",
         "stream_continued": har,
         "nonfinite_days": f"""{_ctes().replace(
             "sum(log_return * log_return) AS rv_daily",
@@ -292,12 +383,8 @@ FROM emitted WHERE {_WEEKDAY} <= 2""",
 SELECT symbol, ts AS letter_ts, TRUE AS at_replay FROM emitted WHERE {_WEEKDAY} <= 2""",
         "prediction_rows": f"{plain} SELECT symbol, ts, {_F6}, {_NULL_MODELS}, {_HAR6},"
         " TRUE AS stamped, TRUE AS id_of_key FROM emitted",
-        "store_after_replay": f"""{plain}
-SELECT symbol, ts,
-       CASE {_WEEKDAY} WHEN 0 THEN 'invalid' WHEN 1 THEN 'failed' ELSE 'prediction' END AS side,
-       CASE WHEN {_WEEKDAY} = 2 THEN CAST(1 AS DOUBLE)
-            WHEN {_WEEKDAY} > 2 THEN {_WEEKDAY} * CAST(0.5 AS DOUBLE) END AS lstm_pred
-FROM emitted""",
+        "store_after_replay": after_replay,
+        "compacted_store": after_replay,
         "ingested_twice": f"""
 WITH {_TICKS.format(symbol="event_type")} SELECT {_TICK_COLUMNS}, {_DAY} AS day FROM ticks""",
         "stream_daily_rv": daily,

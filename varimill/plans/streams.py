@@ -25,10 +25,13 @@ def daily_stream(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFra
     return daily_rv_stream(ticks, config.watermark, config.bar_width, config.min_ticks, config.period)
 
 
-def requests_stream(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
+def requests_stream(
+    ticks: DataFrame, config: PipelineConfig = _DEFAULT, history: DataFrame | None = None
+) -> DataFrame:
+    """Requests of a tick stream; ``history`` holds the days of before it."""
     daily = daily_stream(ticks, config)
     return request_stream(
-        daily, config.test_start, config.weekly, config.monthly, config.payload_decimals
+        daily, config.test_start, config.weekly, config.monthly, config.payload_decimals, history
     )
 
 
@@ -55,5 +58,7 @@ def stream_daily_rv(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> Data
     return stream_to_table(ticks, lambda t: daily_stream(t, config), DAILY_RV, config)
 
 
-def stream_to_requests(ticks: DataFrame, config: PipelineConfig = _DEFAULT) -> DataFrame:
-    return stream_to_table(ticks, lambda t: requests_stream(t, config), REQUEST, config)
+def stream_to_requests(
+    ticks: DataFrame, config: PipelineConfig = _DEFAULT, history: DataFrame | None = None
+) -> DataFrame:
+    return stream_to_table(ticks, lambda t: requests_stream(t, config, history), REQUEST, config)

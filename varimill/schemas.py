@@ -33,6 +33,24 @@ TICK_AVRO = (
     '{"name":"volume","type":"double"},{"name":"spread","type":"double"}]}'
 )
 
+# What the ledger of an ingested tick table says of a daily file.
+FILE_DAYS = T.ArrayType(_struct(("day", _S), ("ticks", _L), ("valid", _L)))
+FILE_ENTRY = _struct(
+    ("signature", _S), ("valid", _L), ("first_ts", _L), ("last_ts", _L), ("days", FILE_DAYS)
+)
+# A bar as far as one daily file knows it.
+PARTIAL_BAR = _struct(
+    ("symbol", _S),
+    ("bar_end", _L),
+    ("first_key", _L),
+    ("first_bid", _D),
+    ("last_key", _L),
+    ("last_bid", _D),
+    ("n_ticks", _L),
+)
+PARTIAL_ENTRY = _struct(("source_run", _L), ("days", T.ArrayType(_S)))
+DAY_ENTRY = _struct(("source_run", _L))
+
 BAR = _struct(("symbol", _S), ("ts", _L), ("log_return", _D))
 DAILY_RV = _struct(("symbol", _S), ("ts", _L), ("rv_daily", _D))
 

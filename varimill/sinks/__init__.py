@@ -1,6 +1,7 @@
 from varimill.sinks.bars import write_bars_bucketed
 from varimill.sinks.metrics import append_metrics, read_metrics
 from varimill.sinks.outcomes import (
+    compact_predictions,
     prediction_rows,
     read_dead_letters,
     read_predictions,
@@ -20,6 +21,7 @@ from varimill.sinks.ticks import (
 
 __all__ = [
     "append_metrics",
+    "compact_predictions",
     "land_ticks",
     "prediction_rows",
     "read_dead_letters",

@@ -8,15 +8,19 @@ their own names below the same root, so they never meet a forecast batch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varimill.ledger import finished_paths, path_exists, remove_path
 from varimill.operators.scoring import INVALID, OK, split_scored
 from varimill.schemas import PREDICTION, PREDICTION_ROW, STORED, SYMBOL_MAX_CHARS
 from varimill.sources.kafka import DEAD_LETTER_TOPIC
 
 REPLAY = "replay-"
+COMPACTED = "compacted-"
 
 
 def _fits_table() -> Column:
@@ -26,43 +30,92 @@ def _fits_table() -> Column:
     return F.expr(f"{present} AND char_length(symbol) <= {SYMBOL_MAX_CHARS}")
 
 
-def write_scored(
-    scored: DataFrame, batch_id: int | str, root: str, partitions: int | None = None
-) -> None:
-    """Write one scored batch below ``root``, predictions and dead letters apart.
+def outcomes(scored: DataFrame) -> DataFrame:
+    """Scored rows with ``outcome``, prediction or dead letter, and ``created_at``.
 
-    A prediction that the predictions table could not hold (a required column
-    without value, a symbol too long) becomes an invalid dead letter here, before
-    it is stored. ``partitions`` sets the number of writers. The shuffle it takes
-    is by key, so scoring keeps its own parallelism and a rerun task cannot move a
-    row to a second writer.
+    A prediction that the predictions table could not hold (a required column without
+    value, a symbol too long) becomes an invalid dead letter here, before it is stored.
     """
     good = F.col("status") == OK
     fits = F.coalesce(_fits_table(), F.lit(False))
     rows = scored.withColumn("status", F.when(good & ~fits, F.lit(INVALID)).otherwise(F.col("status")))
     outcome = F.when(good, F.lit("prediction")).otherwise(F.lit("dead_letter"))
-    rows = rows.withColumn("outcome", outcome).withColumn("created_at", F.current_timestamp())
+    return rows.withColumn("outcome", outcome).withColumn("created_at", F.current_timestamp())
+
+
+def write_scored(
+    scored: DataFrame, batch_id: int | str, root: str, partitions: int | None = None
+) -> None:
+    """Write one scored batch below ``root``, predictions and dead letters apart.
+
+    ``partitions`` sets the number of writers. The shuffle it takes is by key, so
+    scoring keeps its own parallelism and a rerun task cannot move a row to a second
+    writer.
+    """
+    rows = outcomes(scored)
     if partitions is not None:
         rows = rows.repartition(partitions, "symbol", "ts")
     rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{root}/batch_id={batch_id}")
 
 
+def _stored_rows(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of finished batches; a batch that is being written, or whose write was
+    cut off, does not show."""
+    paths = finished_paths(spark, f"{root}/batch_id=*")
+    if not paths:
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).option("basePath", root).parquet(*paths)
+
+
 def _read_outcome(spark: SparkSession, root: str, outcome: str) -> DataFrame:
-    return spark.read.schema(STORED).parquet(root).where(F.col("outcome") == outcome)
+    return _stored_rows(spark, root).where(F.col("outcome") == outcome)
 
 
 def _replayed() -> Column:
-    return F.startswith(F.col("batch_id"), F.lit(REPLAY))
+    """Rows that a replay has made; compacted ones still name their letter."""
+    return F.startswith(F.col("batch_id"), F.lit(REPLAY)) | F.col("letter_ts").isNotNull()
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of several rows for the same symbol and ``ts`` the newest, found by an aggregate
+    that works before the shuffle."""
+    others = [c for c in rows.columns if c not in ("symbol", "ts")]
+    picked = F.max_by(F.struct(*others), F.struct("created_at", "batch_id"))
+    return rows.groupBy("symbol", "ts").agg(picked.alias("r")).select("symbol", "ts", "r.*")
 
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     """All predictions stored below ``root``, those of replays too, as rows of the
     predictions table. Of several for the same symbol and ``ts`` the newest counts.
     """
+    rows = _read_outcome(spark, root, "prediction").select(*PREDICTION_ROW.names[1:], "batch_id")
+    return _newest(rows).select(_row_id(), *PREDICTION_ROW.names[1:])
+
+
+def compact_predictions(spark: SparkSession, root: str) -> str | None:
+    """Put the predictions that count into one batch and drop those they replace; gives
+    the batch, None if there is nothing to gain.
+
+    The new batch is complete before any old one goes, and rows of both are the same to
+    a reader. Letters stay where they are, for the replays that follow them. For a time
+    when no batch is being written.
+    """
+    held = [p for p in finished_paths(spark, f"{root}/batch_id=*") if path_exists(spark, f"{p}/outcome=prediction")]
+    if len(held) < 2:
+        return None
     rows = _read_outcome(spark, root, "prediction")
-    newest = Window.partitionBy("symbol", "ts").orderBy(F.desc("created_at"), F.desc("batch_id"))
-    rows = rows.withColumn("_age", F.row_number().over(newest)).where("_age = 1")
-    return rows.select(_row_id(), *PREDICTION_ROW.names[1:])
+    # Replays of the same prediction: the letter they settle is kept with any of them.
+    letter = F.when(_replayed(), F.coalesce("letter_ts", "ts"))
+    rows = rows.withColumn("letter_ts", letter)
+    settled = rows.where("letter_ts IS NOT NULL").groupBy("symbol", "ts").agg(F.max("letter_ts").alias("letter_ts"))
+    kept = _newest(rows.drop("letter_ts")).join(settled, ["symbol", "ts"], "left")
+    name = f"{COMPACTED}{uuid.uuid4().hex}"
+    names = [c for c in STORED.names if c not in ("batch_id", "outcome")]
+    made = kept.withColumn("outcome", F.lit("prediction")).select(*names, "outcome")
+    made.write.mode("error").partitionBy("outcome").parquet(f"{root}/batch_id={name}")
+    for path in held:
+        remove_path(spark, f"{path}/outcome=prediction")
+    return name
 
 
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varimill.functions import clock_text, day_name
-from varimill.schemas import TICK, TICK_AVRO
+from varimill.ledger import commit, current, next_run, read_run, write_parts
+from varimill.schemas import DAILY_RV, DAY_ENTRY, TICK, TICK_AVRO
 from varimill.sources.csv import line_place
 from varimill.sources.kafka import TICK_TOPIC
 
@@ -38,24 +40,45 @@ def write_ticks(
     rows.write.mode(mode).partitionBy("day").parquet(path)
 
 
-def write_file_ticks(ticks: DataFrame, path: str) -> None:
-    """Ticks of daily files, one directory per file and day of the tick.
-
-    Writing a file again replaces what it had left and nothing else, so a rerun
-    over any selection of files leaves no tick twice.
-    """
+def write_file_ticks(ticks: DataFrame, table: str, run_id: int) -> None:
+    """Ticks of daily files as parts of a run, one directory per file and day of the
+    tick; they count once the run is in the table's ledger (``plans.ingest``)."""
     rows = _with_day(ticks.select(*TICK.names, "file_name"))
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("file_name", "day").parquet(path)
+    write_parts(rows, table, run_id, "file_name", by=("day",))
+
 
+def write_daily(
+    daily: DataFrame,
+    table: str,
+    from_date: str | None = None,
+    days: DataFrame | None = None,
+    source_run: int | None = None,
+) -> None:
+    """Daily variance, one part per day.
 
-def write_daily(daily: DataFrame, path: str) -> None:
-    """Daily variance, one directory per day; a day written again replaces itself."""
+    Settles all days from ``from_date`` on, or those in ``days`` (column ``day``): what
+    the table held of them is replaced, also where no value is left.
+    """
+    spark = daily.sparkSession
+    run_id = next_run(spark, table)
     # ``ts`` is the day's end, so the day is that of the instant before.
     rows = daily.withColumn("day", day_name("(ts - 1)"))
-    rows.repartition("day").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("day").parquet(path)
+    write_parts(rows.repartition("day"), table, run_id, "day")
+    written = T.StructType([*DAILY_RV.fields, T.StructField("day", T.StringType())])
+    counts = read_run(spark, table, run_id, written).groupBy("day").agg(F.count("*").alias("rows"))
+    if days is None:
+        held = current(spark, table, DAY_ENTRY).select(F.col("key").alias("day"))
+        days = held.where(F.col("day") >= (from_date or "")).unionByName(counts.select("day"))
+    settled = days.select("day").distinct().join(counts, "day", "left")
+    commit(
+        settled.select(
+            F.col("day").alias("key"),
+            F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+            F.lit(source_run).cast("long").alias("source_run"),
+        ),
+        table,
+        run_id,
+    )
 
 
 def land_ticks(path: str) -> Callable[[DataFrame, int], None]:
@@ -73,10 +96,16 @@ def land_ticks(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def write_ticks_csv(
-    ticks: DataFrame, path: str, mode: str = "error", rebalance: bool = False
+    ticks: DataFrame,
+    path: str,
+    mode: str = "error",
+    rebalance: bool = False,
+    day: str | None = None,
 ) -> None:
-    """Daily tick files with a header line, one directory per day."""
-    fields = _with_day(ticks).select(
+    """Daily tick files with a header line, one directory per day; with ``day`` all
+    ticks go to the directory of this one, whatever their time."""
+    dated = _with_day(ticks) if day is None else ticks.withColumn("day", F.lit(day))
+    fields = dated.select(
         clock_text("ts").alias("DateTime"),
         F.col("bid").cast("string").alias("Bid"),
         F.col("ask").cast("string").alias("Ask"),
@@ -89,7 +118,7 @@ def write_ticks_csv(
     writer = _by_day(fields, rebalance).write.mode(mode).options(
         header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    writer.partitionBy("day").csv(path)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("day").csv(path)
 
 
 def tick_records(ticks: DataFrame, schema: str = TICK_AVRO, header: bytes = b"") -> DataFrame:

@@ -1,4 +1,10 @@
-from varimill.sources.csv import day_names, read_csv_fields, read_ticks_csv, ticks_from_fields
+from varimill.sources.csv import (
+    day_names,
+    list_files,
+    read_csv_fields,
+    read_ticks_csv,
+    ticks_from_fields,
+)
 from varimill.sources.kafka import (
     dead_letters_from_records,
     kafka_options,
@@ -7,6 +13,7 @@ from varimill.sources.kafka import (
     ticks_from_records,
 )
 from varimill.sources.tables import (
+    day_bound,
     read_daily,
     read_table,
     read_ticks,
@@ -15,9 +22,11 @@ from varimill.sources.tables import (
 )
 
 __all__ = [
+    "day_bound",
     "day_names",
     "dead_letters_from_records",
     "kafka_options",
+    "list_files",
     "read_csv_fields",
     "read_dead_letters_kafka",
     "read_daily",

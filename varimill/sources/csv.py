@@ -33,18 +33,40 @@ def _reader(spark: SparkSession, streaming: bool = False, typed: bool = False):
     )
 
 
-def _day_label(file: str) -> str:
+def day_label(file: str) -> str:
     path = unquote(file)
     found = _DAY_DIR.search(path)
     return found.group(1) if found else path.rsplit("/", 1)[-1]
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name`` (the name of the day), ``paths`` and ``signature`` of every daily
+    file under ``path``; a change of name, size or time changes the signature.
+
+    One listing; no file is opened.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True)
+    directory = F.regexp_extract("path", r"/day=([^/]+)/[^/]*$", 1)
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    label = F.when(directory != "", F.url_decode(directory)).otherwise(name)
+    about = F.concat_ws("|", name, "length", F.unix_millis("modificationTime"))
+    return (
+        files.load(path)
+        .select(label.alias("file_name"), "path", about.alias("about"))
+        .groupBy("file_name")
+        .agg(
+            F.sort_array(F.collect_list("path")).alias("paths"),
+            F.md5(F.concat_ws(",", F.sort_array(F.collect_list("about")))).alias("signature"),
+        )
+    )
+
+
 def day_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the days under ``path``, oldest first.
 
     This is the file listing the driver holds anyway; no file is opened.
     """
-    return sorted({_day_label(f) for f in _reader(spark).csv(path).inputFiles()})
+    return sorted({day_label(f) for f in _reader(spark).csv(path).inputFiles()})
 
 
 def read_csv_fields(
@@ -54,6 +76,7 @@ def read_csv_fields(
     last_n: int = 0,
     streaming: bool = False,
     typed: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """Fields of the lines, with ``file_name`` and the line order ``seq``.
 
@@ -63,7 +86,7 @@ def read_csv_fields(
     The first line of every file is skipped, blank lines too. ``from_date`` and
     ``last_n`` select days by name; both become one lower bound on the name, so
     the scan lists only the files it needs. A directory without a matching day
-    gives no rows.
+    gives no rows. ``files`` names the files under ``path`` that are read, if not all.
 
     On a stream, ``seq`` is only the start of the file split: Spark numbers no
     rows there. ``sinks.land_ticks`` completes it when it stores the batches.
@@ -74,7 +97,8 @@ def read_csv_fields(
         newest = [n for n in day_names(spark, path) if n >= (from_date or "")][-last_n:]
         # Without any match the bound stays as it is and keeps nothing.
         from_date = newest[0] if newest else from_date
-    df = _reader(spark, streaming, typed).csv(path)
+    reader = _reader(spark, streaming, typed)
+    df = reader.csv(path) if files is None else reader.option("basePath", path).csv(files)
     by_directory = "day" in df.columns
     label = F.col("day").cast("string") if by_directory else F.col("_metadata.file_name")
     if from_date:
@@ -132,7 +156,8 @@ def read_ticks_csv(
     from_date: str | None = None,
     last_n: int = 0,
     streaming: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """Ticks of the selected daily files, with ``file_name`` for audit counts."""
-    fields = read_csv_fields(spark, path, from_date, last_n, streaming, typed=True)
+    fields = read_csv_fields(spark, path, from_date, last_n, streaming, typed=True, files=files)
     return ticks_from_fields(fields).select(*TICK.names, "file_name")

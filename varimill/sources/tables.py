@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varimill.schemas import DAILY_RV, TICK
+from varimill.ledger import current, has_ledger, read_parts
+from varimill.schemas import DAILY_RV, FILE_ENTRY, TICK
+from varimill.sources.csv import day_label
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +27,41 @@ def stream_table(
 def read_ticks(
     spark: SparkSession, path: str, streaming: bool = False, from_date: str | None = None
 ) -> DataFrame:
-    """Ticks from a table with days as directories, as ``sinks`` writes them."""
+    """Ticks from a table with days as directories, as ``sinks`` writes them, or from
+    the parts that count of an ingested one."""
     schema = T.StructType(TICK.fields + [T.StructField("day", T.StringType())])
-    df = (spark.readStream if streaming else spark.read).schema(schema).parquet(path)
-    df = df.select(*schema.names)
+    if has_ledger(spark, path):
+        if streaming:
+            raise ValueError("an ingested table is read in batch: its parts may be replaced")
+        chosen = current(spark, path, FILE_ENTRY)
+        if from_date:
+            chosen = chosen.where(F.exists("days", lambda d: d["day"] >= from_date))
+        df = read_parts(spark, path, schema, chosen)
+    else:
+        df = (spark.readStream if streaming else spark.read).schema(schema).parquet(path)
+        df = df.select(*schema.names)
     return df.where(F.col("day") >= from_date) if from_date else df
 
 
+def day_bound(spark: SparkSession, path: str, from_date: str | None = None, last_n: int = 0) -> str | None:
+    """The first of the last ``last_n`` days of a tick table from ``from_date`` on; all
+    of them without ``last_n``. Days are known from the ledger or the listing."""
+    if last_n <= 0:
+        return from_date
+    if has_ledger(spark, path):
+        days = current(spark, path, FILE_ENTRY).select(F.explode("days.day").alias("day")).distinct()
+        newest = days.where(F.col("day") >= (from_date or "")).orderBy(F.desc("day")).limit(last_n)
+        names = sorted(r["day"] for r in newest.collect())
+    else:
+        names = sorted({day_label(f) for f in spark.read.parquet(path).inputFiles()})
+        names = [n for n in names if n >= (from_date or "")][-last_n:]
+    return names[0] if names else from_date
+
+
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """Daily variance from the table ``sinks.write_daily`` writes, with its ``day``."""
     schema = T.StructType(DAILY_RV.fields + [T.StructField("day", T.StringType())])
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    return read_parts(spark, path, schema)
 
 
 def ticks_from_events(

@@ -1,4 +1,11 @@
 from varimill.streaming.history import request_stream
+from varimill.streaming.keeper import (
+    batch_counts,
+    corrected_bars,
+    keep_bars,
+    kept_bars,
+    late_rows,
+)
 from varimill.streaming.letters import dead_letter_stream, replay_batches
 from varimill.streaming.runs import (
     FLUSH_SYMBOL,
@@ -16,9 +23,14 @@ from varimill.streaming.runs import (
 __all__ = [
     "FLUSH_SYMBOL",
     "available_now",
+    "batch_counts",
+    "corrected_bars",
     "daily_rv_stream",
     "dead_letter_stream",
     "flush_tick",
+    "keep_bars",
+    "kept_bars",
+    "late_rows",
     "late_ticks",
     "latest_event_ms",
     "replay_batches",

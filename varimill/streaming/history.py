@@ -55,6 +55,17 @@ class RequestHistory(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
+        out = self._advanced(key, rows)
+        if out:
+            yield pd.DataFrame(out, columns=_EMITTED.names)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        """Days of before the stream: they leave the state they would have left, and
+        their requests, which are made already, are not made again."""
+        self._advanced(key, iter([initialState]))
+
+    def _advanced(self, key: Any, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        """Take days in, in the order of time; the requests they give."""
         arrived = sorted(
             (int(ts), float(rv)) for part in rows for ts, rv in zip(part["ts"], part["rv_daily"])
         )
@@ -87,8 +98,7 @@ class RequestHistory(StatefulProcessor):
             self.matrix.put(matrix)
         if opened:
             self.opened.update((True,))
-        if out:
-            yield pd.DataFrame(out, columns=_EMITTED.names)
+        return out
 
     def _expanding(self, values: list[float]) -> list[tuple[float, float, float]]:
         return [
@@ -106,12 +116,21 @@ def request_stream(
     weekly: int = _DEFAULT.weekly,
     monthly: int = _DEFAULT.monthly,
     decimals: int = _DEFAULT.payload_decimals,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Requests of a daily variance stream, as ``model_requests`` gives in batch.
 
+    ``history`` holds the days of before (``symbol``, ``ts``, ``rv_daily``), a batch
+    frame such as ``read_daily`` gives: a new stream then goes on where they end and
+    needs no days of its own to warm up. It is read when the first micro-batch runs,
+    and has no effect on a stream that goes on from a checkpoint.
+
     Needs the RocksDB state store (``runs.available_now`` sets it).
     """
     gate_ms = None if test_start is None else utc_midnight_ms(test_start)
+    before = None
+    if history is not None:
+        before = history.select("symbol", "ts", "rv_daily").groupBy("symbol")
     emitted = (
         daily.select("symbol", "ts", "rv_daily")
         .groupBy("symbol")
@@ -120,6 +139,7 @@ def request_stream(
             outputStructType=_EMITTED,
             outputMode="append",
             timeMode="None",
+            initialState=before,
         )
     )
     payload = payload_json(FEATURES, "history", decimals).alias("payload")

@@ -1,5 +1,7 @@
 import math
 import sys
+import threading
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -301,3 +303,83 @@ def test_failed_replay_stays_a_dead_letter(letters_of):
 def test_replay_time_can_be_the_processing_time(letters_of):
     row = replay(letters_of([(1, payload(), None)]), ts_mode="processing").first()
     assert row.ts == int(row.replayed_at.timestamp() * 1000) or row.ts > 1_600_000_000_000
+
+
+@dataclass
+class Timed:
+    """A service on its own clock: seconds per attempt, by request."""
+
+    seconds: dict
+    now: float = 0.0
+
+    def clock(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds
+
+    def __call__(self, requests):
+        for symbol in requests.column("symbol").to_pylist():
+            self.now += self.seconds[symbol].pop(0)
+        n = requests.num_rows
+        return Outcome(np.full(n, OK, dtype=object), np.full(n, np.nan), np.zeros(n))
+
+
+def _timed(spark, seconds, **options):
+    rows = [(s, 1, 1.0, 1.0, 1.0, False, "p", None) for s in seconds]
+    service = Timed({s: list(v) for s, v in seconds.items()})
+    options = {"capacity": 1, "partitions": 1, "breaker_threshold": None, "call_timeout_s": 10.0, "total_timeout_s": 30.0} | options
+    made = score(spark.createDataFrame(rows, REQUEST), service, clock=service.clock, sleep=service.sleep, **options)
+    return {r.symbol: (r.status, r.attempts, r.error) for r in made.collect()}
+
+
+def test_calls_and_requests_have_their_time(spark):
+    got = _timed(
+        spark,
+        {"quick": [4], "edge": [10], "again": [11, 1], "slow": [12, 12, 12], "hung": [31], "late": [9.9, 9], "failed": [11, 1.0]},
+    )
+    assert got["quick"] == ("ok", 1, None) and got["edge"] == ("ok", 1, None)
+    assert got["again"] == ("ok", 2, None) and got["late"] == ("ok", 1, None)
+    assert got["slow"] == ("timeout", 3, "no answer within 5.7 s")
+    assert got["hung"] == ("timeout", 1, "no answer within 10 s")
+    # Without an end for all attempts, three slow ones are a failure.
+    assert _timed(spark, {"slow": [12, 12, 12]}, total_timeout_s=None)["slow"][:2] == ("failed", 3)
+
+
+def test_time_outs_open_the_breaker(spark):
+    seconds = {f"s{i}": [31] for i in range(8)}
+    got = _timed(spark, seconds, breaker_threshold=5, breaker_open_s=1000.0)
+    assert sorted(v[0] for v in got.values()) == ["blocked"] * 3 + ["timeout"] * 5
+
+
+class Hangs:
+    """Never answers; the task must go on without it."""
+
+    def __call__(self, requests):
+        threading.Event().wait(60)
+
+
+def test_a_call_that_hangs_is_left_behind(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0, 1.0, 1.0, False, "p", None)], REQUEST)
+    start = time.monotonic()
+    row = score(rows, Hangs(), max_attempts=2, backoff_ms=0, call_timeout_s=0.2, partitions=1).first()
+    assert (row.status, row.attempts) == ("failed", 2) and time.monotonic() - start < 30
+
+
+class Meeting:
+    """Answers once four calls are in it at a time."""
+
+    def __init__(self):
+        self.parties = 4
+
+    def __call__(self, requests):
+        barrier = sys.modules.setdefault("_test_barrier", threading.Barrier(self.parties))
+        barrier.wait(30)
+        n = requests.num_rows
+        return Outcome(np.full(n, OK, dtype=object), np.full(n, np.nan), np.zeros(n))
+
+
+def test_calls_are_in_flight_together(spark):
+    rows = [(f"s{i}", 1, 1.0, 1.0, 1.0, False, "p", None) for i in range(8)]
+    made = score(spark.createDataFrame(rows, REQUEST), Meeting(), capacity=1, partitions=1, in_flight=4, max_attempts=1)
+    assert [r.status for r in made.collect()] == ["ok"] * 8

@@ -25,12 +25,15 @@ class PipelineConfig:
     backoff_ms: int = 100
     breaker_threshold: int = 5
     breaker_open_s: float = 30.0
+    call_timeout_s: float | None = 10.0
+    total_timeout_s: float | None = 30.0
 
     # Limits towards other systems. ``capacity`` is the number of requests per
     # scorer call, after which the breaker may act; None makes one call of an Arrow
-    # batch. ``scoring_partitions`` tasks score at a time; None takes the session's
+    # batch. ``in_flight`` calls of a task run at a time. ``scoring_partitions`` tasks score at a time; None takes the session's
     # number of shuffle partitions.
     capacity: int | None = 20
+    in_flight: int = 1
     scoring_partitions: int | None = None
     sink_partitions: int = 4
 
@@ -49,6 +52,7 @@ class PipelineConfig:
             "from_date": str.strip,
             "last_n": int,
             "capacity": int,
+            "in_flight": int,
             "scoring_partitions": int,
             "sink_partitions": int,
         }

@@ -7,9 +7,10 @@ and day, never one per tick.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,10 @@ _DEFAULT = PipelineConfig()
 FEATURES = ("rv_daily", "rv_weekly", "rv_monthly")
 
 # Status of a request. A scorer answers OK, INVALID (never retried) or ERROR
-# (retried); FAILED and BLOCKED are set here.
+# (retried); FAILED, TIMEOUT and BLOCKED are set here.
 OK, INVALID, ERROR = "ok", "invalid", "error"
 FAILED = "failed"  # every attempt ended in an error
+TIMEOUT = "timeout"  # the time for all attempts was over
 BLOCKED = "blocked"  # the breaker was open
 
 
@@ -91,7 +93,7 @@ class _Breaker:
     """Opens after ``threshold`` exhausted requests in a row, per task.
 
     Opening does not reset the count, so the first failure after the pause
-    opens it again; a success does.
+    opens it again; a success does. The calls of a task share it.
     """
 
     threshold: int | None
@@ -99,17 +101,33 @@ class _Breaker:
     clock: Callable[[], float]
     failures: int = 0
     open_until: float = float("-inf")
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     def is_open(self) -> bool:
-        return self.threshold is not None and self.clock() < self.open_until
+        with self.lock:
+            return self.threshold is not None and self.clock() < self.open_until
 
     def record(self, succeeded: bool) -> None:
-        if succeeded:
-            self.failures = 0
-            return
-        self.failures += 1
-        if self.threshold is not None and self.failures >= self.threshold:
-            self.open_until = self.clock() + self.open_s
+        with self.lock:
+            if succeeded:
+                self.failures = 0
+                return
+            self.failures += 1
+            if self.threshold is not None and self.failures >= self.threshold:
+                self.open_until = self.clock() + self.open_s
+
+
+def _within(work: Callable[[], Outcome], seconds: float) -> Outcome | None:
+    """The answer of ``work`` if it comes in time, else None.
+
+    A call that hangs cannot be ended; its thread is left behind and does not keep the
+    task alive.
+    """
+    answer: list[Outcome] = []
+    thread = threading.Thread(target=lambda: answer.append(work()), daemon=True)
+    thread.start()
+    thread.join(max(seconds, 0.0))
+    return answer[0] if answer else None
 
 
 @dataclass(frozen=True)
@@ -127,6 +145,9 @@ class _Caller:
     ready_timeout_s: float
     sleep: Callable[[float], None]
     clock: Callable[[], float]
+    in_flight: int = 1
+    call_timeout_s: float | None = None
+    total_timeout_s: float | None = None
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaker = _Breaker(self.breaker_threshold, self.breaker_open_s, self.clock)
@@ -146,17 +167,32 @@ class _Caller:
         answer = Outcome(status, np.full(n, np.nan), np.full(n, np.nan))
         valid = np.flatnonzero(status == OK)
         size = self.capacity or max(len(valid), 1)
-        for start in range(0, len(valid), size):
-            rows = valid[start : start + size]
-            if not ready:
-                status[rows] = FAILED
-            elif breaker.is_open():
-                status[rows] = BLOCKED
-            else:
-                self._score_rows(batch, rows, answer, attempts, errors)
-                for outcome in status[rows]:
-                    if outcome in (OK, FAILED):
-                        breaker.record(outcome == OK)
+        calls = iter([valid[start : start + size] for start in range(0, len(valid), size)])
+        turn = threading.Lock()
+
+        def work() -> None:
+            while True:
+                with turn:
+                    rows = next(calls, None)
+                if rows is None:
+                    return
+                if not ready:
+                    status[rows] = FAILED
+                elif breaker.is_open():
+                    status[rows] = BLOCKED
+                else:
+                    self._score_rows(batch, rows, answer, attempts, errors)
+                    for outcome in status[rows]:
+                        if outcome in (OK, FAILED, TIMEOUT):
+                            breaker.record(outcome == OK)
+
+        # Calls of a batch do not wait for each other; each writes to its own rows.
+        others = [threading.Thread(target=work, daemon=True) for _ in range(self.in_flight - 1)]
+        for thread in others:
+            thread.start()
+        work()
+        for thread in others:
+            thread.join()
         new = {
             "status": pa.array(status, pa.string()),
             "attempts": pa.array(attempts),
@@ -177,8 +213,9 @@ class _Caller:
         errors: np.ndarray,
     ) -> None:
         """Attempt ``rows`` together; each attempt repeats only those in error."""
+        end = float("inf") if self.total_timeout_s is None else self.clock() + self.total_timeout_s
         for attempt in range(1, self.max_attempts + 1):
-            out = self._attempt(batch.take(pa.array(rows)))
+            out = self._in_time(batch.take(pa.array(rows)), end)
             attempts[rows] = attempt
             answer.status[rows] = out.status
             errors[rows] = np.where(out.status == OK, None, out.error)
@@ -188,11 +225,28 @@ class _Caller:
             rows = rows[~done & (out.status != INVALID)]
             if not len(rows):
                 return
+            if self.clock() >= end:
+                answer.status[rows] = TIMEOUT
+                return
             if attempt < self.max_attempts:
-                self.sleep(self.backoff_ms * 2 ** (attempt - 1) / 1000)
-                if not self._wait_until_ready():
+                self.sleep(min(self.backoff_ms * 2 ** (attempt - 1) / 1000, end - self.clock()))
+                if not self._wait_until_ready(end):
                     break
-        answer.status[rows] = FAILED
+        answer.status[rows] = TIMEOUT if self.clock() >= end else FAILED
+
+    def _in_time(self, requests: pa.RecordBatch, end: float) -> Outcome:
+        """An attempt that is an error where it takes longer than a call may, or goes
+        beyond the end of all attempts."""
+        start = self.clock()
+        limit = min(self.call_timeout_s or float("inf"), end - start)
+        if limit == float("inf"):
+            return self._attempt(requests)
+        out = _within(lambda: self._attempt(requests), limit)
+        if out is not None and self.clock() - start <= limit:
+            return out
+        n = requests.num_rows
+        nothing = np.full(n, np.nan)
+        return Outcome(np.full(n, ERROR, dtype=object), nothing, nothing, f"no answer within {limit:g} s")
 
     def _attempt(self, requests: pa.RecordBatch) -> Outcome:
         n = requests.num_rows
@@ -207,10 +261,10 @@ class _Caller:
             nothing = np.full(n, np.nan)
             return Outcome(np.full(n, ERROR, dtype=object), nothing, nothing, f"{type(e).__name__}: {e}")
 
-    def _wait_until_ready(self) -> bool:
+    def _wait_until_ready(self, end: float = float("inf")) -> bool:
         if self.is_ready is None:
-            return True
-        give_up = self.clock() + self.ready_timeout_s
+            return self.clock() < end
+        give_up = min(self.clock() + self.ready_timeout_s, end)
         while not self.is_ready():
             if self.clock() >= give_up:
                 return False
@@ -235,6 +289,9 @@ def score(
     ready_timeout_s: float = 600.0,
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.monotonic,
+    in_flight: int = _DEFAULT.in_flight,
+    call_timeout_s: float | None = None,
+    total_timeout_s: float | None = None,
 ) -> DataFrame:
     """Score requests; every row keeps its request and gains ``status``.
 
@@ -249,6 +306,12 @@ def score(
     order and takes effect between calls. ``is_ready`` is polled before the
     first call of a task and between attempts.
 
+    Up to ``in_flight`` calls of a task run at a time, each with its own attempts; their
+    answers may come in any order. An attempt that takes longer than ``call_timeout_s``
+    is an error; what has no answer ``total_timeout_s`` after its first attempt began,
+    pauses included, gets the status ``timeout``. A scorer for several calls at a time
+    must be safe for threads.
+
     Without a scorer the model columns are null and no Python runs.
     """
     checked = har(validate_requests(requests), b, decimals)
@@ -273,6 +336,9 @@ def score(
         ready_timeout_s,
         sleep,
         clock,
+        in_flight,
+        call_timeout_s,
+        total_timeout_s,
     )
     return checked.mapInArrow(caller, _nullable(checked.schema))
 

@@ -9,8 +9,10 @@ each word seen often enough in labelled texts has a probability of marking a
 toxic one, and a document's score joins those of its words as a noisy or.
 
 The character model counts all texts. Word weights are fitted on at most
-``SAMPLE`` labelled texts outside the held-out fold; language, source and id are
-no inputs. Null and empty texts get the score of texts without any weighted word.
+``SAMPLE`` labelled texts outside the held-out fold, and the one bound among their
+parameters that decides how insults in company are treated is chosen by
+cross-validation on the training folds; language, source and id are no inputs. Null
+and empty texts get the score of texts without any weighted word.
 """
 
 from __future__ import annotations
@@ -31,11 +33,10 @@ from varimill.llm.words import PUNCTUATION, Words, chunks
 FOLDS = 5
 SAMPLE = 20_000  # labelled texts that word weights are fitted on, at most
 LEAST_TOXIC = 3  # toxic texts that a word must occur in
-LEXICON = 20_000  # words that are given a weight, at most
 PRIOR = 2.0
 CHANCE = 2.0  # log odds against a word that is toxic by chance, beside their number
 RESIDUE = 4.0  # log likelihood ratio of a word in texts that stronger words do not mark
-STRONG = 5.0  # log likelihood ratio against even odds that spares a word this test
+STRONG = (2.0, 3.0, 5.0, 8.0, 12.0, 1e9)  # log likelihood ratios against even odds that may spare a word this test
 
 # Letters that a character may stand for.
 LOOKALIKES = {
@@ -69,11 +70,19 @@ def letter_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_LETTERS**3, np.int64)
         for batch in batches:
-            for _, _, data, _ in chunks(batch.column(0)):
-                c = code[data]
-                if len(c) > 2:
-                    triple = (c[:-2] * _LETTERS + c[1:-1]) * _LETTERS + c[2:]
-                    total += np.bincount(triple, minlength=len(total))
+            for _, _, data, offsets in chunks(batch.column(0)):
+                # Each text with two word ends before and one behind it, so that what
+                # it adds does not depend on its neighbours.
+                sizes = np.diff(offsets)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                c = np.full(len(data) + 3 * len(sizes), _OTHER, np.int64)
+                c[np.arange(len(data)) + 3 * row + 2] = code[data]
+                first = offsets[:-1] + 3 * np.arange(len(sizes))
+                inside = np.ones(len(c), bool)
+                inside[first] = inside[first + 1] = False
+                at = np.flatnonzero(inside)
+                triple = (c[at - 2] * _LETTERS + c[at - 1]) * _LETTERS + c[at]
+                total += np.bincount(triple, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["triple", "n"])
 
@@ -276,46 +285,89 @@ def fit(
     total = usable.count()
     if total > sample:
         share = int(sample / total * (1 << 30))
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(sample)
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        usable = usable.where(place < share).orderBy(place, "doc_id").limit(sample)
     chosen = stored(usable, "labelled")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = maybe_in(texts, "doc_id", key_filter(chosen, "doc_id")).join(chosen, "doc_id")
     texts = stored(texts, "examples")
     n, n_toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rate = (n_toxic + 0.5) / (n + 1) if n else 0.0
-    nothing = ToxicModel(letters, np.zeros(0, np.uint64), np.zeros(0), float(np.log1p(-min(rate, 0.49))))
     if not n_toxic:
-        return nothing
+        rate = 0.5 / (n + 1) if n else 0.0
+        return ToxicModel(letters, np.zeros(0, np.uint64), np.zeros(0), float(np.log1p(-min(rate, 0.49))))
     marked = _labelled_words(texts.where("toxic = 1"), letters, None).where(F.col("n") >= LEAST_TOXIC)
-    # Bounded like the sample; the most frequent first where a bound is met.
-    wanted = marked.orderBy(F.desc("n"), "word").limit(LEXICON).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
-    table = _labelled_words(texts, letters, np.sort(wanted)).toPandas().sort_values("word")
+    # All words of so many toxic texts: a number that the sample bounds.
+    wanted = marked.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    table = _labelled_words(texts, letters, np.sort(wanted)).toPandas()
     words, seen, toxic = (table[c].to_numpy(np.int64) for c in ("word", "n", "n_toxic"))
+    tested = len(words)
+    good = np.flatnonzero(_promising(seen, toxic, n, n_toxic, tested)[0])
+    words = np.sort(words[good].view(np.uint64))
+    held = _held_words(texts, letters, words).toPandas().sort_values("doc_id", kind="stable")
+    examples = _Examples.of(held, len(words))
+    strong = _chosen_strong(examples, tested)
+    kept, clear, base = _weighted(examples, tested, strong)
+    return ToxicModel(letters, words[kept], clear, base)
+
+
+def _promising(seen: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int, tested: int):
+    """Which words mark toxic texts, with their weights and log likelihood ratios."""
+    rate = (n_toxic + 0.5) / (n + 1)
     share = (toxic + PRIOR * rate) / (seen + PRIOR)
     # Among so many words some are toxic by chance: a word's log likelihood ratio
     # must stand above what the most extreme of them would reach.
-    clean = seen - toxic
-    ratio = toxic * np.log(np.maximum(toxic, 1) / seen / rate)
-    ratio += clean * np.log(np.maximum(clean, 1) / seen / (1 - rate))
+    clean, any_ = seen - toxic, np.maximum(seen, 1)
+    ratio = toxic * np.log(np.maximum(toxic, 1) / any_ / rate)
+    ratio += clean * np.log(np.maximum(clean, 1) / any_ / (1 - rate))
     weight = (share - rate) / (1 - rate)
-    least = np.log(len(words) + 1) + CHANCE
-    good = (weight > 0.05) & (ratio > least)
-    order = np.argsort(words[good].view(np.uint64))
-    words, weight, ratio, clean, toxic = (x[good][order] for x in (words.view(np.uint64), weight, ratio, clean, toxic))
+    good = (toxic >= LEAST_TOXIC) & (weight > 0.05) & (ratio > np.log(tested + 1) + CHANCE)
+    return good, weight, ratio
+
+
+@dataclass(frozen=True)
+class _Examples:
+    """Labelled texts and the words that each has, as pairs of places."""
+
+    toxic: np.ndarray
+    fold: np.ndarray
+    text: np.ndarray
+    word: np.ndarray
+    n_words: int
+
+    @classmethod
+    def of(cls, held, n_words: int) -> _Examples:
+        sizes = [len(x) for x in held["places"]]
+        word = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in held["places"])])
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        return cls(held["toxic"].to_numpy() == 1, held["fold"].to_numpy(), text, word.astype(np.int64), n_words)
+
+    def only(self, chosen: np.ndarray) -> _Examples:
+        place = np.cumsum(chosen) - 1
+        pairs = chosen[self.text]
+        return _Examples(self.toxic[chosen], self.fold[chosen], place[self.text[pairs]], self.word[pairs], self.n_words)
+
+
+def _weighted(examples: _Examples, tested: int, strong_from: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places of the words that count, log(1 - weight) of each, that of every text)."""
+    is_toxic = examples.toxic
+    n, n_toxic = len(is_toxic), int(is_toxic.sum())
+    rate = (n_toxic + 0.5) / (n + 1)
+    seen = np.bincount(examples.word, minlength=examples.n_words)
+    toxic = np.bincount(examples.word[is_toxic[examples.text]], minlength=examples.n_words)
+    good, weight, ratio = _promising(seen, toxic, n, n_toxic, tested)
+    clean = seen - toxic
     # A word that comes along with stronger ones must also mark texts of its own,
     # unless next to no clean text has it: insults come together.
-    odds = toxic * np.log(np.maximum(2 * toxic, 1) / (toxic + clean))
-    odds += clean * np.log(np.maximum(2 * clean, 1) / (toxic + clean))
-    strong = (toxic > clean) & (odds > STRONG)
-    held = _held_words(texts, letters, words).toPandas()
-    marks = [set(x) for x in held["places"]]
-    where: dict[int, list[int]] = {}
-    for i, places in enumerate(marks):
-        for place in places:
-            where.setdefault(place, []).append(i)
-    is_toxic, explained, kept = held["toxic"].to_numpy() == 1, np.zeros(len(held), bool), []
+    any_ = np.maximum(seen, 1)
+    odds = toxic * np.log(np.maximum(2 * toxic, 1) / any_) + clean * np.log(np.maximum(2 * clean, 1) / any_)
+    strong = (toxic > clean) & (odds > strong_from)
+    order = np.argsort(examples.word, kind="stable")
+    texts = np.split(examples.text[order], np.cumsum(seen)[:-1]) if examples.n_words else []
+    explained, kept = np.zeros(n, bool), []
     for place in np.argsort(-ratio, kind="stable").tolist():
-        at = np.array(where.get(place, []), np.int64)
+        if not good[place]:
+            continue
+        at = texts[place]
         own = int((is_toxic[at] & ~explained[at]).sum())
         share = own / max(own + clean[place], 1)
         alone = own * np.log(max(share, 1e-9) / rate) + clean[place] * np.log((1 - share + 1e-9) / (1 - rate))
@@ -323,13 +375,31 @@ def fit(
             kept.append(place)
             explained[at] = True
     kept = np.sort(np.array(kept, np.int64))
-    words, clear = words[kept], np.log1p(-np.minimum(weight[kept], 0.999))
     base = ((is_toxic & ~explained).sum() + 0.5) / ((~explained).sum() + 1)
-    return ToxicModel(letters, words, clear, float(np.log1p(-min(base, 0.49))))
+    return kept, np.log1p(-np.minimum(weight[kept], 0.999)), float(np.log1p(-min(base, 0.49)))
+
+
+def _chosen_strong(examples: _Examples, tested: int) -> float:
+    """The bound under which the fewest texts of a training fold are predicted wrong
+    from the others; of equals that with the least log loss."""
+    losses = []
+    for strong_from in STRONG:
+        wrong, loss = 0, 0.0
+        for fold in np.unique(examples.fold):
+            inside = examples.fold == fold
+            kept, clear, base = _weighted(examples.only(~inside), tested, strong_from)
+            weights = np.zeros(examples.n_words)
+            weights[kept] = clear
+            total = base + np.bincount(examples.text, weights[examples.word], len(examples.toxic))[inside]
+            score = np.clip(-np.expm1(total), 1e-4, 1 - 1e-4)
+            wrong += int(((score >= 0.5) != examples.toxic[inside]).sum())
+            loss -= float(np.where(examples.toxic[inside], np.log(score), np.log1p(-score)).sum())
+        losses.append((wrong, round(loss, 6)))
+    return STRONG[losses.index(min(losses))]
 
 
 def _held_words(texts: DataFrame, letters: np.ndarray, words: np.ndarray) -> DataFrame:
-    """For each text of the sample its label and which of the words it has."""
+    """For each text of the sample its id, fold, label and which of the words it has."""
     sent = texts.sparkSession.sparkContext.broadcast((letters, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,10 +410,12 @@ def _held_words(texts: DataFrame, letters: np.ndarray, words: np.ndarray) -> Dat
             for part in text_words(batch.column(0), model, cache):
                 places += [np.flatnonzero(np.isin(words, hashes)).tolist() for hashes in part]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(places, pa.list_(pa.int64()))], ["toxic", "places"]
+                [*batch.columns[1:], pa.array(places, pa.list_(pa.int64()))], ["doc_id", "fold", "toxic", "places"]
             )
 
-    return texts.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, places array<long>")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = texts.select("text", "doc_id", fold, F.col("toxic").cast("int"))
+    return rows.mapInArrow(run, "doc_id long, fold int, toxic int, places array<long>")
 
 
 def _scored(docs: DataFrame, model: ToxicModel, text: str) -> DataFrame:

@@ -78,6 +78,8 @@ class SequenceScorer:
     which is not a failure: the linear forecast stands without it.
     """
 
+    columns = ("sequence",)  # what it looks at
+
     lstm: SequenceModel | None = None
     mamba: SequenceModel | None = None
     length: int = 22

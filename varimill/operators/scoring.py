@@ -200,9 +200,8 @@ class _Caller:
             "mamba_pred": pa.array(answer.mamba, from_pandas=True),
             "lstm_pred": pa.array(answer.lstm, from_pandas=True),
         }
-        return pa.RecordBatch.from_arrays(
-            [new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names
-        )
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | new
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def _score_rows(
         self,
@@ -312,6 +311,9 @@ def score(
     pauses included, gets the status ``timeout``. A scorer for several calls at a time
     must be safe for threads.
 
+    A scorer may name the ``columns`` it looks at; the others, such as the payload, then
+    stay in the JVM. Only answers come back.
+
     Without a scorer the model columns are null and no Python runs.
     """
     checked = har(validate_requests(requests), b, decimals)
@@ -340,11 +342,31 @@ def score(
         call_timeout_s,
         total_timeout_s,
     )
-    return checked.mapInArrow(caller, _nullable(checked.schema))
-
-
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    sent = getattr(scorer, "columns", None) or requests.columns
+    answers = F.arrow_udf(_answers(caller), _ANSWER)
+    # A scorer's answer need not be the same twice: it is asked once.
+    answer = answers.asNondeterministic()(F.struct(*dict.fromkeys((*sent, "status"))))
+    found = checked.withColumn("_answer", answer)
+    return found.withColumns({f.name: F.col("_answer")[f.name] for f in _ANSWER}).drop("_answer")
+
+
+_ANSWER = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("attempts", T.IntegerType()),
+        T.StructField("mamba_pred", T.DoubleType()),
+        T.StructField("lstm_pred", T.DoubleType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+def _answers(caller: _Caller) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def run(requests: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for out in caller(map(pa.RecordBatch.from_struct_array, requests)):
+            yield pa.StructArray.from_arrays([out.column(c) for c in _ANSWER.names], _ANSWER.names)
+
+    return run
 
 
 def split_scored(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -764,9 +764,7 @@ def _slices(spark, sf_dir) -> list[DataFrame]:
 
 
 def _landed(spark, path: str) -> DataFrame:
-    """One file, and so one micro-batch, after the other."""
-    reader = spark.readStream.schema(TICK).option("maxFilesPerTrigger", 1)
-    return reader.parquet(path)
+    return spark.readStream.schema(TICK).parquet(path)
 
 
 def _stored_forecasts(spark, root: str) -> DataFrame:
@@ -836,11 +834,14 @@ def q_stream_moved_by_all(spark, sf_dir):
 
 
 def q_stream_predictions(spark, sf_dir):
-    """Ticks in several micro-batches to stored predictions, as one job."""
+    """Ticks in three micro-batches, one to a run, to stored predictions; only the last
+    run closes its days."""
     path, base, root = (run_dir(spark, d) for d in ("landing", "stream", "store"))
-    for part in _slices(spark, sf_dir):
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream_forecast_job(spark, _landed(spark, path), root, base, config=PipelineConfig(), flush=True)
+    parts = _slices(spark, sf_dir)
+    for number, part in enumerate(parts, 1):
+        part.write.mode("append").parquet(path)
+        flush = number == len(parts)
+        stream_forecast_job(spark, _landed(spark, path), root, base, config=PipelineConfig(), flush=flush)
     return _stored_forecasts(spark, root)
 
 
@@ -848,7 +849,7 @@ def q_stream_continued(spark, sf_dir):
     """The same with a flush after each part: a stream goes on and loses nothing."""
     path, base, root = (run_dir(spark, d) for d in ("landing", "stream", "store"))
     for part in _slices(spark, sf_dir):
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
         stream_forecast_job(spark, _landed(spark, path), root, base, config=PipelineConfig(), flush=True)
     return _stored_forecasts(spark, root)
 

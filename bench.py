@@ -5,6 +5,8 @@ BENCH_CPUS      local cores (default all)
 BENCH_RUNS      timed runs per query after one warm-up (default 3)
 BENCH_GRID      1: also the 24 cells of the published grid (input partitions 2 to
                 16, shuffle partitions 2 to 12)
+BENCH_CSV       1: also the full-size run from daily CSV files, through the ingested
+                table, mergeable bars and the daily table to kept forecasts
 BENCH_COPIES    copies of the events in the full-size run (default: enough for
                 66.8 million ticks; 0 skips it)
 """
@@ -23,11 +25,23 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from varimill.config import PipelineConfig  # noqa: E402
+from varimill.ledger import remove_path  # noqa: E402
 from varimill.operators import LstmModel, SequenceScorer, with_tick_counter  # noqa: E402
-from varimill.plans import catalog, scored_requests, sweep  # noqa: E402
+from varimill.plans import (  # noqa: E402
+    bars_job,
+    catalog,
+    day_counts,
+    file_counts,
+    ingest_job,
+    refresh_daily_job,
+    refresh_forecasts_job,
+    scored_requests,
+    sweep,
+)
 from varimill.session import RECOMMENDED  # noqa: E402
-from varimill.sinks import read_predictions, write_scored  # noqa: E402
-from varimill.sources import read_table, ticks_from_events  # noqa: E402
+from varimill.sinks import read_predictions, write_scored, write_ticks_csv  # noqa: E402
+from varimill.sources import read_table, read_ticks, ticks_from_events  # noqa: E402
 from varimill.workspace import run_dir  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -118,8 +132,9 @@ def full_size(spark: SparkSession, copies: int) -> dict:
         out = f"{base}/out-{i}"
         best = min(best, timed(lambda: write_scored(scored_requests(ticks, scorer), 0, out, 4)))
         seen, predictions = counter.get["ticks"], read_predictions(spark, out).count()
-    return {
+    result = {
         "grid": grid(spark, f"{base}/ticks", scorer, base) if os.environ.get("BENCH_GRID") == "1" else None,
+        "csv": from_files(spark, f"{base}/ticks", scorer, base) if os.environ.get("BENCH_CSV") == "1" else None,
         "source": "parquet",
         "copies": copies,
         "ticks": seen,
@@ -130,6 +145,33 @@ def full_size(spark: SparkSession, copies: int) -> dict:
         "driver_memory": spark.conf.get("spark.driver.memory"),
         "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
     }
+    remove_path(spark, base)
+    return result
+
+
+def from_files(spark: SparkSession, ticks_path: str, scorer: SequenceScorer, base: str) -> dict:
+    """Daily CSV files to forecasts, each table stored on the way; then once more after
+    one file has lost its ticks."""
+    csv, table, bars, daily, kept = (f"{base}/{d}" for d in ("csv", "ingested", "bars", "daily", "forecasts"))
+    write_ticks_csv(spark.read.parquet(ticks_path), csv)
+    config = PipelineConfig()
+
+    def upkeep() -> dict:
+        steps = {
+            "ingest": lambda: ingest_job(spark, csv, table, config),
+            "bars": lambda: bars_job(spark, table, bars, config),
+            "days": lambda: refresh_daily_job(spark, bars, daily, config),
+            "forecasts": lambda: refresh_forecasts_job(spark, daily, kept, scorer, config),
+        }
+        return {name: round(timed(step), 2) for name, step in steps.items()}
+
+    whole = upkeep()
+    seen = file_counts(spark, table).where("file_name IS NULL").first()["ticks"]
+    day = day_counts(spark, table).orderBy("day").limit(40).agg(F.max("day")).first()[0]
+    few = read_ticks(spark, table, from_date=day).where(F.col("day") == day).limit(1000)
+    write_ticks_csv(few, csv, "overwrite", day=day)
+    total = sum(whole.values())
+    return {"ticks": seen, "elapsed_sec": round(total, 2), "ticks_per_sec": round(seen / total, 2), "steps": whole, "after_one_correction": upkeep()}
 
 
 def grid(spark: SparkSession, path: str, scorer: SequenceScorer, base: str) -> list[dict]:

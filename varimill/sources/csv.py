@@ -66,7 +66,11 @@ def day_names(spark: SparkSession, path: str) -> list[str]:
 
     This is the file listing the driver holds anyway; no file is opened.
     """
-    return sorted({day_label(f) for f in _reader(spark).csv(path).inputFiles()})
+    return _days_of(_reader(spark).csv(path))
+
+
+def _days_of(df: DataFrame) -> list[str]:
+    return sorted({day_label(f) for f in df.inputFiles()})
 
 
 def read_csv_fields(
@@ -93,12 +97,13 @@ def read_csv_fields(
     """
     if last_n and streaming:
         raise ValueError("last_n needs a closed set of files; use from_date on a stream")
+    reader = _reader(spark, streaming, typed)
+    df = reader.csv(path) if files is None else reader.option("basePath", path).csv(files)
     if last_n > 0:
-        newest = [n for n in day_names(spark, path) if n >= (from_date or "")][-last_n:]
+        # The listing of this very frame; no other is made.
+        newest = [n for n in _days_of(df) if n >= (from_date or "")][-last_n:]
         # Without any match the bound stays as it is and keeps nothing.
         from_date = newest[0] if newest else from_date
-    reader = _reader(spark, streaming, typed)
-    df = reader.csv(path) if files is None else reader.option("basePath", path).csv(files)
     by_directory = "day" in df.columns
     label = F.col("day").cast("string") if by_directory else F.col("_metadata.file_name")
     if from_date:

@@ -77,8 +77,7 @@ def _replayed() -> Column:
 
 
 def _newest(rows: DataFrame) -> DataFrame:
-    """Of several rows for the same symbol and ``ts`` the newest, found by an aggregate
-    that works before the shuffle."""
+    """Of several rows for the same symbol and ``ts`` the newest, with all columns."""
     others = [c for c in rows.columns if c not in ("symbol", "ts")]
     picked = F.max_by(F.struct(*others), F.struct("created_at", "batch_id"))
     return rows.groupBy("symbol", "ts").agg(picked.alias("r")).select("symbol", "ts", "r.*")
@@ -86,10 +85,17 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     """All predictions stored below ``root``, those of replays too, as rows of the
-    predictions table. Of several for the same symbol and ``ts`` the newest counts.
+    predictions table. Of several for the same symbol and ``ts`` the newest counts,
+    found by an aggregate that works before the shuffle.
     """
-    rows = _read_outcome(spark, root, "prediction").select(*PREDICTION_ROW.names[1:], "batch_id")
-    return _newest(rows).select(_row_id(), *PREDICTION_ROW.names[1:])
+    rows = _read_outcome(spark, root, "prediction")
+    # One long, so that the aggregate is by hash; columns that go by the same age come
+    # from the same row.
+    age = "unix_micros(created_at) * 1024 + pmod(xxhash64(batch_id), 1024)"
+    names = [c for c in PREDICTION_ROW.names[1:] if c not in ("symbol", "ts")]
+    rows = rows.selectExpr("symbol", "ts", *names, f"{age} AS _age")
+    newest = rows.groupBy("symbol", "ts").agg(*(F.max_by(c, "_age").alias(c) for c in names))
+    return newest.select(_row_id(), *PREDICTION_ROW.names[1:])
 
 
 def compact_predictions(spark: SparkSession, root: str) -> str | None:

@@ -118,7 +118,9 @@ def write_ticks_csv(
     writer = _by_day(fields, rebalance).write.mode(mode).options(
         header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("day").csv(path)
+    # A day by itself leaves the others as they are.
+    kept = "static" if day is None else "dynamic"
+    writer.option("partitionOverwriteMode", kept).partitionBy("day").csv(path)
 
 
 def tick_records(ticks: DataFrame, schema: str = TICK_AVRO, header: bytes = b"") -> DataFrame:

@@ -151,3 +151,26 @@ def test_a_stream_goes_on_after_a_flush(spark, ticks_of, tmp_path):
     want = {(r.symbol, r.ts): r.rv_daily for r in daily_variance(ticks_of(landing.rows)).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
     assert {s for s, _ in got} == {"a", "b"}
+
+
+@pytest.mark.parametrize(("known", "gate"), [(25, None), (30, None), (10, None), (24, "2023-12-31")])
+def test_a_stream_goes_on_where_the_daily_table_ends(spark, daily_of, tmp_path, known, gate):
+    """Days of before leave their state, but no request; the others are the batch's."""
+    rng = random.Random(known)
+    rows = [(s, START + (i + 1) * DAY, rng.random()) for i in range(40) for s in "ab"]
+    rows += [("new", START + (i + 1) * DAY, rng.random()) for i in range(30, 40)]
+    before = [r for r in rows if r[1] <= START + known * DAY]
+    landing = str(tmp_path / "daily")
+    daily_of([r for r in rows if r not in before]).coalesce(1).write.parquet(landing)
+    stream = spark.readStream.schema(DAILY_RV).parquet(landing)
+    made = request_stream(stream, gate, history=daily_of(before))
+    available_now(made, write_batches(str(tmp_path / "out")), str(tmp_path / "checkpoint"), 2)
+    got = spark.read.schema(REQUEST).parquet(str(tmp_path / "out")).select(*REQUEST.names)
+    want = model_requests(daily_of(rows), gate).where(f"ts > {START + known * DAY}").select(*REQUEST.names)
+
+    def rounded(df):
+        return sorted(
+            (r.symbol, r.ts, r.is_first, r.payload, [[round(x, 8) for x in y] for y in r.sequence]) for r in df.collect()
+        )
+
+    assert rounded(got) == rounded(want) and got.count() > 0

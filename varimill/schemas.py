@@ -92,6 +92,7 @@ DEAD_LETTER = _struct(
     ("symbol", _S), ("ts", _L), ("payload", _S), ("sequence", MATRIX), ("reason", _S)
 )
 
+# Columns of the predictions table.
 PREDICTION = _struct(
     ("symbol", _S, False),
     ("ts", _L, False),
@@ -109,6 +110,7 @@ PREDICTION_ROW = T.StructType(
 )
 SYMBOL_MAX_CHARS = 20
 
+# Columns of the run metrics.
 RUN_METRICS = _struct(
     ("run_timestamp", _S),
     ("parallelism", T.IntegerType()),
